@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import op01_secrets
+from . import op01_secrets, op03_quality, op05_mixing, op10_bpe
 
-QUERIES = {"op1_secret_scans": op01_secrets.op1_secret_scans}
-ORACLES = {"op1_secret_scans": op01_secrets.ORACLE}
+QUERIES = {
+    "op1_secret_scans": op01_secrets.op1_secret_scans,
+    "op3_quality_rules": op03_quality.op3_quality_rules,
+    "op5_mixing": op05_mixing.op5_mixing,
+    "op10_bpe": op10_bpe.op10_bpe,
+}
+ORACLES = {"op1_secret_scans": op01_secrets.ORACLE, "op3_quality_rules": op03_quality.ORACLE, "op5_mixing": op05_mixing.ORACLE}
 
 
 def queries():
