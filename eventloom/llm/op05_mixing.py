@@ -102,7 +102,8 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     parts = own.withColumn("block", F.explode_outer(F.expr("CASE WHEN size > 0 THEN sequence(start div block_words, (start + size - 1) div block_words) END")))
     hit = parts.join(taken, ["place", "block"], "left")
     first = F.col("block") * F.col("block_words")
-    overlap = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), first + F.col("words")) - F.greatest("start", first))
+    words_ = F.coalesce("words", F.lit(0))  # a block that no slot takes; least() would pass over a null
+    overlap = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), first + words_) - F.greatest("start", first))
     return hit.groupBy("place", "bucket", "nth", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(overlap), F.lit(0)).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -124,5 +125,5 @@ x AS (SELECT b.place, b.block, k.words FROM k JOIN b ON k.place = b.place AND k.
 e AS (SELECT d.doc_id, d.size, v.place, v.source_size, v.target, v.bw, sum(d.size) OVER (PARTITION BY v.place ORDER BY md5(d.doc_id::VARCHAR), d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS st FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
 y AS (SELECT *, unnest(CASE WHEN size > 0 THEN range((st // bw)::BIGINT, ((st + size - 1) // bw)::BIGINT + 1) ELSE [-1] END) AS block FROM e)
 SELECT y.doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
-  coalesce(sum(greatest(0, least(st + size, y.block * bw + words) - greatest(st, y.block * bw))), 0)::BIGINT AS taken
+  coalesce(sum(greatest(0, least(st + size, y.block * bw + coalesce(words, 0)) - greatest(st, y.block * bw))), 0)::BIGINT AS taken
 FROM y LEFT JOIN x ON y.place = x.place AND y.block = x.block GROUP BY y.doc_id"""
