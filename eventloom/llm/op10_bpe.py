@@ -23,13 +23,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Words in the transducer at most; how many words a worker remembers; words that a counting task holds at once.
-LEXICON, REMEMBERED, COUNTED = 32_768, 300_000, 400_000
+LEXICON, REMEMBERED, COUNTED = 32_768, 500_000, 400_000
 _S = r"\t-\r \x85\xa0  -     　"
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
@@ -53,41 +54,45 @@ class Bpe:
         self.bytes_of = {i: bytes(shown[c] for c in t) for t, i in vocab.items() if t not in self.special}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.byte_id = {b: vocab[c] for c, b in shown.items()}
-        self.rank = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate(m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.rank = {(vocab[a], vocab[b]): k for k, (a, b) in enumerate(pairs)}
+        self.merged = [vocab[a + b] for a, b in pairs]
 
     def merge(self, word: bytes) -> list[int]:
         ids = [self.byte_id[b] for b in word]
         if len(ids) > 48:
             return self._merge_long(ids)
-        rank, none = self.rank, (1 << 30, 0)
-        while len(ids) > 1:
-            best, at = none, 0
-            for i in range(len(ids) - 1):
-                r = rank.get((ids[i], ids[i + 1]), none)
-                if r < best:
-                    best, at = r, i
-            if best is none:
-                break
-            ids[at : at + 2] = [best[1]]
+        rank, none = self.rank, 1 << 30
+        near = [rank.get(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while near and (best := min(near)) < none:
+            i = near.index(best)
+            ids[i] = self.merged[best]
+            del ids[i + 1]
+            del near[i]
+            if i:
+                near[i - 1] = rank.get((ids[i - 1], ids[i]), none)
+            if i < len(near):
+                near[i] = rank.get((ids[i], ids[i + 1]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         n, rank = len(ids), self.rank
         left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
+            new = self.merged[r]
             j = right[i] if alive[i] else n
             if j >= n or ids[i] != a or ids[j] != b:
                 continue
             ids[i], alive[j], right[i] = new, False, right[j]
             if right[j] < n:
                 left[right[j]] = i
-                if r := rank.get((new, ids[right[j]])):
-                    heapq.heappush(heap, (r[0], i, new, ids[right[j]], r[1]))
-            if left[i] >= 0 and (r := rank.get((ids[left[i]], new))):
-                heapq.heappush(heap, (r[0], left[i], ids[left[i]], new, r[1]))
+                if (r := rank.get((new, ids[right[j]]))) is not None:
+                    heapq.heappush(heap, (r, i, new, ids[right[j]]))
+            if left[i] >= 0 and (r := rank.get((ids[left[i]], new))) is not None:
+                heapq.heappush(heap, (r, left[i], ids[left[i]], new))
         return [x for x, ok in zip(ids, alive, strict=True) if ok]
 
 
@@ -186,42 +191,55 @@ class Lexicon:
         return self.ids[self.at[place] : self.at[place + 1]].tolist() if self.final[state] and word else None
 
 
-class Encoder(dict):
-    """pre-token to (number of ids, the ids in decimal, the bytes that they decode to)."""
+class _Memory(dict):
+    """word to what `make` gives for it, for at most REMEMBERED short words at a time."""
 
-    def __init__(self, bpe: Bpe, lexicon: Lexicon):
+    def __init__(self, make):
         super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str):
+        value = self.make(word)
+        if len(word) < 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
+        return value
+
+
+class Encoder:
+    """Encodes and decodes texts; what it remembers of a pre-token are its ids in decimal and their bytes."""
+
+    def __init__(self, bpe: Bpe, lexicon: Lexicon):
         self.bpe, self.lexicon = bpe, lexicon
+        self.decimal = _Memory(lambda word: ",".join(map(str, self.ids(word))))
+        self.raw = _Memory(lambda shown: b"".join(bpe.bytes_of[int(i)] for i in shown.split(",")))
 
     def ids(self, word: str) -> list[int]:
         raw = word.encode()
         found = self.lexicon.get(raw)
         return self.bpe.merge(raw) if found is None else found
 
-    def _entry(self, ids: list[int]) -> tuple[int, str, bytes]:
-        return len(ids), ",".join(map(str, ids)), b"".join(map(self.bpe.bytes_of.__getitem__, ids))
-
-    def __missing__(self, word: str) -> tuple[int, str, bytes]:
-        entry = self._entry(self.ids(word))
-        if len(word) < 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = entry
-        return entry
-
-    def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
-        out: list[tuple[int, str, bytes]] = []
-        for special, part in _split(text, self.bpe.special):
+    def pieces(self, text: str) -> list[str]:
+        """The ids of each pre-token, in decimal."""
+        if len(parts := _split(text, self.bpe.special)) == 1:
+            return list(map(self.decimal.__getitem__, PRETOKEN.findall(text)))
+        out: list[str] = []
+        for special, part in parts:
             if special is not None:
-                out.append(self._entry([special]))
-            out += map(self.__getitem__, PRETOKEN.findall(part))
+                out.append(str(special))
+            out += map(self.decimal.__getitem__, PRETOKEN.findall(part))
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for piece in self.pieces(text) for i in piece[1].split(",")]
+        return [int(i) for piece in self.pieces(text) for i in piece.split(",")]
+
+    def back(self, pieces: list[str]) -> str:
+        """Decodes the ids of pieces."""
+        return b"".join(map(self.raw.__getitem__, pieces)).decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bpe.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return self.back(list(map(str, ids)))
 
 
 def _split(text: str, special: dict[str, int]):
@@ -245,7 +263,7 @@ def encoder(path: str, block: bytes) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON, path: str | None = None) -> list[str]:
-    """The `most` most frequent pre-tokens over all texts (ties by code point), counted in each task first."""
+    """The most frequent pre-tokens over all texts, `most` at most (no part of a tie is taken), counted in each task first."""
     special = Bpe(path or default_path()).special
 
     def count(batches):
@@ -265,8 +283,11 @@ def frequent_words(docs: DataFrame, most: int = LEXICON, path: str | None = None
         yield out()
 
     counted = docs.select("text").mapInArrow(count, "word string, n long").filter(F.length("word") < 64)
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [r.word for r in top.select("word").collect()]
+    counted = written(counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "bpe-words")
+    # the least count of which there are `most` words at most above it: only those words come to the driver
+    above = F.sum("words").over(W.orderBy(F.desc("n")))
+    least = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("above", above).filter(F.col("above") <= most).agg(F.min("n")).first()[0]
+    return [] if least is None else [r.word for r in counted.filter(F.col("n") >= least).select("word").collect()]
 
 
 def encode(docs: DataFrame, lexicon: int = LEXICON, path: str | None = None) -> DataFrame:
@@ -281,9 +302,10 @@ def encode(docs: DataFrame, lexicon: int = LEXICON, path: str | None = None) ->
             n, ids, back = [], [], []
             for text in batch.column("text").to_pylist():
                 found = own.pieces(text or "")
-                n.append(sum(p[0] for p in found))
-                ids.append(sha256(",".join([p[1] for p in found]).encode()).hexdigest())
-                back.append(sha256(b"".join([p[2] for p in found]).decode("utf-8", "replace").encode()).hexdigest())
+                shown = ",".join(found)
+                n.append(shown.count(",") + 1 if found else 0)
+                ids.append(sha256(shown.encode()).hexdigest())
+                back.append(sha256(own.back(found).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
