@@ -16,9 +16,15 @@ def register(name, sql=None):
     return add
 
 
+def _load():
+    from . import records, scalars, windows  # noqa: F401  they register themselves
+
+
 def queries():
+    _load()
     return QUERIES
 
 
 def oracle_sql():
+    _load()
     return ORACLES
