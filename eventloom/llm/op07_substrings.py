@@ -22,17 +22,18 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import spans, text_bytes, window_hashes, word_hashes
+from .tokens import pieces, spans, text_bytes, window_hashes, word_hashes
 
 WINDOW = 20
 #: Bytes of text for each shard of fingerprints, about.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 12 << 20
 #: Bytes of text whose windows a scanning task keeps together; a longer text stays whole.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 16 << 20
 
 
 def _ranges(values: np.ndarray, shards: int) -> np.ndarray:
@@ -51,117 +52,123 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _firsts(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """True for windows with an earlier one of equal fingerprint (another place: equal places tie)."""
+def _late(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """True for windows with an earlier one of equal fingerprint (another place: equal places tie). doc indexes order,
+    the documents' ids."""
     late = np.zeros(len(h), bool)
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    again = np.zeros(len(h), bool)
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    some = np.flatnonzero(again)
-    some = some[np.lexsort((pos[some], doc[some], h[some]))]
+    by = np.argsort(h, kind="stable")
+    same = np.flatnonzero(h[by[1:]] == h[by[:-1]])
+    some = np.unique(np.concatenate([by[same], by[same + 1]]))
+    del by
     if len(some):
-        new = np.concatenate([[True], h[some][1:] != h[some][:-1]])
-        head = some[np.flatnonzero(new)][np.cumsum(new) - 1]
-        late[some] = (doc[some] != doc[head]) | (pos[some] != pos[head])
+        o, at = order[doc[some]], pos[some]
+        to = np.lexsort((at, o, h[some]))
+        some, o, at = some[to], o[to], at[to]
+        new = np.concatenate([[True], h[some[1:]] != h[some[:-1]]])
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        late[some] = (o != o[head]) | (at != at[head])
     return late
 
 
-_STARTS = "shard int, doc binary, windows binary, place binary"
+def _keyed(docs: DataFrame) -> DataFrame:
+    """o is a row's place in the order; with digest, of its text, it names all that matters of the row."""
+    return docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("o"), F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("digest"), "doc_id", "text")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """row_id names a row by all that matters of it: its place in the order and its text."""
-    o = F.coalesce("doc_id", F.lit(-(2**63)))
-    return docs.select("doc_id", o.alias("o"), F.xxhash64(o, "text").alias("row_id"), "text")
+def _steps(doc: np.ndarray, pos: np.ndarray) -> bytes:
+    """Documents (sorted, from 0) and starts (sorted in each) as small steps, compressed."""
+    step = np.diff(doc, prepend=0)
+    back = pos.astype(np.int64)
+    back[1:] -= np.where(step[1:] == 0, pos[:-1], 0)
+    return zstandard.compress(np.concatenate([step, back]).astype("<u4").tobytes(), 1)
+
+
+def _places(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    step, pos = np.frombuffer(zstandard.decompress(blob), "<u4").reshape(2, -1).astype(np.int64)
+    total, begin = np.cumsum(pos), np.flatnonzero(np.concatenate([[True], step[1:] != 0]))
+    return np.cumsum(step), total - np.repeat(total[begin] - pos[begin], np.diff(np.append(begin, len(pos))))
+
+
+def _message(shard: int, o: np.ndarray, digest: np.ndarray, doc: np.ndarray, pos: np.ndarray, hashes: np.ndarray | None) -> tuple:
+    new = np.concatenate([[True], doc[1:] != doc[:-1]])
+    used = doc[new]
+    ids = zstandard.compress(np.diff(o[used], prepend=0).astype("<i8").tobytes(), 1)
+    return shard, ids, digest[used].astype("<i4").tobytes(), None if hashes is None else _pack(hashes), _steps(np.cumsum(new) - 1, pos)
+
+
+_SENT = {"shard": pa.int32(), "ids": pa.binary(), "digests": pa.binary(), "windows": pa.binary(), "places": pa.binary()}
 
 
 def marked(docs: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
-    """(row_id, starts): packed starts of the windows to remove; several rows for one row_id."""
+    """(o, digest, starts): packed starts of the windows to remove; several rows for one document."""
+
+    def messages(o, digest, hashes, count):
+        """One for each shard: its documents, their fingerprints and the windows' places. Windows that are late
+        already travel without fingerprints, to be passed on."""
+        doc = np.repeat(np.arange(len(o), dtype=np.int32), count)
+        pos = (np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+        late = _late(hashes, doc, pos, o)
+        shard = _ranges(hashes, shards).astype(np.int32)
+        fresh = np.flatnonzero(~late)
+        fresh = fresh[np.argsort(shard[fresh], kind="stable")]
+        cut = np.searchsorted(shard[fresh], np.arange(shards + 1))
+        for s in range(shards):
+            if len(at := fresh[cut[s] : cut[s + 1]]):
+                yield _message(s, o, digest, doc[at], pos[at], hashes[at])
+        if len(at := np.flatnonzero(late)):
+            yield _message(int(shard[at[0]]), o, digest, doc[at], pos[at], None)
 
     def send(batches):
-        """A row for each shard: the documents (id, row_id, windows), the kept fingerprints, and which windows they
-        are. Windows that are marked already travel in the row of one shard, with no fingerprint."""
-
-        def out(o, row_id, hashes, count):
-            doc = np.repeat(np.arange(len(o)), count)
-            pos = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)
-            late = _firsts(hashes, np.asarray(o)[doc], pos) if len(hashes) else np.zeros(0, bool)
-            shard = _ranges(hashes, shards)
-            index = np.flatnonzero(~late)
-            order = index[np.argsort(shard[index], kind="stable")]
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in range(shards):
-                if cut[s] < cut[s + 1]:
-                    yield _message(s, o, row_id, doc, pos, hashes, order[cut[s] : cut[s + 1]])
-            if late.any():
-                at = np.flatnonzero(late)
-                yield _message(int(shard[at[0]]), o, row_id, doc, pos, None, at)
-
-        def flush(held):
-            o, row_id, hashes, count = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows = [r for r in out(o, row_id, hashes, count)]
-            names = ["shard", "doc", "windows", "place"]
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], names=names)
-
         held, size = [], 0
+
+        def flush():
+            rows = list(messages(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_SENT.values())], names=list(_SENT))
+
         for batch in batches:
             data, at = text_bytes(batch.column("text"))
-            o, row_id = batch.column("o").to_numpy(), batch.column("row_id").to_numpy()
-            i = 0
-            while i < len(o):
-                j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 20), side="right")) - 1)
-                words, of = word_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                hashes, win_of = window_hashes(words, of, window)
-                held.append((o[i:j], row_id[i:j], hashes, np.diff(win_of)))
-                size += int(at[j] - at[i])
-                i = j
+            o, digest = batch.column("o").to_numpy(), batch.column("digest").to_numpy()
+            for i, j, some, own in pieces(data, at):
+                hashes, of = window_hashes(*word_hashes(some, own), window)
+                held.append((o[i:j], digest[i:j], hashes, np.diff(of)))
+                size += len(some)
                 if size >= BATCH_BYTES:
-                    yield flush(held)
-                    held, size = [], 0
+                    yield flush()
+                    size = 0
         if held:
-            yield flush(held)
-
-    def _message(s, o, row_id, doc, pos, hashes, at):
-        used, local = np.unique(doc[at], return_inverse=True)
-        place = np.empty((len(at), 2), "<u4")
-        place[:, 0], place[:, 1] = np.diff(local, prepend=0), pos[at]
-        place[1:, 1] -= np.where(np.diff(local) == 0, pos[at][:-1], 0).astype("<u4")  # starts as steps: small numbers, which the shuffle compresses
-        return s, np.stack([o[used], row_id[used]]).astype("<i8").tobytes(), _pack(hashes[at]) if hashes is not None else None, place.T.tobytes()
+            yield flush()
 
     def resolve(group: pa.Table) -> pa.Table:
-        row_ids, docs_, starts, prints, known = [], [], [], [], []
-        for doc, win, place in zip(*(group.column(c).to_pylist() for c in ("doc", "windows", "place")), strict=True):
-            o, r = np.frombuffer(doc, "<i8").reshape(2, -1)
-            step, pos = np.frombuffer(place, "<u4").reshape(2, -1).astype(np.int64)
-            local = np.cumsum(step)
-            total = np.cumsum(pos)
-            begin = np.flatnonzero(np.concatenate([[True], step[1:] != 0]))
-            pos = total - np.repeat(total[begin] - pos[begin], np.diff(np.append(begin, len(pos))))
-            row_ids.append(r[local])
-            docs_.append(o[local])
-            starts.append(pos)
-            prints.append(_unpack(win) if win is not None else np.zeros(len(pos), np.uint64))
-            known.append(np.full(len(pos), win is None))
-        row_id, o, pos, h, late = map(np.concatenate, (row_ids, docs_, starts, prints, known))
+        o, digest, doc, pos, prints, late, n = [], [], [], [], [], [], 0
+        for ids, digests, win, places in zip(*(group.column(c).to_pylist() for c in list(_SENT)[1:]), strict=True):
+            local, start = _places(places)
+            o.append(np.cumsum(np.frombuffer(zstandard.decompress(ids), "<i8")))
+            digest.append(np.frombuffer(digests, "<i4"))
+            doc.append((local + n).astype(np.int32))
+            pos.append(start.astype(np.int32))
+            prints.append(np.zeros(0, np.uint64) if win is None else _unpack(win))
+            late.append(np.full(len(start), win is None))
+            n += len(o[-1])
+        o, digest, doc, pos, prints, late = map(np.concatenate, (o, digest, doc, pos, prints, late))
         fresh = np.flatnonzero(~late)
-        late[fresh] = _firsts(h[fresh], o[fresh], pos[fresh])
+        late[fresh] = _late(prints, doc[fresh], pos[fresh], o)
         at = np.flatnonzero(late)
-        at = at[np.argsort(row_id[at], kind="stable")]
-        cut = np.flatnonzero(np.concatenate([[True], row_id[at][1:] != row_id[at][:-1], [True]])) if len(at) else np.zeros(1, int)
-        packed = [pos[at[a:b]].astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table({"row_id": pa.array(row_id[at][cut[:-1]] if len(at) else [], pa.int64()), "starts": pa.array(packed, pa.binary())})
+        doc, pos = doc[at], pos[at]
+        cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(at) else np.zeros(1, int)
+        packed = [pos[a:b].astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        used = doc[cut[:-1]]
+        return pa.table({"o": pa.array(o[used], pa.int64()), "digest": pa.array(digest[used], pa.int32()), "starts": pa.array(packed, pa.binary())})
 
-    return docs.select("o", "row_id", "text").mapInArrow(send, _STARTS).groupBy("shard").applyInArrow(resolve, "row_id long, starts binary")
+    schema = "shard int, ids binary, digests binary, windows binary, places binary"
+    return docs.select("o", "digest", "text").mapInArrow(send, schema).groupBy("shard").applyInArrow(resolve, "o long, digest int, starts binary")
 
 
 def remove_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_words, n_removed and kept_sha256."""
     docs = _keyed(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    marks = marked(docs, max(4, -(-size // SHARD_BYTES)), window).groupBy("row_id").agg(F.collect_list("starts").alias("starts"))
+    marks = marked(docs, max(4, -(-size // SHARD_BYTES)), window).groupBy("o", "digest").agg(F.collect_list("starts").alias("starts"))
 
     def cut(batches):
         for batch in batches:
@@ -187,7 +194,7 @@ def remove_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 kept.append(sha256(joined).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = docs.join(marks, "row_id", "left").select("doc_id", "text", "starts")
+    rows = docs.join(marks, ["o", "digest"], "left").select("doc_id", "text", "starts")
     return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
