@@ -11,7 +11,8 @@ How the work stays in proportion to the input:
   that many documents carry are the commonest and fall out.
 * First every class is compared with the least class of each of its lists. Classes that this joins need no
   further comparison among themselves. What is left in a list, pairs of different groups, is compared in full:
-  short lists by a join, long ones in blocks of sketches that are dealt over tasks and never expanded to rows.
+  short lists by a join, the classes of long ones in blocks that are dealt over tasks; pairs there are found by an
+  index inside the task and never become rows, except those that join two groups.
 
 Defined cases: a text without words has an empty set and is linked with nothing; a text of fewer than five
 words has its whole sequence as its only shingle; rows of one id count as one document and share its fate; rows
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import forget, table, written
 from .tokens import mix, pieces, text_bytes, window_hashes, word_hashes
 
 K, SHINGLE, PERCENT, SHARED = 32, 5, 75, 10
-#: Lists up to this length are compared by a join; longer ones in blocks of about as many sketches.
-SHORT, BLOCK = 64, 512
+#: Lists up to this length are compared by a join; the classes of longer ones in blocks of about so many.
+SHORT, BLOCK = 64, 2048
+#: Ids of texts that are sent to every task, at most.
+SENT_IDS = 1_000_000
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -80,9 +83,11 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     own = W.partitionBy("rep")
     rank = F.col("s") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("f", "value"))
     rare = of.withColumn("rank", rank).filter(F.col("rank") <= F.col("s") - least_overlap(F.col("n")) + 1).select("value", "rep", "n")
-    rare = written(rare, "near-lists")
+    rare = written(rare, "near-values")
     length = rare.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    return rare.join(length, "value")
+    lists = written(rare.join(length, "value"), "near-lists")
+    forget(rare)
+    return lists
 
 
 def _similar_size(a: str, b: str):
@@ -98,11 +103,19 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(same >= F.least(F.lit(SHARED), F.ceil(F.size(union) * PERCENT / 100) - 1)).select("a", "b")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the given distinct ids (doc_id), one row each. Few ids go to where the texts are; more
+    meet them in a shuffle."""
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of ids whose full sets are similar enough. Only texts of the pairs travel."""
-    texts = docs.select("doc_id", "text")
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = written(texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+    needed = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-ids")
+    texts = written(_texts(docs, needed), "near-texts")
+    forget(needed)
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -119,53 +132,87 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok[i] = 100 * inter >= PERCENT * (len(x) + len(y) - inter)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok], pa.int64()), pa.array(b[ok], pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    links = written(both.mapInArrow(run, "a long, b long"), "near-links")
+    forget(texts)
+    return links
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, label): the least id reachable from each linked id, by label propagation with pointer jumping."""
-    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-edges")
+    links = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    edges = written(links.union(links.select("b", "a")).distinct(), "near-edges")
     labels = written(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")), "near-labels")
     while True:
         near = edges.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("other"))
         new = labels.join(near, "v").select("v", F.least("label", "other").alias("new"), F.col("label").alias("old"))
         up = new.select(F.col("v").alias("new"), F.col("new").alias("up"))
         new = written(new.join(up, "new").select("v", F.least("new", "up").alias("label"), "old"), "near-labels")
-        labels = new.select("v", "label")
+        forget(labels)
+        labels = new
         if new.filter("label <> old").isEmpty():
+            forget(edges)
             return labels
 
 
-def _block_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely pairs of different groups in long lists: blocks of sketches are compared inside tasks."""
-    rows = lists.join(classes.select("rep", "sketch"), "rep")
-    # members of a list's largest group need no comparison with each other: one side leaves them out
-    size = lists.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c"))
-    top = size.groupBy("value").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("m"), F.max("c").alias("c"))
-    rows = rows.drop("m").join(top, "value")
-    n_all, n_few = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil((F.col("m") - F.col("c")) / BLOCK).cast("int")
-    mine = F.xxhash64("rep")
-    all_side = rows.select("value", F.pmod(mine, n_all).alias("i"), F.explode(F.sequence(F.lit(0), n_few - 1)).alias("j"), "rep", "n", "label", "sketch", F.lit(False).alias("few"))
-    few_side = rows.filter("label <> top").select("value", F.explode(F.sequence(F.lit(0), n_all - 1)).alias("i"), F.pmod(mine, n_few).alias("j"), "rep", "n", "label", "sketch", F.lit(True).alias("few"))
+def _across_blocks(left: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) that join the groups of classes which share long lists: a spanning set of them, not all.
+
+    Classes of lists that hang together are a family. Its members' sets, as 32-bit hashes, are dealt out in blocks;
+    a task compares two blocks by an index over one, and hands on a pair only if its groups aren't joined yet. A
+    collision of short hashes can only add a candidate, which the full sets then refuse."""
+    least = left.groupBy("value").agg(F.min("rep").alias("least"))
+    hang = components(left.join(least, "value").select("rep", "least").distinct(), "rep", "least")
+    members = written(left.select("rep", "n", "label").distinct().join(hang.select(F.col("v").alias("rep"), F.col("label").alias("family")), "rep"), "near-members")
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique((s >> np.uint64(20)).astype(np.uint32)).tobytes() for s in shingle_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], names=["rep", "hashes"])
+
+    texts = _texts(docs, members.select(F.col("rep").alias("doc_id")))
+    sets = texts.mapInArrow(run, "rep long, hashes binary")
+    # the largest group of a family needs no comparison with itself: one side leaves it out
+    size = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
+    top = size.groupBy("family").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("m"), F.max("c").alias("most"))
+    rows = members.join(top.filter("m > most"), "family").join(sets, "rep")
+    n_all, n_few = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int")
+    mine, same = F.xxhash64("rep"), ["family", "rep", "n", "label", "hashes"]
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    every = rows.select(F.pmod(mine, n_all).cast("int").alias("i"), spread(n_few).alias("j"), F.lit(False).alias("few"), *same)
+    few = rows.filter("label <> top").select(spread(n_all).alias("i"), F.pmod(mine, n_few).cast("int").alias("j"), F.lit(True).alias("few"), *same)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        few, every = pdf[pdf["few"]], pdf[~pdf["few"]]
-        out = []
-        if len(few) and len(every):
-            values = np.concatenate(every["sketch"].to_numpy())
-            owner = np.repeat(np.arange(len(every)), every["sketch"].map(len).to_numpy())
+        one, other, out = pdf[pdf["few"]], pdf[~pdf["few"]], []
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        if len(one) and len(other):
+            sets_ = [np.frombuffer(x, np.uint32) for x in other["hashes"]]
+            values, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), [len(x) for x in sets_])
             order = np.argsort(values, kind="stable")
             values, owner = values[order], owner[order]
-            rep, n, label = every["rep"].to_numpy(), every["n"].to_numpy(), every["label"].to_numpy()
-            for a, na, la, sketch in zip(few["rep"], few["n"], few["label"], few["sketch"], strict=True):
-                lo, hi = np.searchsorted(values, sketch, "left"), np.searchsorted(values, sketch, "right")
-                hits = np.bincount(np.concatenate([owner[x:y] for x, y in zip(lo, hi, strict=True)]), minlength=len(rep))
-                need = np.minimum(SHARED, np.ceil(np.minimum(n, na) * PERCENT / 100) - np.maximum(0, np.maximum(n, na) - K))
-                ok = (hits >= np.maximum(need, 1)) & (label != la) & (n * 100 >= na * PERCENT) & (na * 100 >= n * PERCENT)
-                out += [(min(a, b), max(a, b)) for b in rep[ok]]
+            rep, n, label = (other[c].to_numpy() for c in ("rep", "n", "label"))
+            for a, na, la, x in zip(one["rep"], one["n"], one["label"], one["hashes"], strict=True):
+                x = np.frombuffer(x, np.uint32)
+                lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+                many = hi - lo
+                at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                shared = np.bincount(owner[at], minlength=len(rep))
+                for k in np.flatnonzero((100 * (shared + 1) >= PERCENT * (n + na - shared - 1)) & (label != la)):
+                    p, q = find(int(la)), find(int(label[k]))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        out.append((min(a, rep[k]), max(a, rep[k])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return all_side.unionByName(few_side).groupBy("value", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    found = written(every.unionByName(few).groupBy("family", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "near-joins")
+    forget(members, hang)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -175,18 +222,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = sigs.filter("doc_id IS NOT NULL AND set_id IS NOT NULL")
     of = own.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     classes = written(own.join(of.withColumnRenamed("rep", "doc_id"), ["set_id", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "set_id", "n_shingles", "sketch"), "near-classes")
-    lists = written(inverted_lists(classes), "near-lists")
+    lists = inverted_lists(classes)
 
     # round 1: each class with the least class of each of its lists
     least = lists.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("p"))
     star = lists.join(least, "value").select(F.col("rep").alias("a"), F.col("p.rep").alias("b"), "n", F.col("p.n").alias("pn"))
     star = star.filter((F.col("a") != F.col("b")) & _similar_size("n", "pn")).select("a", "b").distinct()
-    links = written(confirmed(written(likely(star, classes), "near-pairs"), docs), "near-links")
+    pairs = written(likely(star, classes), "near-pairs")
+    links = confirmed(pairs, docs)
     labels = components(links)
+    forget(pairs)
 
     # round 2: what is left of each list is compared in full, except within a group
     def with_label(rows: DataFrame) -> DataFrame:
-        return rows.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        return rows.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
     left = with_label(lists)
     split = left.groupBy("value").agg((F.max("label") != F.min("label")).alias("split")).filter("split").select("value")
@@ -195,12 +244,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     y = x.select("value", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("la").alias("lb"))
     short = x.join(y, "value").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _similar_size("na", "nb")).select("a", "b").distinct()
     short = short.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    pairs = written(likely(short, classes).union(_block_pairs(left.filter(F.col("m") > SHORT), classes)).distinct(), "near-pairs")
-    more = written(confirmed(pairs, docs), "near-links")
+    joins = _across_blocks(left.filter(F.col("m") > SHORT), docs)
+    pairs = written(likely(short, classes).union(joins).distinct(), "near-pairs")
+    forget(joins)
+    more = confirmed(pairs, docs)
     if not more.isEmpty():
-        links = links.union(more)
-        labels = components(links)
-    found = classes.select("set_id", F.col("rep")).join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("set_id", F.coalesce("label", "rep").alias("label"))
+        before, labels = labels, components(links.union(more))
+        forget(before)
+    forget(lists, left, pairs, links, more)
+    found = classes.select("set_id", F.col("rep")).join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("set_id", F.coalesce("label", "rep").alias("label"))
     out = sigs.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
