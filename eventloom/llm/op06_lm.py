@@ -32,10 +32,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .tokens import mix, text_bytes, word_hashes
+from .tokens import column_words, mix, text_bytes
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own), and for each shard, about.
-CHUNK_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
+CHUNK_BYTES, SHARD_BYTES = 8 << 20, 12 << 20
 DISCOUNT = 0.75
 #: Bits of a successor's hash, which need only tell it from the others of its context.
 LOW = 40
@@ -240,8 +240,7 @@ class Chunk:
 
     def __init__(self, blob: bytes):
         self.rows = pa.ipc.open_stream(blob).read_all()
-        hashes, of = word_hashes(*text_bytes(self.rows.column("text")), lower=True)
-        n = len(of) - 1
+        hashes, of = column_words(self.rows.column("text"), lower=True)
         self.count = np.diff(of) + 1  # with the end
         start = np.cumsum(self.count) - self.count
         self.start = start
@@ -252,8 +251,9 @@ class Chunk:
         inner[last] = False
         tokens[inner], tokens[last] = hashes, END
         self.words, index = np.unique(np.concatenate([tokens, np.array([START], np.uint64)]), return_inverse=True)
-        self.token = index[:-1].astype(np.int64)
-        self.context = np.empty(size, np.int64)
+        del tokens, hashes, inner
+        self.token = index[:-1].astype(np.int32)
+        self.context = np.empty(size, np.int32)
         self.context[1:] = self.token[:-1]
         self.context[start] = index[-1]
         self.held = self.rows.column("held_out").to_numpy()
@@ -263,12 +263,12 @@ class Chunk:
         order = np.argsort(low, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        pair, self.gram = np.unique(self.context * len(order) + rank[self.token], return_inverse=True)
+        pair, gram = np.unique(self.context.astype(np.int64) * len(order) + rank[self.token], return_inverse=True)
+        self.gram = gram.astype(np.int32)
         self.gram_context = pair // len(order)
         self.gram_low = low[order[pair % len(order)]]
         self.gram_train = np.bincount(self.gram, weights=train, minlength=len(pair)).astype("<u4")
         self.word_train = np.bincount(self.token, weights=train, minlength=len(order)).astype("<u4")
-        del n
 
     def shard_cuts(self, shards: int) -> np.ndarray:
         """Words (and the n-grams they begin) of shard s: from cut s to cut s + 1."""

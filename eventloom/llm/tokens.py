@@ -103,3 +103,14 @@ def window_hashes(words: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray
         value += words[j : j + size]
     at = np.arange(out_of[-1]) + np.repeat(of[:-1] - out_of[:-1], many)
     return mix(value[at]), out_of
+
+
+def column_words(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes of a whole column, piece by piece: little memory besides the result."""
+    found, offsets, n = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for _, _, some, own in pieces(*text_bytes(column)):
+        hashes, of = word_hashes(some, own, lower)
+        found.append(hashes)
+        offsets.append(of[1:] + n)
+        n += len(hashes)
+    return np.concatenate(found), np.concatenate(offsets)
