@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import forget, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Words in the transducer at most; how many words a worker remembers; words that a counting task holds at once.
@@ -287,7 +287,9 @@ def frequent_words(docs: DataFrame, most: int = LEXICON, path: str | None = None
     # the least count of which there are `most` words at most above it: only those words come to the driver
     above = F.sum("words").over(W.orderBy(F.desc("n")))
     least = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("above", above).filter(F.col("above") <= most).agg(F.min("n")).first()[0]
-    return [] if least is None else [r.word for r in counted.filter(F.col("n") >= least).select("word").collect()]
+    words = [] if least is None else [r.word for r in counted.filter(F.col("n") >= least).select("word").collect()]
+    forget(counted)
+    return words
 
 
 def encode(docs: DataFrame, lexicon: int = LEXICON, path: str | None = None) -> DataFrame:
