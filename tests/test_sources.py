@@ -62,7 +62,7 @@ def test_stream(spark, tmp_path):
     events.repartition(3).write.parquet(f"{tmp_path}/in")
     seen = []
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = increments.publish_increments(increments.first_seen(stream, ["event_id"]), f"{tmp_path}/cp", lambda df, i: seen.append(df.count()))
+    q = increments.publish_increments(increments.first_seen(stream, ["event_id"], "90 days"), f"{tmp_path}/cp", lambda df, i: seen.append(df.count()))
     q.awaitTermination(120)
     assert sum(seen) == events.count()
     assert increments.daily_counts(events).agg(F.sum("n")).first()[0] == events.count()
