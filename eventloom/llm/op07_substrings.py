@@ -3,8 +3,8 @@
 Every window of `WINDOW` consecutive words has a 64-bit fingerprint. A scanning task keeps the earliest of the
 windows of equal fingerprint among its own documents, marks the others, and sends the kept ones to the shards
 that own their fingerprint ranges, packed in arrays: about 8 bytes a window, and however common a window is,
-one entry from each task's batch. A shard marks all but the earliest. Marks come back by document, a document's
-marked windows cover the words to remove, and what is left is joined by single spaces.
+one entry from each task's batch. A shard marks all but the earliest. Marks come back to buckets of documents, a
+document's marked windows cover the words to remove, and what is left is joined by single spaces.
 
 The order that decides "earlier" is the document's id, then the window's start. Broadcasting suffix automata of
 reference shards would need every document to be streamed past every shard when the corpus is its own
@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import pieces, spans, text_bytes, window_hashes, word_hashes
+from .tokens import pieces, text_bytes, window_hashes, word_hashes
 
 WINDOW = 20
 #: Bytes of text for each shard of fingerprints, about.
 SHARD_BYTES = 12 << 20
+#: Bytes of text in a bucket of documents that get their marks together, about.
+BUCKET_BYTES = 4 << 20
 #: Bytes of text whose windows a scanning task keeps together; a longer text stays whole.
 BATCH_BYTES = 16 << 20
 
@@ -99,8 +101,27 @@ def _message(shard: int, o: np.ndarray, digest: np.ndarray, doc: np.ndarray, pos
 _SENT = {"shard": pa.int32(), "ids": pa.binary(), "digests": pa.binary(), "windows": pa.binary(), "places": pa.binary()}
 
 
-def marked(docs: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
-    """(o, digest, starts): packed starts of the windows to remove; several rows for one document."""
+def _bucket(o: np.ndarray, digest: np.ndarray, buckets: int) -> np.ndarray:
+    return ((o % buckets + digest % buckets) % buckets).astype(np.int32)
+
+
+def _zip_marks(o: np.ndarray, digest: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
+    """Documents and the starts of their late windows, one row for all that a shard tells a bucket."""
+    cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    used, many = doc[cut], np.diff(np.append(cut, len(doc)))
+    parts = [np.array([len(cut)], "<i8"), o[used].astype("<i8"), digest[used].astype("<i8"), many.astype("<i8"), pos.astype("<u4")]
+    return zstandard.compress(b"".join(p.tobytes() for p in parts), 1)
+
+
+def _unzip_marks(blob: bytes):
+    raw = zstandard.decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    o, digest, many = np.frombuffer(raw, "<i8", 3 * n, 8).reshape(3, n)
+    return zip(o.tolist(), digest.tolist(), np.split(np.frombuffer(raw, "<u4", -1, 8 + 24 * n), np.cumsum(many)[:-1]), strict=True)
+
+
+def marked(docs: DataFrame, shards: int, buckets: int, window: int = WINDOW) -> DataFrame:
+    """(bucket, marks): the windows to remove of the documents in a bucket; a row from each shard that has any."""
 
     def messages(o, digest, hashes, count):
         """One for each shard: its documents, their fingerprints and the windows' places. Windows that are late
@@ -154,48 +175,46 @@ def marked(docs: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
         fresh = np.flatnonzero(~late)
         late[fresh] = _late(prints, doc[fresh], pos[fresh], o)
         at = np.flatnonzero(late)
-        doc, pos = doc[at], pos[at]
-        cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(at) else np.zeros(1, int)
-        packed = [pos[a:b].astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        used = doc[cut[:-1]]
-        return pa.table({"o": pa.array(o[used], pa.int64()), "digest": pa.array(digest[used], pa.int32()), "starts": pa.array(packed, pa.binary())})
+        to = _bucket(o, digest, buckets)[doc[at]]
+        order = np.argsort(to, kind="stable")
+        at, to = at[order], to[order]
+        cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(at) else np.zeros(1, int)
+        packed = [_zip_marks(o, digest, doc[at[a:b]], pos[at[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table({"bucket": pa.array(to[cut[:-1]], pa.int32()), "marks": pa.array(packed, pa.binary())})
 
     schema = "shard int, ids binary, digests binary, windows binary, places binary"
-    return docs.select("o", "digest", "text").mapInArrow(send, schema).groupBy("shard").applyInArrow(resolve, "o long, digest int, starts binary")
+    return docs.select("o", "digest", "text").mapInArrow(send, schema).groupBy("shard").applyInArrow(resolve, "bucket int, marks binary")
 
 
 def remove_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_words, n_removed and kept_sha256."""
     docs = _keyed(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    marks = marked(docs, max(4, -(-size // SHARD_BYTES)), window).groupBy("o", "digest").agg(F.collect_list("starts").alias("starts"))
-
-    def cut(batches):
-        for batch in batches:
-            data, at = text_bytes(batch.column("text"))
-            n, gone, kept = [], [], []
-            whole = data.tobytes()
-            for i, starts in enumerate(batch.column("starts").to_pylist()):
-                begin, end, _ = spans(data[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]))
-                keep = np.ones(len(begin), bool)
-                if starts:
-                    edge = np.zeros(len(begin) + 1, np.int64)
-                    first = np.frombuffer(b"".join(starts), "<u4").astype(np.int64)
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + window, -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                n.append(len(begin))
-                gone.append(int((~keep).sum()))
-                if starts:
-                    text = whole[at[i] : at[i + 1]]
-                    joined = b" ".join([text[a:b] for a, b, k in zip(begin.tolist(), end.tolist(), keep.tolist(), strict=True) if k])
-                else:
-                    joined = b" ".join(whole[at[i] : at[i + 1]].split())
-                kept.append(sha256(joined).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    rows = docs.join(marks, ["o", "digest"], "left").select("doc_id", "text", "starts")
-    return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    buckets = max(4, -(-size // BUCKET_BYTES))
+    marks = marked(docs, max(4, -(-size // SHARD_BYTES)), buckets, window)
+    names = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
+
+    def cut(own: pa.Table, told: pa.Table) -> pa.Table:
+        starts: dict[tuple[int, int], list[np.ndarray]] = {}
+        for blob in told.column("marks").to_pylist():
+            for o, digest, some in _unzip_marks(blob):
+                starts.setdefault((o, digest), []).append(some)
+        out = []
+        for doc_id, key, text in zip(own.column("doc_id").to_pylist(), zip(own.column("o").to_pylist(), own.column("digest").to_pylist(), strict=True), own.column("text").to_pylist(), strict=True):
+            words = (text or "").encode().split()
+            n = len(words)
+            if key in starts:
+                edge = np.zeros(n + 1, np.int64)
+                first = np.concatenate(starts[key]).astype(np.int64)
+                np.add.at(edge, first, 1)
+                np.add.at(edge, first + window, -1)
+                words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+            out.append((doc_id, n, n - len(words), sha256(b" ".join(words)).hexdigest()))
+        return pa.table({name: pa.array([r[i] for r in out], kind) for i, (name, kind) in enumerate(names.items())})
+
+    bucket = F.pmod(F.pmod("o", F.lit(buckets)) + F.pmod("digest", F.lit(buckets)), F.lit(buckets)).cast("int")
+    left = docs.withColumn("bucket", bucket).groupBy("bucket")
+    return left.cogroup(marks.groupBy("bucket")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 class SuffixAutomaton:
