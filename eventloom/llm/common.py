@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: White space between words: space and the control characters 9 to 13. Java and RE2 read it alike.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows in an Arrow batch at most: a batch of whole texts then takes a few MB on either side of the exchange.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,20 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches at BATCH_ROWS rows from here on, unless the session asks for still fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow in small batches."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, though body names it often (also inside lambdas)."""
     return F.transform(F.array(value), body)[0]

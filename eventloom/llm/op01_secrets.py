@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 
 LEDGER = "blob_id string, rule_version string, findings array<struct<kind:string,start:int,end:int>>"
 
@@ -75,7 +75,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("blob_id"), pa.array([rule_version] * len(found), pa.string()), pa.array(found, kind)], names=["blob_id", "rule_version", "findings"])
 
-    return blobs.select("blob_id", "text").mapInArrow(scan, LEDGER)
+    return mapped(blobs.select("blob_id", "text"), scan, LEDGER)
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import forget, table, written
+from .common import forget, mapped, table, written
 from .tokens import mix, pieces, text_bytes, window_hashes, word_hashes
 
 K, SHINGLE, PERCENT, SHARED = 32, 5, 75, 10
@@ -66,7 +66,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             sketch = pa.array([s[:K].astype(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), sketch], names=["doc_id", "n_shingles", "set_id", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sketch array<long>")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, set_id binary, sketch array<long>")
 
 
 def least_overlap(n):
@@ -132,7 +132,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok[i] = 100 * inter >= PERCENT * (len(x) + len(y) - inter)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok], pa.int64()), pa.array(b[ok], pa.int64())], names=["a", "b"])
 
-    links = written(both.mapInArrow(run, "a long, b long"), "near-links")
+    links = written(mapped(both, run, "a long, b long"), "near-links")
     forget(texts)
     return links
 
@@ -170,7 +170,7 @@ def _across_blocks(left: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], names=["rep", "hashes"])
 
     texts = _texts(docs, members.select(F.col("rep").alias("doc_id")))
-    sets = texts.mapInArrow(run, "rep long, hashes binary")
+    sets = mapped(texts, run, "rep long, hashes binary")
     # the largest group of a family needs no comparison with itself: one side leaves it out
     size = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
     top = size.groupBy("family").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("m"), F.max("c").alias("most"))

@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, small_batches, table
 
 GRAMS, PER_LANGUAGE, LANGUAGES = 1 << 16, 2000, 200
 #: Added to every count; steps of expectation-maximisation; weight of the penalty log(words) per language; largest set.
 SMOOTH, STEPS, PENALTY, LARGEST = 0.1, 8, 4.0, 3
 #: Code points worked on at once.
-PIECE = 1 << 19
+PIECE = 1 << 17
 
 _letters: list[np.ndarray] = []
 
@@ -149,7 +149,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     # at most PER_LANGUAGE ids for each of LANGUAGES languages
     sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
-    counts = sample.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = mapped(sample, count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     table_ = np.full((GRAMS, len(languages)), SMOOTH)
     place = {x: i for i, x in enumerate(languages)}
     table_[counts["cell"].to_numpy(int), counts["lang"].map(place).to_numpy(int)] += counts["n"].to_numpy(float)
@@ -175,6 +175,7 @@ def labelled(docs: DataFrame, model: Model, name: str, score: str) -> DataFrame:
         names, scores, many = _leading(sent.value, [t or "" for t in text])
         return pd.DataFrame({"lang": names, "score": scores, "languages": many})
 
+    small_batches(docs.sparkSession)
     found = docs.withColumn("_mixture", predict_("text"))
     return found.select(*docs.columns, F.col("_mixture.lang").alias(name), F.col("_mixture.score").alias(score))
 
@@ -188,7 +189,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             names, score, many = _leading(sent.value, [t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(many, pa.int32())], names=["doc_id", "lang_pred", "score", "languages"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, languages int")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, languages int")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

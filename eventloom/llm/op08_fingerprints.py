@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 from .tokens import mix, word_hashes
 
 SAMPLES = 64
@@ -129,7 +129,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 held = None if last else (doc_id, text, own)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return mapped(rows, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

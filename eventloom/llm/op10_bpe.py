@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import forget, table, written
+from .common import forget, mapped, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Words in the transducer at most; how many words a worker remembers; words that a counting task holds at once.
@@ -282,7 +282,7 @@ def frequent_words(docs: DataFrame, most: int = LEXICON, path: str | None = None
                     yield out()
         yield out()
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long").filter(F.length("word") < 64)
+    counted = mapped(docs.select("text"), count, "word string, n long").filter(F.length("word") < 64)
     counted = written(counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "bpe-words")
     # the least count of which there are `most` words at most above it: only those words come to the driver
     above = F.sum("words").over(W.orderBy(F.desc("n")))
@@ -310,7 +310,7 @@ def encode(docs: DataFrame, lexicon: int = LEXICON, path: str | None = None) ->
                 back.append(sha256(own.back(found).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
