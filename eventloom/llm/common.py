@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 #: White space between words: space and the control characters 9 to 13. Java and RE2 read it alike.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch at most: a batch of whole texts then takes a few MB on either side of the exchange.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch at most (a longer text is a batch of its own): little memory on either side of
+#: the exchange, however long the texts are.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +48,11 @@ def forget(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches at BATCH_ROWS rows from here on, unless the session asks for still fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches within BATCH from here on, unless the session asks for still smaller ones."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key).rstrip("b")  # the default is shown in bytes; one with another unit was chosen
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:

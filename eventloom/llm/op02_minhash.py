@@ -21,6 +21,8 @@ without an id are in the group of their exact copies only; an empty table gives
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -38,10 +40,9 @@ SHORT, BLOCK = 64, 2048
 SENT_IDS = 1_000_000
 
 
-def shingle_sets(column: pa.Array) -> list[np.ndarray]:
-    """The sorted distinct 63-bit shingle hashes of each text."""
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted distinct 63-bit shingle hashes of each text, one text after the other."""
     data, at = text_bytes(column)
-    out: list[np.ndarray] = []
     for _, _, some, own in pieces(data, at):
         words, of = word_hashes(some, own, lower=True)
         grams, gram_of = window_hashes(words, of, SHINGLE)
@@ -50,10 +51,9 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
             n = of[i + 1] - of[i]
             if 0 < n < SHINGLE:
                 whole, _ = window_hashes(words[of[i] : of[i + 1]], np.array([0, n]), int(n))
-                out.append(mix(whole + np.uint64(n)) >> np.uint64(1))
+                yield mix(whole + np.uint64(n)) >> np.uint64(1)
             else:
-                out.append(np.unique(grams[gram_of[i] : gram_of[i + 1]]))
-    return out
+                yield np.unique(grams[gram_of[i] : gram_of[i + 1]])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -61,10 +61,12 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column("text"))
-            ids = [b"".join(int(mix(s + np.uint64(c)).sum(dtype=np.uint64)).to_bytes(8, "big") for c in (1, 2**63)) if len(s) else None for s in sets]
-            sketch = pa.array([s[:K].astype(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), sketch], names=["doc_id", "n_shingles", "set_id", "sketch"])
+            sizes, ids, least = [], [], []
+            for s in shingle_sets(batch.column("text")):
+                sizes.append(len(s))
+                ids.append(b"".join(int(mix(s + np.uint64(c)).sum(dtype=np.uint64)).to_bytes(8, "big") for c in (1, 2**63)) if len(s) else None)
+                least.append(s[:K].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_id", "sketch"])
 
     return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, set_id binary, sketch array<long>")
 
@@ -122,12 +124,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, int)
-            right = shingle_sets(batch.column("tb").take(pa.array(first)))
-            of = np.searchsorted(first, np.arange(len(b)), side="right") - 1
+            # rows come in runs of equal b: its set is made once a run
+            new = np.concatenate([[True], b[1:] != b[:-1]]) if len(b) else np.zeros(0, bool)
+            rights = shingle_sets(batch.column("tb").take(pa.array(np.flatnonzero(new))))
             ok = np.zeros(len(a), bool)
             for i, x in enumerate(shingle_sets(batch.column("ta"))):
-                y = right[of[i]]
+                if new[i]:
+                    y = next(rights)
                 inter = len(np.intersect1d(x, y, assume_unique=True))
                 ok[i] = 100 * inter >= PERCENT * (len(x) + len(y) - inter)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok], pa.int64()), pa.array(b[ok], pa.int64())], names=["a", "b"])
