@@ -160,16 +160,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def _across_blocks(left: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) that join the groups of classes which share long lists: a spanning set of them, not all.
 
-    Classes of lists that hang together are a family. Its members' sets, as 32-bit hashes, are dealt out in blocks;
-    a task compares two blocks by an index over one, and hands on a pair only if its groups aren't joined yet. A
-    collision of short hashes can only add a candidate, which the full sets then refuse."""
+    Classes of lists that hang together are a family. Its members' full sets are dealt out in blocks; a task
+    compares two blocks by an index over one, and hands on a pair only if its groups aren't joined yet. The test is
+    the one of confirmed(), so no pair that it would refuse joins two groups here and hides a true one."""
     least = left.groupBy("value").agg(F.min("rep").alias("least"))
     hang = components(left.join(least, "value").select("rep", "least").distinct(), "rep", "least")
     members = written(left.select("rep", "n", "label").distinct().join(hang.select(F.col("v").alias("rep"), F.col("label").alias("family")), "rep"), "near-members")
 
     def run(batches):
         for batch in batches:
-            sets = [np.unique((s >> np.uint64(20)).astype(np.uint32)).tobytes() for s in shingle_sets(batch.column("text"))]
+            sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], names=["rep", "hashes"])
 
     texts = _texts(docs, members.select(F.col("rep").alias("doc_id")))
@@ -195,18 +195,18 @@ def _across_blocks(left: DataFrame, docs: DataFrame) -> DataFrame:
             return x
 
         if len(one) and len(other):
-            sets_ = [np.frombuffer(x, np.uint32) for x in other["hashes"]]
-            values, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), [len(x) for x in sets_])
+            sets_ = [np.frombuffer(x, np.uint64) for x in other["hashes"]]
+            values, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_), dtype=np.int32), [len(x) for x in sets_])
             order = np.argsort(values, kind="stable")
             values, owner = values[order], owner[order]
             rep, n, label = (other[c].to_numpy() for c in ("rep", "n", "label"))
             for a, na, la, x in zip(one["rep"], one["n"], one["label"], one["hashes"], strict=True):
-                x = np.frombuffer(x, np.uint32)
+                x = np.frombuffer(x, np.uint64)
                 lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
                 many = hi - lo
                 at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 shared = np.bincount(owner[at], minlength=len(rep))
-                for k in np.flatnonzero((100 * (shared + 1) >= PERCENT * (n + na - shared - 1)) & (label != la)):
+                for k in np.flatnonzero((100 * shared >= PERCENT * (n + na - shared)) & (label != la)):
                     p, q = find(int(la)), find(int(label[k]))
                     if p != q:
                         root[max(p, q)] = min(p, q)

@@ -96,6 +96,18 @@ def test_near_duplicates_in_chains_stars_and_long_lists(spark, monkeypatch):
     same_groups(spark, rows)
 
 
+def test_pairs_that_just_miss_hide_no_link_between_blocks(spark):
+    """Two groups that meet in one long list: every pair but one between them shares 85 of 115 shingles, one too few."""
+    base = prose(8, 200, 100_000).split()
+    rows = [(k, " ".join([*base[:89], *(f"y{k}x{i}" for i in range(15))])) for k in range(24)]
+    rows[11] = (11, " ".join(base[:104]))
+    rows[23] = (23, " ".join([*base[:100], "z1", "z2", "z3", "z4"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = spark.createDataFrame([(1, k, 100, len(rows), k // 12 * 12) for k, _ in rows], "value long, rep long, n long, m long, label long")
+    pairs = op02_minhash._across_blocks(left, docs)
+    assert [tuple(r) for r in op02_minhash.confirmed(pairs, docs).collect()] == [(11, 23)]
+
+
 def test_near_duplicates_of_edge_rows(spark, edges):
     got = op02_minhash.op2_minhash_dedup(spark, edges).collect()
     assert len(got) == len(EDGES)
