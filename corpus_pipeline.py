@@ -37,8 +37,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole copy."""
-    taken = op05_mixing.mix(docs).filter("size > 0").groupBy(F.col("doc_id").alias("mix_id")).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("mix_copies"))
+    """Each document as often as the mix takes it, in whole copies; fractions carry over to the source's next document."""
+    taken = op05_mixing.whole_copies(docs).groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("mix_copies"))
     mixed = docs.join(taken.filter("mix_copies > 0"), F.col("doc_id").eqNullSafe(F.col("mix_id")))
     return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
 

@@ -28,6 +28,8 @@ WEIGHTS, SHARE, CAP, SLOTS = (3, 1, 2), 1.5, 2.0, 1 << 16
 STEP = 0.6180339887498949
 #: Buckets by the first hex digits of the document's hash.
 HEX = 3
+#: Fractions of a document are counted in whole units of 1 / UNIT.
+UNIT = 1 << 30
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -93,8 +95,8 @@ def placed(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return own.join(base, ["place", "bucket"]).withColumn("start", F.col("base") + F.col("before")).drop("base", "before", "h")
 
 
-def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs(doc_id, source, text)."""
+def _mixed(docs: DataFrame, slots: int) -> DataFrame:
+    """What mix() gives, with each row's place, bucket and rank in the bucket."""
     sizes = sized(docs)
     targets = written(source_targets(sizes, slots), "mix-targets")
     taken = schedule(targets, slots).select("place", "block", "words")
@@ -104,7 +106,25 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     first = F.col("block") * F.col("block_words")
     words_ = F.coalesce("words", F.lit(0))  # a block that no slot takes; least() would pass over a null
     overlap = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), first + words_) - F.greatest("start", first))
-    return hit.groupBy("place", "bucket", "nth", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(overlap), F.lit(0)).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    return hit.groupBy("place", "bucket", "nth", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(overlap), F.lit(0)).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row of docs(doc_id, source, text)."""
+    return _mixed(docs, slots).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def whole_copies(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """mix() of the rows with words, with copies: how often the whole document is taken. The fractions left over add up
+    along the source's hashed order, and a document gets one copy more where their sum passes a half, so each source
+    keeps its share however long its documents are."""
+    rows = written(_mixed(docs, slots).filter("size > 0").withColumn("part", F.expr(f"((taken % size) * {UNIT}) div size")), "mix-taken")
+    sums = rows.groupBy("place", "bucket").agg(F.sum("part").alias("n"))
+    base = sums.select("place", "bucket", (F.sum("n").over(W.partitionBy("place").orderBy("bucket")) - F.col("n")).alias("base"))
+    inside = W.partitionBy("place", "bucket").orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
+    upto = rows.withColumn("upto", F.sum("part").over(inside)).join(base, ["place", "bucket"]).withColumn("upto", F.col("upto") + F.col("base") + UNIT // 2)
+    copies = F.expr(f"taken div size + upto div {UNIT} - (upto - part) div {UNIT}").cast("int")
+    return upto.select("doc_id", "size", "source_size", "target", "taken", copies.alias("copies"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,13 @@ def test_stages(spark):
 def test_empty_tables(spark, tmp_path):
     table(spark, SMALL, "documents").limit(0).withColumn("mix_copy", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_long_documents_of_each_source_meet_its_target(spark):
+    """Source b has 30 % of the words, weight 1 and a ratio near a third."""
+    rows = [(s * 1000 + i, " ".join(["word"] * 100), "en", "abcdefg"[s], 499) for s, n in enumerate([30, 60, 20, 30, 10, 20, 30]) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    words = Counter(r.source for r in P.mixing(spark, docs, SMALL).collect())
+    targets = {r.source: r.target for r in op05_mixing.source_targets(op05_mixing.sized(docs)).collect()}
+    assert 0.25 < targets["b"] / 6000 < 0.45
+    assert all(abs(100 * words[s] - t) <= 200 for s, t in targets.items())
