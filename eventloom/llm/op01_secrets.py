@@ -50,6 +50,9 @@ MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
 )
 RULES, RULE_VERSION = BASE + MORE, "2"
+#: What is masked: a key goes from its BEGIN line to its END line, or to the end of the text where that is missing.
+_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)"
+MASKED, MASKED_VERSION = tuple(Rule("pem", _KEY, 0, 0) if r.kind == "pem" else r for r in RULES), "3"
 
 
 def find_secrets(text: str, rules: tuple[Rule, ...]) -> list[tuple[str, int, int]]:
@@ -88,7 +91,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """docs with each stretch of found spans replaced by mark and n_chars brought in line; no row is dropped."""
     names = docs.columns
     docs = with_blob_id(docs)
-    ledger = scan_unseen(docs.select("blob_id", "text")).filter(F.size("findings") > 0)
+    ledger = scan_unseen(docs.select("blob_id", "text"), rules=MASKED, rule_version=MASKED_VERSION).filter(F.size("findings") > 0)
     piece = lambda start, n: F.substring(F.col("text"), start + 1, n)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda a, f: F.struct(
@@ -97,7 +100,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     )
     rest = lambda a: F.concat(a["out"], piece(a["at"], F.length(F.col("text"))))
     text = F.when(F.col("findings").isNull(), F.col("text")).otherwise(F.aggregate("findings", start, step, rest))
-    found = findings_by_path(docs, ledger).withColumn("text", text)
+    found = findings_by_path(docs, ledger, MASKED_VERSION).withColumn("text", text)
     if "n_chars" in names:
         found = found.withColumn("n_chars", F.when(F.col("findings").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return found.select(*names)

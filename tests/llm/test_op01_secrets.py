@@ -42,3 +42,10 @@ def test_redact_merges_overlaps_and_keeps_rows(spark):
     docs = spark.createDataFrame([(1, f"é {secret} b", 5), (2, None, 0), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in S.redact(docs).collect()}
     assert got == {1: ("é [REDACTED] b", 14), 2: (None, 0), 3: ("clean", 5)}
+
+
+def test_redact_leaves_no_line_of_a_key(spark):
+    body = "MIIEvQIBADANBg\nkqhkiG9w0BAQEF\n"
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----"
+    docs = spark.createDataFrame([(1, f"a {begin}{body}{end} b {begin}{body}{end} c"), (2, f"a {begin}{body}")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in S.redact(docs).collect()} == {1: "a [REDACTED] b [REDACTED] c", 2: "a [REDACTED]"}
