@@ -1,7 +1,8 @@
 """Main-text extraction by composite text density.
 
-Each page is parsed into a tree of elements. Elements that never hold main text (scripts, menus, forms, and
-whatever is named as an advert, a notice, a sidebar or comments) are cut off. Every node left gets its
+Each page is parsed into a tree of elements. Elements that never hold main text (scripts, menus) are cut off.
+Forms, and whatever is named as an advert, a notice, a sidebar or comments, are only suspected: one goes unless it
+holds most of the page's characters outside links, or the page's articles. Every node left gets its
 characters, tags, link characters and link tags; its composite density is characters per tag, damped by the
 share of links; its density sum adds its children's densities. The node of the largest sum is the core, the
 smallest density on the path from it to the body is the threshold, and below every node at or above the
@@ -29,7 +30,7 @@ _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 #: Elements without main text, wherever they are.
-CUT = frozenset("script style noscript template svg math iframe object canvas audio video nav footer aside form button select textarea input dialog head menu label option map noembed noframes".split())
+CUT = frozenset("script style noscript template svg math iframe object canvas audio video nav footer aside button select textarea input dialog head menu label option map noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 #: Containers that a core is widened to; anything else is part of one.
 CONTAINER = frozenset("article main div section body td html".split())
@@ -44,21 +45,24 @@ CLOSES = {
     "th": (frozenset({"td", "th", "p"}), frozenset({"tr", "table"})),
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
-#: Names (a whole word of a class or id) of what is not main text.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promos|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|"
+#: Names (a whole class or id) of what is not main text.
+_WORDS = (
+    r"(?:ads?|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promos|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|"
     r"nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|sidebar|sidebars|rail|widget|widgets|footer|masthead|"
-    r"comment|comments|disqus|replies|respond|related|recommended|recommendations|share|sharing|social|newsletter|subscribe|signup|login|search|pagination|pager|skip|toc|tags|hidden)(?:$|[\s_-])", re.I
+    r"comment|comments|disqus|replies|respond|related|recommended|recommendations|share|sharing|social|newsletter|subscribe|signup|login|search|pagination|pager|skip|toc|tags|hidden)"
 )
+#: Words that say which one, or what kind of box, beside such a name: cookie-notice, comments-area, site-footer.
+_BESIDE = r"(?:area|bar|block|box|button|buttons|container|form|footer|header|inner|item|items|left|link|links|list|main|media|page|panel|post|posts|primary|right|secondary|section|site|slot|top|unit|wrap|wrapper)"
+NOISE = re.compile(rf"(?:^|\s)(?:(?:{_BESIDE}|{_WORDS})[_-]+)*{_WORDS}(?:[_-]+(?:{_BESIDE}|{_WORDS}))*(?:$|\s)", re.I)
 HEADER = re.compile(r"(?:^|\s)(?:site|page|top|global|main)?[_-]?header(?:$|\s)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "chars", "tags", "links", "link_tags", "density", "sum", "cut")
+    __slots__ = ("tag", "parent", "kids", "chars", "tags", "links", "link_tags", "density", "sum", "cut", "suspect")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False):
-        self.tag, self.parent, self.kids, self.cut = tag, parent, [], cut
+        self.tag, self.parent, self.kids, self.cut, self.suspect = tag, parent, [], cut, False
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -70,8 +74,6 @@ def _is_cut(tag: str, attrs: str, inside_article: bool) -> bool:
         return False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and (NOISE.search(value) or (not inside_article and HEADER.search(value))):
-            return True
         if name == "role" and value.strip().lower() in ROLES:
             return True
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
@@ -79,6 +81,39 @@ def _is_cut(tag: str, attrs: str, inside_article: bool) -> bool:
     return False
 
 
+def _is_suspect(tag: str, attrs: str, inside_article: bool) -> bool:
+    if tag == "form":
+        return True
+    if not attrs or tag in ("html", "body", "article", "main"):
+        return False
+    names = [a or b or c for name, a, b, c in _ATTR.findall(attrs) if name.lower() in ("class", "id")]
+    return any(NOISE.search(x) or (not inside_article and HEADER.search(x)) for x in names)
+
+
+def _cut_suspects(root: Node) -> None:
+    """Cut the suspects off, but not one with most of the page's characters outside links, nor one with an article
+    when every article of the page is inside of suspects."""
+    order = _in_order(root)
+    if not any(n.suspect for n in order):
+        return
+    linked, plain, articles = {id(None): False}, {}, {}
+    for n in order:
+        linked[id(n)] = linked[id(n.parent)] or n.tag == "a"
+    for n in reversed(order):
+        own = 0 if linked[id(n)] else sum(len("".join(k.split())) for k in n.kids if isinstance(k, str))
+        below = [k for k in n.kids if isinstance(k, Node) and not k.cut]
+        plain[id(n)] = own + sum(plain[id(k)] for k in below)
+        articles[id(n)] = n.tag in ("article", "main") or any(articles[id(k)] for k in below)
+    for n in order:
+        n.suspect = n.suspect and 2 * plain[id(n)] <= plain[id(root)]
+    under, clear = {id(None): False}, False
+    for n in order:
+        under[id(n)] = under[id(n.parent)] or n.suspect
+        clear = clear or n.tag in ("article", "main") and not under[id(n)]
+    for n in order:
+        n.cut = n.suspect and (clear or not articles[id(n)])
+
+
 def parse(html: str) -> Node:
     """The tree of a page; texts are strings among a node's children, with their references decoded."""
     root = Node("html", None)
@@ -118,6 +153,7 @@ def parse(html: str) -> Node:
                     articles -= node.tag in ("article", "main")
                     node = node.parent
         child = Node(tag, node, node.cut or _is_cut(tag, m[3], articles > 0))
+        child.suspect = _is_suspect(tag, m[3], articles > 0)
         node.kids.append(child)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -131,6 +167,7 @@ def parse(html: str) -> Node:
         articles += tag in ("article", "main")
         node = child
     add(html[at:])
+    _cut_suspects(root)
     return root
 
 

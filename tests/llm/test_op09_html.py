@@ -50,3 +50,16 @@ def test_query_on_edge_rows(spark, tmp_path):
     assert {r.page_id: r.n_chars for r in got}[3] == 499_999
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/e/pages.parquet")
     assert H.op9_html_extraction(spark, f"{tmp_path}/e").count() == 0
+
+
+@pytest.mark.parametrize("start", ["<div class='has-sidebar'>", "<div class='with-banner'>", "<div class='no-comments'>", "<section class='post-tags'>", "<div class=banner>", "<form>"])
+def test_a_wrapper_keeps_its_article(start):
+    end = f"</{start[1:].split()[0].rstrip('>')}>"
+    want = H.main_text(ARTICLE)
+    assert want and H.main_text(f"<body><p>Hi</p>{start}{ARTICLE}<div class=share>Share it</div>{end}</body>") == want
+    assert H.main_text(f"<body><p>Hi</p>{start}{ARTICLE.replace('article', 'div')}{end}</body>").endswith(want)
+
+
+def test_short_articles_in_named_boxes_stay():
+    box = "<div class=widget><article><p>A text of some length number {}.</p></article></div>"
+    assert "number 1" in H.main_text("<body>" + "".join(box.format(i) for i in range(5)))
