@@ -22,10 +22,10 @@ def documents_as_events(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     none = F.lit(None)
     return d.select(
-        F.col("doc_id").cast("string").alias("id"), "source", F.col("doc_id").alias("seq"), F.substring(F.split("text", "\n")[0], 1, 200).alias("title"),
+        F.col("doc_id").cast("string").alias("id"), "source", F.col("doc_id").alias("seq"), F.split("text", "\n")[0].alias("title"),
         F.concat(F.lit("https://www.example.org/"), F.md5(F.col("text").cast("binary")), F.lit("/?utm_source=x")).alias("url"), F.date_add(F.lit("2026-10-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("date"),
         F.when(F.col("doc_id") % 3 > 0, F.format_string("%02d:30", (F.col("doc_id") % 4 + 17).cast("int"))).alias("time"), none.cast("timestamp").alias("start"), none.cast("string").alias("location"),
-        F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 400)).alias("description"), F.array().cast("array<string>").alias("speakers"), none.cast("boolean").alias("free"), none.cast("boolean").alias("online"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("description"), F.array().cast("array<string>").alias("speakers"), none.cast("boolean").alias("free"), none.cast("boolean").alias("online"),
         none.cast("string").alias("price"), F.array().cast("array<struct<source:string,url:string>>").alias("also_at"),
     )
 
@@ -174,6 +174,12 @@ def explode_sessions(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.substring("text", 1, 80), " ")).alias("nth", "word")).select("conv_id", "turn", F.col("nth").cast("long").alias("nth"), "word")
 
 
+@register("explode_sessions_whole", "SELECT conv_id, turn, nth, word FROM (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS nth FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations))")
+def explode_sessions_whole(spark, sf_dir):
+    """explode_sessions over all of each turn, not its first 80 characters."""
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("nth", "word")).select("conv_id", "turn", F.col("nth").cast("long").alias("nth"), "word")
+
+
 @register("first_wins_distinct", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations) WHERE nth = 1")
 def first_wins_distinct(spark, sf_dir):
     nth = F.row_number().over(W.partitionBy("conv_id", "role").orderBy("turn"))

@@ -120,3 +120,14 @@ def test_history_and_snapshots(spark):
     assert {(r.source, r.v) for r in runs.keep_snapshot(old, new, status).collect()} == {("a", 1), ("b", 2)}
     shown = spark.range(1).select(runs.duration_label(F.lit(514000)).alias("d"), runs.staleness_days(F.lit("2026-10-01 00:00:00").cast("timestamp"), F.lit("2026-10-03 12:00:00").cast("timestamp")).alias("s")).first()
     assert tuple(shown) == ("8 min 34 s", 2)
+
+
+def test_titles_descriptions_and_turns_are_whole(spark, tmp_path):
+    from eventloom.plans import records
+
+    line = "word " * 60 + "end"
+    spark.createDataFrame([(2, f"{line}\n{'x' * 500}", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, line)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    e = records.documents_as_events(spark, str(tmp_path)).first()
+    assert (e.title, len(e.description)) == (line, len(line) + 501)
+    assert [r.word for r in records.explode_sessions_whole(spark, str(tmp_path)).orderBy("nth").collect()] == line.split(" ")
