@@ -6,6 +6,10 @@ word its place in the table of id outputs. The automaton is a few flat arrays in
 size (at most `LEXICON` words), sent to the workers once and memory-mapped there. A pre-token that it lacks is
 merged exactly. Results equal the public tokenizers library's.
 
+A pre-token takes at most one space before it and no other white space together with anything else. So wherever
+white space is a single character between words, a text falls apart there, and each distinct stretch is split
+into pre-tokens once, not once per occurrence. Words are counted in the JVM, and only distinct ones are split.
+
 Defined cases: a null or empty text has no ids and decodes to the empty text; the special token's string in a
 text becomes its id, as in the library; very long pre-tokens are merged with a heap, in n log n time.
 """
@@ -15,8 +19,8 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
+import re
 import tempfile
-from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -29,9 +33,11 @@ from pyspark.sql import functions as F
 from .common import forget, mapped, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Words in the transducer at most; how many words a worker remembers; words that a counting task holds at once.
-LEXICON, REMEMBERED, COUNTED = 32_768, 500_000, 400_000
+#: Words in the transducer at most; how many stretches of text a worker remembers.
+LEXICON, REMEMBERED = 32_768, 300_000
 _S = r"\t-\r \x85\xa0  -     　"
+_LONE = re.compile(rf"[{_S}][{_S}]|\A[{_S}]|[{_S}]\Z")
+_UNIT = re.compile(rf" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
@@ -208,11 +214,12 @@ class _Memory(dict):
 
 
 class Encoder:
-    """Encodes and decodes texts; what it remembers of a pre-token are its ids in decimal and their bytes."""
+    """Encodes and decodes texts; what it remembers of a stretch are its ids in decimal and their bytes."""
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon):
         self.bpe, self.lexicon = bpe, lexicon
-        self.decimal = _Memory(lambda word: ",".join(map(str, self.ids(word))))
+        self.decimal = _Memory(self._decimal)
+        self.after_space = _Memory(lambda word: self._decimal(" " + word))
         self.raw = _Memory(lambda shown: b"".join(bpe.bytes_of[int(i)] for i in shown.split(",")))
 
     def ids(self, word: str) -> list[int]:
@@ -220,15 +227,23 @@ class Encoder:
         found = self.lexicon.get(raw)
         return self.bpe.merge(raw) if found is None else found
 
+    def _decimal(self, stretch: str) -> str:
+        return ",".join([str(i) for word in PRETOKEN.findall(stretch) for i in self.ids(word)])
+
+    def _plain(self, text: str) -> list[str]:
+        if _LONE.search(text):
+            return list(map(self.decimal.__getitem__, _UNIT.findall(text)))
+        first, *rest = text.split(" ")
+        return [self.decimal[first], *map(self.after_space.__getitem__, rest)]
+
     def pieces(self, text: str) -> list[str]:
-        """The ids of each pre-token, in decimal."""
-        if len(parts := _split(text, self.bpe.special)) == 1:
-            return list(map(self.decimal.__getitem__, PRETOKEN.findall(text)))
+        """The ids of each stretch, in decimal."""
         out: list[str] = []
-        for special, part in parts:
+        for special, part in _split(text, self.bpe.special):
             if special is not None:
                 out.append(str(special))
-            out += map(self.decimal.__getitem__, PRETOKEN.findall(part))
+            if part:
+                out += self._plain(part)
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -262,28 +277,23 @@ def encoder(path: str, block: bytes) -> Encoder:
     return _encoders[key]
 
 
-def frequent_words(docs: DataFrame, most: int = LEXICON, path: str | None = None) -> list[str]:
-    """The most frequent pre-tokens over all texts, `most` at most (no part of a tie is taken), counted in each task first."""
-    special = Bpe(path or default_path()).special
-
-    def count(batches):
-        seen: Counter = Counter()
-
-        def out():
-            block = pa.RecordBatch.from_pydict({"word": pa.array(list(seen.keys()), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
-            seen.clear()
-            return block
+def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
+    """The most frequent pre-tokens, `most` at most (no part of a tie is taken), among those that follow a space, up
+    to 63 characters long. Every word of every text is counted."""
+    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("word")).filter(F.length("word").between(1, 62))
+    words = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
+    def split(batches):
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for _, part in _split(text or "", special):
-                    seen.update(PRETOKEN.findall(part))
-                if len(seen) >= COUNTED:
-                    yield out()
-        yield out()
-
-    counted = mapped(docs.select("text"), count, "word string, n long").filter(F.length("word") < 64)
-    counted = written(counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "bpe-words")
+            of, tokens = [], []
+            for i, word in enumerate(batch.column("word").to_pylist()):
+                found = PRETOKEN.findall(" " + word)
+                tokens += found
+                of += [i] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), batch.column("n").take(pa.array(of, pa.int32()))], names=["word", "n"])
+
+    counted = mapped(words, split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    counted = written(counted, "bpe-words")
     # the least count of which there are `most` words at most above it: only those words come to the driver
     above = F.sum("words").over(W.orderBy(F.desc("n")))
     least = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("above", above).filter(F.col("above") <= most).agg(F.min("n")).first()[0]
@@ -296,7 +306,7 @@ def encode(docs: DataFrame, lexicon: int = LEXICON, path: str | None = None) ->
     """docs(doc_id, text) with n_tokens, ids (decimal, comma-joined) and decoded text digests."""
     spark, path = docs.sparkSession, path or default_path()
     bpe = Bpe(path)
-    block = spark.sparkContext.broadcast(compile_lexicon({w.encode(): bpe.merge(w.encode()) for w in frequent_words(docs, lexicon, path)}))
+    block = spark.sparkContext.broadcast(compile_lexicon({w.encode(): bpe.merge(w.encode()) for w in frequent_words(docs, lexicon)}))
 
     def run(batches):
         own = encoder(path, block.value)
