@@ -176,7 +176,8 @@ def labelled(docs: DataFrame, model: Model, name: str, score: str) -> DataFrame:
         return pd.DataFrame({"lang": names, "score": scores, "languages": many})
 
     small_batches(docs.sparkSession)
-    found = docs.withColumn("_mixture", predict_("text"))
+    # not deterministic as far as the optimizer is told: else a filter on the result would run it a second time
+    found = docs.withColumn("_mixture", predict_.asNondeterministic()("text"))
     return found.select(*docs.columns, F.col("_mixture.lang").alias(name), F.col("_mixture.score").alias(score))
 
 
