@@ -18,7 +18,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _INV_P = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _M = np.uint64(0xD6E8FEB86659FD93)
 #: Texts are worked on in pieces of about so many bytes; a longer text is a piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
