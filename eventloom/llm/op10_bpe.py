@@ -6,9 +6,9 @@ word its place in the table of id outputs. The automaton is a few flat arrays in
 size (at most `LEXICON` words), sent to the workers once and memory-mapped there. A pre-token that it lacks is
 merged exactly. Results equal the public tokenizers library's.
 
-A pre-token takes at most one space before it and no other white space together with anything else. So wherever
-white space is a single character between words, a text falls apart there, and each distinct stretch is split
-into pre-tokens once, not once per occurrence. Words are counted in the JVM, and only distinct ones are split.
+A worker takes some texts at a time: pre-tokens that it doesn't know yet walk the automaton together, and what the
+automaton lacks is merged together, one step of all words at a time. For the lexicon, words are counted in the JVM,
+and only distinct ones are split into pre-tokens.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; the special token's string in a
 text becomes its id, as in the library; very long pre-tokens are merged with a heap, in n log n time.
@@ -19,8 +19,8 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
-import re
 import tempfile
+from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -33,11 +33,12 @@ from pyspark.sql import functions as F
 from .common import forget, mapped, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Words in the transducer at most; how many stretches of text a worker remembers.
-LEXICON, REMEMBERED = 32_768, 300_000
+#: Words in the transducer at most; pre-tokens that a worker remembers; characters of text that it takes together.
+LEXICON, REMEMBERED, TOGETHER = 32_768, 400_000, 1 << 21
 _S = r"\t-\r \x85\xa0  -     　"
-_LONE = re.compile(rf"[{_S}][{_S}]|\A[{_S}]|[{_S}]\Z")
-_UNIT = re.compile(rf" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_NONE = np.int32(1 << 30)
+
+
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
@@ -63,6 +64,11 @@ class Bpe:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {(vocab[a], vocab[b]): k for k, (a, b) in enumerate(pairs)}
         self.merged = [vocab[a + b] for a, b in pairs]
+        # the same for many words at once
+        keys = np.array([(vocab[a] << 20) | vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_rank = keys[order], order.astype(np.int32)
+        self.merged_ids, self.byte_ids = np.array(self.merged, np.int32), np.array([self.byte_id[b] for b in range(256)], np.int32)
 
     def merge(self, word: bytes) -> list[int]:
         ids = [self.byte_id[b] for b in word]
@@ -81,6 +87,51 @@ class Bpe:
                 near[i] = rank.get((ids[i], ids[i + 1]), none)
         return ids
 
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """merge of each word, one step of all words at a time."""
+        out: list[list[int]] = [[]] * len(words)
+        short = sorted((i for i, w in enumerate(words) if len(w) <= 48), key=lambda i: len(words[i]))
+        for k in range(0, len(short), 4096):
+            some = short[k : k + 4096]
+            for i, ids in zip(some, self._merge_rows([words[i] for i in some]), strict=True):
+                out[i] = ids
+        for i, w in enumerate(words):
+            if len(w) > 48:
+                out[i] = self.merge(w)
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair; _NONE where there is none, or no second part (-1)."""
+        key = (a.astype(np.int64) << 20) | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((b >= 0) & (self.pair_keys[at] == key), self.pair_rank[at], _NONE)
+
+    def _merge_rows(self, words: list[bytes]) -> list[list[int]]:
+        size = np.array([len(w) for w in words])
+        wide = int(size.max()) if len(size) else 0
+        ids = np.full((len(words), wide + 1), -1, np.int32)
+        ids[:, :wide][np.arange(wide) < size[:, None]] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        rows, at = np.arange(len(words)), np.arange(wide + 1)
+        while wide:
+            best = ranks[rows].min(1)
+            rows, best = rows[best < _NONE], best[best < _NONE]
+            if not len(rows):
+                break
+            own, rank = ids[rows], ranks[rows]
+            pos = rank.argmin(1)
+            take = np.minimum(at + (at > pos[:, None]), wide)  # what follows the merged pair moves up
+            own = np.take_along_axis(own, take, 1)
+            rank = np.take_along_axis(rank, np.minimum(take[:, :-1], wide - 1), 1)
+            rank[:, -1] = _NONE
+            r = np.arange(len(rows))
+            own[r, pos] = self.merged_ids[best]
+            rank[r, pos] = self._ranks(own[r, pos], own[r, pos + 1])
+            before = pos > 0
+            rank[r[before], pos[before] - 1] = self._ranks(own[r[before], pos[before] - 1], own[r[before], pos[before]])
+            ids[rows], ranks[rows] = own, rank
+        return [row[:n] for row, n in zip(ids.tolist(), (ids >= 0).sum(1).tolist(), strict=True)]
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         n, rank = len(ids), self.rank
         left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
@@ -175,86 +226,91 @@ class Lexicon:
             f.write(block)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        whole = memoryview(self.map)
-        sizes, at, views = whole[:56].cast("Q"), 56, []
-        for n, kind in zip(sizes, "IBBIIII", strict=True):
-            if len(views) == 2:
-                self.labels = at
-            end = at + n * (4 if kind == "I" else 1)
-            views.append(whole[at:end].cast(kind))
-            at = end
-        self.first, self.final, _, self.targets, self.skips, self.at, self.ids = views
+        at, views = 56, []
+        for n, kind in zip(np.frombuffer(self.map, "<u8", 7).tolist(), ("<u4", "u1", "u1", "<u4", "<u4", "<u4", "<u4"), strict=True):
+            views.append(np.frombuffer(self.map, kind, n, at))
+            at += views[-1].nbytes
+        first, self.final, labels, self.targets, self.skips, self.at, self.ids = views
+        #: State and label of each edge, in order.
+        self.keys = (np.repeat(np.arange(len(first) - 1), np.diff(first.astype(np.int64))) << 8) | labels
 
     def get(self, word: bytes) -> list[int] | None:
-        state, place, base, find = 0, 0, self.labels, self.map.find
-        first, targets, skips = self.first, self.targets, self.skips
-        for i in range(len(word)):
-            edge = find(word[i : i + 1], base + first[state], base + first[state + 1])
-            if edge < 0:
-                return None
-            place += skips[edge - base]
-            state = targets[edge - base]
-        return self.ids[self.at[place] : self.at[place + 1]].tolist() if self.final[state] and word else None
-
-
-class _Memory(dict):
-    """word to what `make` gives for it, for at most REMEMBERED short words at a time."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str):
-        value = self.make(word)
-        if len(word) < 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = value
-        return value
+        return self.get_many([word])[0]
+
+    def get_many(self, words: list[bytes]) -> list[list[int] | None]:
+        """The ids of each word, or None: all words walk the automaton together, byte by byte."""
+        size = np.array([len(w) for w in words], np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        at = np.cumsum(size) - size
+        state, place = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        walking, done = np.flatnonzero(size), np.zeros(len(words), bool)
+        step = 0
+        while len(walking) and len(self.keys):
+            key = (state[walking] << 8) | data[at[walking] + step]
+            edge = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ok = self.keys[edge] == key
+            walking, edge = walking[ok], edge[ok]
+            place[walking] += self.skips[edge]
+            state[walking] = self.targets[edge]
+            step += 1
+            ended = size[walking] == step
+            done[walking[ended]] = self.final[state[walking[ended]]] == 1
+            walking = walking[~ended]
+        ids, first = self.ids, self.at
+        return [ids[first[p] : first[p + 1]].tolist() if ok else None for ok, p in zip(done.tolist(), place.tolist(), strict=True)]
 
 
 class Encoder:
-    """Encodes and decodes texts; what it remembers of a stretch are its ids in decimal and their bytes."""
+    """Encodes and decodes texts. What it remembers of a pre-token are its ids in decimal and their bytes."""
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon):
         self.bpe, self.lexicon = bpe, lexicon
-        self.decimal = _Memory(self._decimal)
-        self.after_space = _Memory(lambda word: self._decimal(" " + word))
-        self.raw = _Memory(lambda shown: b"".join(bpe.bytes_of[int(i)] for i in shown.split(",")))
-
-    def ids(self, word: str) -> list[int]:
-        raw = word.encode()
-        found = self.lexicon.get(raw)
-        return self.bpe.merge(raw) if found is None else found
-
-    def _decimal(self, stretch: str) -> str:
-        return ",".join([str(i) for word in PRETOKEN.findall(stretch) for i in self.ids(word)])
-
-    def _plain(self, text: str) -> list[str]:
-        if _LONE.search(text):
-            return list(map(self.decimal.__getitem__, _UNIT.findall(text)))
-        first, *rest = text.split(" ")
-        return [self.decimal[first], *map(self.after_space.__getitem__, rest)]
-
-    def pieces(self, text: str) -> list[str]:
-        """The ids of each stretch, in decimal."""
-        out: list[str] = []
-        for special, part in _split(text, self.bpe.special):
-            if special is not None:
-                out.append(str(special))
-            if part:
-                out += self._plain(part)
-        return out
+        size = max(bpe.bytes_of) + 1
+        self.shown, self.raw = [str(i) for i in range(size)], [bpe.bytes_of.get(i, b"") for i in range(size)]
+        self.known: dict[str, tuple[str, bytes]] = {}
+
+    def ids(self, words: list[str]) -> list[list[int]]:
+        """Each pre-token's ids: from the lexicon, or merged."""
+        raw = [w.encode() for w in words]
+        found = self.lexicon.get_many(raw)
+        missing = [i for i, x in enumerate(found) if x is None]
+        for i, ids in zip(missing, self.bpe.merge_many([raw[i] for i in missing]), strict=True):
+            found[i] = ids
+        return found
+
+    def _learn(self, words: list[str]) -> None:
+        shown, raw = self.shown, self.raw
+        for word, ids in zip(words, self.ids(words), strict=True):
+            self.known[word] = ",".join([shown[i] for i in ids]), b"".join([raw[i] for i in ids])
+
+    def pieces(self, texts: list[str]) -> Iterator[list[tuple[str, bytes]]]:
+        """For each text, its pre-tokens' ids in decimal and the bytes these stand for."""
+        i, special = 0, self.bpe.special
+        while i < len(texts):
+            some, size = [], 0
+            while i < len(texts) and size < TOGETHER:
+                some.append(_split(texts[i], special))
+                size += len(texts[i])
+                i += 1
+            tokens = [[(mark, PRETOKEN.findall(part)) for mark, part in parts] for parts in some]
+            words = {w for parts in tokens for _, x in parts for w in x}
+            if len(self.known) + len(words) > REMEMBERED:
+                self.known = {w: x for w in words if (x := self.known.get(w)) is not None}
+            self._learn(list(words - self.known.keys()))
+            known = self.known
+            for parts in tokens:
+                out = []
+                for mark, x in parts:
+                    if mark is not None:
+                        out.append((self.shown[mark], self.raw[mark]))
+                    out += [known[w] for w in x]
+                yield out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for piece in self.pieces(text) for i in piece.split(",")]
-
-    def back(self, pieces: list[str]) -> str:
-        """Decodes the ids of pieces."""
-        return b"".join(map(self.raw.__getitem__, pieces)).decode("utf-8", "replace")
+        return [int(i) for found in self.pieces([text]) for shown, _ in found for i in shown.split(",")]
 
     def decode(self, ids: list[int]) -> str:
-        return self.back(list(map(str, ids)))
+        return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
 
 
 def _split(text: str, special: dict[str, int]):
@@ -306,18 +362,18 @@ def encode(docs: DataFrame, lexicon: int = LEXICON, path: str | None = None) ->
     """docs(doc_id, text) with n_tokens, ids (decimal, comma-joined) and decoded text digests."""
     spark, path = docs.sparkSession, path or default_path()
     bpe = Bpe(path)
-    block = spark.sparkContext.broadcast(compile_lexicon({w.encode(): bpe.merge(w.encode()) for w in frequent_words(docs, lexicon)}))
+    words = [w.encode() for w in frequent_words(docs, lexicon)]
+    block = spark.sparkContext.broadcast(compile_lexicon(dict(zip(words, bpe.merge_many(words), strict=True))))
 
     def run(batches):
         own = encoder(path, block.value)
         for batch in batches:
             n, ids, back = [], [], []
-            for text in batch.column("text").to_pylist():
-                found = own.pieces(text or "")
-                shown = ",".join(found)
+            for found in own.pieces([text or "" for text in batch.column("text").to_pylist()]):
+                shown = ",".join([x for x, _ in found])
                 n.append(shown.count(",") + 1 if found else 0)
                 ids.append(sha256(shown.encode()).hexdigest())
-                back.append(sha256(own.back(found).encode()).hexdigest())
+                back.append(sha256(b"".join([x for _, x in found]).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
