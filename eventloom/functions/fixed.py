@@ -100,3 +100,61 @@ POSTCODE = r"\b([A-Z]{1,2})\d[A-Z\d]?\s*\d[ABD-HJLNP-UW-Z]{2}\b"
 # Month names and the numbers they stand for
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 MONTH_NAME = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
+
+# Forms of a date. Groups are year, month and day as each form orders them
+DATE_ISO = r"\b(\d{4})-(\d{2})-(\d{2})(?!\d)"
+DATE_DAYS_OF_MONTH = rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s*[–—-]\s*\d{{1,2}}(?:st|nd|rd|th)?\s+{MONTH_NAME}(?:,?\s+(\d{{4}}))?"
+DATE_DAY_MONTH = rf"\b(\d{{1,2}})(?:st|nd|rd|th)?(?:\s+of)?[\s-]+{MONTH_NAME}(?:,?[\s-]+(\d{{4}}))?"
+DATE_MONTH_DAY = rf"\b{MONTH_NAME}\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s+(\d{{4}}))?\b"
+DATE_SLASHED = r"\b(\d{1,2})[/.](\d{1,2})[/.](\d{4}|\d{2})\b"
+
+# Digits that are a date, not a time
+DATE_DIGITS = (r"\b\d{4}-\d{2}-\d{2}(?:T(?=\d))?", r"\b\d{1,2}[/.]\d{1,2}[/.]\d{2,4}\b")
+
+# Forms of a time (a word, an hour with am or pm, a 24-hour time, an hour that opens a range ending in
+# am or pm), what comes before one that isn't the start, and what joins a time to the end of its range
+TIME_WORD = r"\b(noon|midday|midnight)\b"
+TIME_MERIDIEM = r"(?<![£$€\d.,:])\b(1[0-2]|0?[1-9])(?:[:.]([0-5]\d))?\s*([ap])\.?\s?m\b\.?"
+TIME_24_HOUR = r"(?<![£$€\d.,:])\b([01]\d|2[0-3]|\d)[:.]([0-5]\d)(?::[0-5]\d)?\b(?![.:,]?\d)(?!\s*(?:%|per\s*cent|hours?|hrs?|mins?|minutes?|km|miles?|million|bn|[mk]\b))"
+TIME_OPENS_RANGE = r"(?<![£$€\d.,:])\b(1[0-2]|0?[1-9])(?=\s*(?:-|–|—|to|until)\s*(?:1[0-2]|0?[1-9])(?:[:.][0-5]\d)?\s*[ap]\.?\s?m\b)"
+DOORS_BEFORE = r"\b(doors?)\b[^0-9]{0,14}"
+RANGE_END = r"\s*(?:-|–|—|to|until|till)\s*(?:(1[0-2]|0?[1-9])(?:[:.][0-5]\d)?\s*([ap])\.?\s?m\b|\b(noon|midday)\b)"
+
+# Honorifics before names, particles within them, letters after them, and words that no name has
+HONORIFIC = r"^(?:(?:Prof(?:essor)?|Dr|Sir|Dame|Lord|Lady|Baroness|Baron|Rev(?:erend)?|Rt\.? Hon\.?|The Hon\.?|Mr|Mrs|Ms|Mx|Emeritus|Associate|Assistant)\.?\s+)+"
+HONORIFIC_OF_KEY = r"^(?:(?:professor|prof|dr|sir|dame|lord|lady|baroness|baron|rev(?:erend)?|rt\.? hon|the hon|mr|mrs|ms|mx|miss)\.?\s+)+"
+PROSE_TITLES = "Professor Prof Dr Sir Dame Lord Lady Baroness Baron Rev Reverend".split()
+PROSE_SECOND_TITLES = "Sir Dame Dr Professor".split()
+PROSE_NEXT_PERSON = "Professor Prof Dr Sir Dame".split()
+PROSE_LETTERS = "FSA FRS FBA FRSE FLS FRAS OBE MBE CBE KBE DBE PhD MP".split()
+PROSE_PARTICLES = "van von de der da di du la le al el bin ibn".split()
+NAME_PARTICLES = "van von de der den da di du la le bin al el ibn y".split()
+POST_NOMINALS = r"(?:,?\s+(?:[A-Z]{2,6}|F[A-Z][A-Za-z]{1,7}|Ph\.?D|D\.?Phil|M\.?Sc|B\.?Sc|Hon))+\s*$"
+NAME_WORD = r"^[A-ZÀ-ÖØ-Þ](?:[^\W\d_]|['’.-])*$"
+NOT_FIRST_WORD = r"^(?:(?i:of|in|for|and|the)|[A-Z][a-z]{3,}ing)$"
+NOT_IN_NAME = r"[\d:!?()\"“”@/]"
+NOT_NAME_WORDS = r"\b(?:the|of|and|for|on|in|at|to|a|an|live|online|london|society|college|university|institute|school|centre|center|department|lecture|lectures|talk|event|events|festival|book|launch|q&a|tickets?|guests?|friends|others|more|panel|special|conversation|evening|night|screening|seminar|series|week|day|professor|lecturer|reader|fellow|director|chair|president|history|science|studies|research|technology|information|art|arts|music|theatre|gallery|museum|club|group|network|trust|foundation|award|prize|opening|launch|exhibition|workshop|conference|symposium|forum|summit|debate|discussion|introduction|annual|memorial|limited|ltd|plc|inc|llp|company|consulting|consultancy|sponsor|partners?|agency|council|ministry|office|scientist|engineer|manager|officer|lead|head|senior|principal|geologist|analyst|consultant|advis[eo]r|specialist|researcher|candidate|coordinator|executive|chief|deputy|editor|keynotes?|speakers?|chairs?|hosts?|panellists?|moderators?)\b"
+
+# Phrases of titles that name people, and limits of a name and of the text before a separator
+AGENT_PHRASE = r",?\s*\b(?:moderated|chaired|hosted|introduced|interviewed|presented)\s+by\s+"
+CONVERSATION = r"^(.+?)\s+in conversation(?:\s+with\s+(.+))?$"
+PEOPLE_PHRASES = (r"\b(?:an? (?:evening|afternoon|morning|night|audience) with|in conversation with|hosted by|chaired by|with)\s+(.+)$", r"\bspeakers?:\s*(.+)$")
+NAME_SEPARATORS = r"\s*(?:,|;|/|\band\b|&|\+)\s*"
+NAME_LENGTH, NAME_WORDS, LEAD_LENGTH = (4, 60), (2, 5), (4, 80)
+COVERED_SHARE = 0.8
+PROSE_LENGTH = 400
+
+# What walls say in the first 6,000 characters of a response, and of an error that tells of one
+WALL_TEXT = (
+    ("Cloudflare bot protection", r"Just a moment\.\.\.|cf-chl|challenge-platform|Attention Required! \| Cloudflare"),
+    ("SiteGround captcha", r"sgcaptcha"),
+    ("Vercel security checkpoint", r"Vercel Security Checkpoint"),
+    ("Imperva/Incapsula", r"_Incapsula_Resource|Incapsula incident"),
+)
+WALL_DENIED = ("access blocked (WAF)", r"Access (?:Blocked|Denied)|Request blocked")
+INTERSTITIAL = r"<title>\s*(?:Just a moment|Attention Required|Robot Challenge Screen)|sgcaptcha|Vercel Security Checkpoint"
+WALL_LEAD, INTERSTITIAL_MOST = 6000, 40_000
+
+# Prices of one venue's pages
+VENUE_LEVY = (r"\*[^*]*levy[^*]*\*", r"\(\+\s*£\s?\d+(?:\.\d{2})?\s*venue levy\)")
+BOT_WALL = r"blocked by|bot protection|bot check|captcha|challenge"

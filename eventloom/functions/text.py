@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -13,6 +15,11 @@ from . import fixed as X
 from .regex import java, matches, part, swap
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, though body names it often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(text: Column) -> Column:
     """No zero-width characters, one space for each run of white space, trimmed; null becomes empty."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x{200B}-\x{200D}\x{FEFF}]", "")
@@ -49,10 +56,14 @@ def unshout(text: Column) -> Column:
     return F.when((F.length(letters) < 6) | (letters != F.upper(letters)), text).otherwise(cased)
 
 
+def _unaccented(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not 0x300 <= ord(c) <= 0x36F)
+
+
 @F.pandas_udf(T.StringType())
 def fold(text: pd.Series) -> pd.Series:
     """Lower case without combining accents; no built-in function decomposes characters."""
-    return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not 0x300 <= ord(c) <= 0x36F))
+    return text.map(lambda s: None if s is None else _unaccented(s))
 
 
 def title_tokens(folded: Column) -> Column:
@@ -73,16 +84,18 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(small == 0, F.lit(0.0)).when(small >= 3, F.greatest(jaccard, shared / small * 0.9)).otherwise(jaccard)
 
 
-def title_status(title: Column) -> tuple[Column, Column]:
-    """(title without status markers, whether one of them says cancelled)."""
-    cancelled = F.lit(False)
-    t = clean(title)
+def title_status(title: Column) -> Column:
+    """struct(title, cancelled): the title without status markers, and whether one of them says cancelled."""
+
+    def without(pattern: str):
+        return lambda x: F.struct(F.trim(swap(x["t"], pattern, " ")).alias("t"), (x["cancelled"] | matches(part(x["t"], pattern, 0), X.CANCELLED)).alias("cancelled"))
+
+    out = F.struct(clean(title).alias("t"), F.lit(False).alias("cancelled"))
     for pattern in X.STATUS_MARKERS:
-        cancelled = cancelled | matches(part(t, pattern, 0), X.CANCELLED)
-        t = F.trim(swap(t, pattern, " "))
-    t = strip_wrapping_quotes(unshout(t))
-    t = F.regexp_replace(t, r"\s+([:,.!?])", "$1")
-    return F.trim(F.regexp_replace(t, r"[\s|–—-]+\z", "")), cancelled
+        out = let(out, without(pattern))
+    out = let(out, lambda x: F.struct(unshout(x["t"]).alias("t"), x["cancelled"].alias("cancelled")))
+    bare = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+([:,.!?])", "$1"), r"[\s|–—-]+\z", ""))
+    return let(out, lambda x: F.struct(bare(strip_wrapping_quotes(x["t"])).alias("title"), x["cancelled"].alias("cancelled")))
 
 
 def format_marker(title: Column) -> tuple[Column, Column]:
@@ -114,3 +127,49 @@ def escape_html(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
+
+
+def error_text(message: Column) -> Column:
+    """The first line of an error, 300 characters at most."""
+    return F.substring(F.split(message, "\n")[0], 1, 300)
+
+
+def short_error(message: Column) -> Column:
+    """An error with hosts in place of URLs, without what was tried."""
+    hosts = F.regexp_replace(message, r"https?://([^/\s)]+)[^\s)]*", "$1")
+    return none_if_empty(F.trim(F.regexp_replace(hosts, r"\s*\((?:challenge did not clear[^)]*|in-page fetch[^)]*)\)", "")))
+
+
+def lenient_json(raw: Column) -> Column:
+    """A variant; where JSON is broken by line breaks or tabs inside strings, these are escaped first."""
+    stretches = F.regexp_extract_all(raw, F.lit(r'"(?:[^"\\]|\\[\s\S])*+"?|[^"]++'), F.lit(0))
+    inside = lambda x: F.replace(F.replace(F.replace(x, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+    mended = F.array_join(F.transform(stretches, lambda x: F.when(x.startswith('"'), inside(x)).otherwise(x)), "")
+    return F.coalesce(F.try_parse_json(raw), F.try_parse_json(mended))
+
+
+def _marked(text: str, terms: list[str]) -> str:
+    folded, at = [], []
+    for i, c in enumerate(text):
+        for f in _unaccented(c):
+            folded.append(f)
+            at.append(i)
+    whole = "".join(folded)
+    spans = sorted((at[m.start()], at[m.end() - 1] + 1) for t in terms if len(t) > 1 for m in re.finditer(re.escape(t), whole))
+    out, done = [], 0
+    for a, b in spans:
+        if b > done:
+            a = max(a, done)
+            out += [html.escape(text[done:a], quote=False), "<mark>", html.escape(text[a:b], quote=False), "</mark>"]
+            done = b
+    return "".join([*out, html.escape(text[done:], quote=False)]).replace('"', "&quot;")
+
+
+def highlight(text: Column, terms: list[str]) -> Column:
+    """Escaped text with <mark> around what matches a folded term of two characters or more; accents don't matter."""
+
+    @F.pandas_udf(T.StringType())
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: _marked(x or "", terms))
+
+    return run(text)

@@ -164,5 +164,13 @@ def dedupe(events: DataFrame) -> DataFrame:
     return fuzzy_duplicates(exact_duplicates(events))
 
 
+def dedupe_counts(events: DataFrame) -> DataFrame:
+    """One row: how many records each pass merges away."""
+    exact = exact_duplicates(events)
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    c = n(events, "a").crossJoin(n(exact, "b")).crossJoin(n(fuzzy_duplicates(exact), "c"))  # three single rows
+    return c.select((F.col("a") - F.col("b")).alias("exact_duplicates"), (F.col("b") - F.col("c")).alias("cross_source_duplicates"), (F.col("a") - F.col("c")).alias("duplicates_removed"))
+
+
 def listing_order(events: DataFrame) -> DataFrame:
     return events.orderBy("start", F.expr("title COLLATE UNICODE"))

@@ -6,10 +6,12 @@ defaults come from a small dimension table.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, dates, text, urls
+from ..functions import classify, dates, names, text, urls
 from ..functions import fixed as X
 from ..functions.html import html_text
 from ..functions.regex import matches, swap
@@ -38,18 +40,18 @@ def still_listable(events: DataFrame, now: Column, days: int = X.HORIZON_DAYS) -
     )
 
 
-def normalize(raw: DataFrame, sources: DataFrame, now: Column, days: int = X.HORIZON_DAYS, include: Column | None = None) -> DataFrame:
+def normalize(raw: DataFrame, sources: DataFrame, now: Column, days: int = X.HORIZON_DAYS, include: Column | None = None, given_names: Iterable[str] = ()) -> DataFrame:
     """raw (schemas.RAW_EVENT) with sources (schemas.SOURCE) to records plus drop_reason and drop_detail.
 
-    include is a predicate over the records; rows that it turns down are `excluded`. Rows without a drop_reason
+    include is a predicate over the records; rows that it turns down are `excluded`. Speakers that a source doesn't
+    give are read from the title; given_names are the first names that names.speakers_from_title believes. Rows without a drop_reason
     are the records to publish. The three HTML fields are read once each; the rest stays in the JVM.
     """
     first, beyond = horizon(now, days)
     defaults = sources.select(F.col("id").alias("source"), "default_free", "default_online", "default_location")
     e = raw.join(defaults, "source", "left")
     e = e.withColumns({"title_text": html_text("title"), "full": html_text("description"), "place": html_text("location")})
-    bare, cancelled = text.title_status(F.col("title_text"))
-    e = e.withColumns({"bare": bare, "cancelled": cancelled})
+    e = e.withColumn("status", text.title_status(F.col("title_text"))).withColumns({"bare": F.col("status.title"), "cancelled": F.col("status.cancelled")})
     title, marked_online = text.format_marker(F.col("bare"))
     e = e.withColumns({"title": title, "marked_online": marked_online})
     wall = F.col("start_instant").isNotNull()
@@ -66,7 +68,9 @@ def normalize(raw: DataFrame, sources: DataFrame, now: Column, days: int = X.HOR
     at_home = F.when(F.col("place").isNull() & F.col("default_location").isNotNull(), False)
     is_online = F.coalesce("online", "marked_online", in_title, classify.online_by_location(F.col("place")), classify.online_by_prose(F.concat("hint_texts", F.array("full"))), "default_online", at_home)
     described = F.when((F.col("full") != "") & (F.lower("full") != F.lower("title")), text.truncate(F.col("full"), X.DESCRIPTION_MAX))
-    people = F.array_distinct(F.filter(F.transform(F.coalesce("speakers", F.array().cast("array<string>")), text.clean), lambda s: F.length(s).between(3, 80)))
+    said = F.coalesce("speakers", F.array().cast("array<string>"))
+    found = names.speakers_from_title(F.when(F.size(said) == 0, F.col("title")), F.lit(None).cast("string"), given_names)
+    people = F.filter(names.unique_names(F.when(F.size(said) > 0, said).otherwise(found)), lambda s: F.length(s).between(3, 80))
     e = e.withColumns({"free": is_free, "online": is_online, "location": F.coalesce("place", "default_location"), "described": described, "people": F.slice(F.filter(people, lambda s: F.lower(s) != F.lower(F.col("title"))), 1, X.SPEAKERS_MAX)})
     quoted = lambda what: F.concat(F.lit(f'{what} for "'), F.col("title"), F.lit('"'))
     rules = [

@@ -98,3 +98,24 @@ def price_tag(free: Column, price: Column) -> Column:
     from ..functions.text import short_price
 
     return F.when(free, "Free").when(free == F.lit(False), F.coalesce(short_price(price), F.lit("Paid")))
+
+
+#: What the header says of each window.
+WINDOW_WORDS = {"today": "today", "tomorrow": "tomorrow", "week": "in the next 7 days", "month": "in the next 30 days"}
+
+
+def header(spec: QuerySpec, rows: DataFrame, sources: int) -> DataFrame:
+    """One row: the line above the result, such as "12 events in the next 7 days · 3 of 5 sources"."""
+    n = F.count(F.lit(1))
+    when = F.concat(F.lit("on "), F.date_format(F.lit(spec.date).cast("date"), "EEEE d MMMM")) if spec.when == "date" else F.lit(WINDOW_WORDS[spec.when])
+    off = F.lit(f" · {sources - len(spec.off)} of {sources} sources" if spec.off else "")
+    return rows.agg(F.concat(F.format_number(n, 0), F.when(n == 1, " event ").otherwise(" events "), when, off).alias("header"))
+
+
+def facet_lock(events: DataFrame, spec: QuerySpec, today: Column, hay: str | None = None) -> DataFrame:
+    """(source, n, total, last_date, locked, hint): matches of each source, what it has without filters, and whether
+    it can be switched; a source without matches can't."""
+    totals = events.groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.max("date").alias("last_date"))
+    found = totals.join(facet_counts(events, spec, today, hay), "source", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    hint = F.when(F.col("n") > 0, F.lit(None).cast("string")).when(F.col("total") > 0, "No events match the current filters").otherwise("No upcoming events")
+    return found.select("source", "n", "total", "last_date", (F.col("n") == 0).alias("locked"), hint.alias("hint"))

@@ -17,7 +17,7 @@ def register(name, sql=None):
 
 
 def _load():
-    from . import records, scalars, windows  # noqa: F401  they register themselves
+    from . import connectors, golden, listing, records, scalars, windows  # noqa: F401  they register themselves
 
 
 def queries():

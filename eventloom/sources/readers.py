@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates, text
-from ..functions.html import html_lines, json_ld
+from ..functions import fixed as X
+from ..functions.html import app_state, html_lines, json_ld
+from ..functions.regex import matches, part, swap
+from ..functions.text import clean, error_text, lenient_json
 from ..schemas import RAW_EVENT
 
 
@@ -29,29 +32,51 @@ def captured(spark: SparkSession, path: str, now: Column, ttl_minutes: int | Non
     return newest.select("key", "r.*")
 
 
-#: What a response is when it isn't the page that was asked for.
-WALLS = (
-    ("challenge", r"just a moment|challenge-platform|cf-chl|turnstile"),
-    ("captcha", r"captcha|are you a robot"),
-    ("denied", r"access denied|request blocked|forbidden"),
-)
-
-
 def wall(status: Column, body: Column) -> Column:
     """The kind of wall that a response is, or null."""
-    lead = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 6000))
-    out = F.when(status.isin(401, 403), "denied").when(status == 429, "rate-limited")
-    for kind, pattern in WALLS:
-        out = out.when((F.length(body) <= 40_000) & lead.rlike(pattern), kind)
+    lead = F.substring(F.coalesce(body, F.lit("")), 1, X.WALL_LEAD)
+    out = F.lit(None).cast("string")
+    for kind, pattern in reversed((*X.WALL_TEXT, X.WALL_DENIED)):
+        met = matches(lead, pattern)
+        out = F.when(met & (status == 403) if kind == X.WALL_DENIED[0] else met, kind).otherwise(out)
     return out
 
 
+def interstitial(body: Column) -> Column:
+    """Whether a small response is a check of the visitor, not a page."""
+    return (F.length(body) <= X.INTERSTITIAL_MOST) & matches(F.substring(body, 1, X.WALL_LEAD), X.INTERSTITIAL)
+
+
+def later_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pages(source, page, error, ...) to those before a source's first failure, and a row (source, page, error,
+    fatal) for each failure; it is fatal on the first page, after that paging stops there."""
+    bad = pages.filter("error IS NOT NULL").groupBy("source").agg(F.min("page").alias("stop"), F.min_by("error", "page").alias("why"))
+    start = pages.groupBy("source").agg(F.min("page").alias("start"))
+    read = pages.join(bad, "source", "left").filter("stop IS NULL OR page < stop").select(*pages.columns)
+    fatal = F.col("stop") <= F.col("start")
+    message = F.when(fatal, error_text(F.col("why"))).otherwise(F.concat(F.lit("stopped paginating at page "), F.col("stop").cast("string"), F.lit(": "), error_text(F.col("why"))))
+    return read, bad.join(start, "source").select("source", F.col("stop").alias("page"), message.alias("error"), fatal.alias("fatal"))
+
+
+def settled(items: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
+    """Items that worked, and those that failed, each as a row with the first line of its error."""
+    return items.filter(F.col(error).isNull()).drop(error), items.filter(F.col(error).isNotNull()).withColumn(error, error_text(F.col(error)))
+
+
+def parsed(responses: DataFrame) -> DataFrame:
+    """responses(url, status, body) with v, the body as a variant, and error where it is no JSON, naming a wall."""
+    v = lenient_json(F.col("body"))
+    named = F.coalesce(wall(F.col("status"), F.col("body")), F.lit("invalid JSON"))
+    return responses.withColumn("v", v).withColumn("error", F.when(F.col("v").isNull(), F.concat(named, F.lit(" at "), F.col("url"))))
+
+
 def fallback(primary: DataFrame, second: DataFrame, key: str) -> DataFrame:
-    """Primary's responses, or the second transport's where the primary met a wall or has none."""
-    p = primary.withColumn("blocked", wall(F.col("status"), F.col("body")))
+    """Primary's responses, or the second transport's where the primary met a wall, was refused or has none."""
+    met = wall(F.col("status"), F.col("body")).isNotNull() | interstitial(F.col("body")) | F.col("status").isin(401, 403, 429, 503)
+    p = primary.withColumn("blocked", F.coalesce(met, F.lit(False)))
     s = second.select(key, F.col("body").alias("other"))
     joined = p.join(s, key, "full")
-    return joined.select(key, F.when(F.col("blocked").isNull() & F.col("body").isNotNull(), F.col("body")).otherwise(F.coalesce("other", "body")).alias("body"))
+    return joined.select(key, F.when(~F.col("blocked") & F.col("body").isNotNull(), F.col("body")).otherwise(F.coalesce("other", "body")).alias("body"))
 
 
 def raw_events(df: DataFrame, **columns: Column) -> DataFrame:
@@ -63,7 +88,7 @@ def raw_events(df: DataFrame, **columns: Column) -> DataFrame:
 def json_feed(responses: DataFrame, source: str, rows: str, fields: dict[str, str], where: str | None = None, seq: Column | None = None) -> DataFrame:
     """A JSON API or feed. rows is the path of the array of listings ('[*]' steps may nest); fields map columns of
     RAW_EVENT to paths within a listing, `epoch:` and `wall:` marking times in seconds and wall-clock text."""
-    v = responses.withColumn("v", F.try_parse_json("body")).filter("v IS NOT NULL")
+    v = responses.withColumn("v", lenient_json(F.col("body"))).filter("v IS NOT NULL")
     position = []
     for i, step in enumerate(s for s in rows.split("[*]") if s not in ("", "$")):
         path = step if step.startswith("$") else f"${step}"
@@ -142,3 +167,40 @@ def enrich(listing: DataFrame, details: DataFrame, fields: tuple[str, ...]) -> D
 def first_wins(rows: DataFrame, *keys: str) -> DataFrame:
     """The first row, by seq, of each key."""
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in rows.columns if c not in keys)), "seq").alias("r")).select(*keys, "r.*").select(*rows.columns)
+
+
+def ticketing(responses: DataFrame, source: str) -> DataFrame:
+    """Events of a ticketing platform: responses(url, page, body) of its API, or where that isn't JSON the events
+    embedded in the page's application state. Cancelled and incomplete ones are left out."""
+    rows = responses.withColumns({"api": F.try_parse_json("body"), "state": app_state(F.col("body"))})
+    listed = F.coalesce(F.try_variant_get("api", "$.events", "array<variant>"), F.try_variant_get("state", "$.props.pageProps.upcomingEvents", "array<variant>"))
+    e = rows.select("page", F.posexplode(listed).alias("nth", "v"))
+    get = lambda p, kind="string": F.try_variant_get("v", p, kind)
+    venue = text.none_if_empty(clean(F.concat_ws(", ", text.none_if_empty(get("$.primary_venue.name")), text.none_if_empty(get("$.primary_venue.address.localized_address_display")))))
+    tickets = "$.ticket_availability."
+    low, high, free = get(tickets + "minimum_ticket_price.major_value", "double"), get(tickets + "maximum_ticket_price.major_value", "double"), get(tickets + "is_free", "boolean")
+    sign = F.when(F.coalesce(get(tickets + "minimum_ticket_price.currency"), F.lit("GBP")) == "GBP", "£").otherwise("")
+    shown = lambda x: F.concat(sign, F.format_string("%.2f", x))
+    price = (
+        F.when(free, "Free").when((low == 0) & (high > 0), F.concat(F.lit("Free – "), shown(high))).when(low == 0, "Free")
+        .when((low > 0) & (high > low), F.concat(shown(low), F.lit(" – "), shown(high))).when(low > 0, shown(low)).otherwise(get(tickets + "minimum_ticket_price.display"))
+    )
+    online = get("$.is_online_event", "boolean")
+    whole = (F.coalesce(get("$.name"), F.lit("")) != "") & (F.coalesce(get("$.url"), F.lit("")) != "") & (F.coalesce(get("$.start_date"), F.lit("")) != "") & ~F.coalesce(get("$.is_cancelled", "boolean"), F.lit(False))
+    return raw_events(
+        e.filter(whole), source=F.lit(source), seq=F.col("page").cast("long") * 1000 + F.col("nth"), title=get("$.name"), url=F.split(get("$.url"), "\\?")[0], start_date=get("$.start_date"),
+        start_time=F.substring(get("$.start_time"), 1, 5), location=F.when(online, "Online").otherwise(venue), online=online, description=text.none_if_empty(get("$.summary")), price_text=price, free=F.when(free, True),
+    )
+
+
+def conway_price(page_text: Column) -> Column:
+    """The price in a page's text: the standard one, else the first, without levies."""
+    block = part(clean(page_text), r"\bPrice:\s*(.{0,400})", 1)
+    for levy in X.VENUE_LEVY:
+        block = swap(block, levy, " ")
+    amount = r"£\s?(\d+(?:\.\d{2})?)"
+    standard, first = text.none_if_empty(part(block, rf"standard\s*{amount}", 1)), text.none_if_empty(part(block, amount, 1))
+    return (
+        F.when(matches(block, r"^\s*free\b"), "Free").when(standard.isNotNull(), F.concat(F.lit("£"), standard, F.lit(" (standard)")))
+        .when(first.isNotNull(), F.concat(F.lit("£"), first)).when(matches(F.substring(block, 1, 80), r"\bfree\b"), "Free")
+    )
