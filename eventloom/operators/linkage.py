@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
-from .graph import components
+from .graph import components, cut_lineage
 
 _FILL = ("time", "location", "description", "free", "online", "price")
 
@@ -89,20 +89,34 @@ def _minutes(time: Column) -> Column:
     return F.substring(time, 1, 2).cast("int") * 60 + F.substring(time, 4, 2).cast("int")
 
 
+def sharing_words(records: DataFrame, *block: str) -> DataFrame:
+    """(block columns, a, b): pairs of records(seq, tokens, ...) of a block whose word sets may be similar enough.
+
+    At a similarity of 0.8 the sets have at least 8/9 of the smaller one's words in common, so one of its rarest
+    words, the first n - ceil(8 n / 9) + 1 of n, is in the other: only these are looked up, among all words of the
+    sets that are as large or larger. A pair is found once, under the first such word."""
+    every = records.select(*block, F.struct(*(c for c in records.columns if c not in block)).alias("r"), F.explode("tokens").alias("token"))
+    often = every.groupBy(*block, "token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    ranked = every.join(often, [*block, "token"]).groupBy(*block, F.col("r.seq").alias("seq")).agg(F.first("r").alias("a"), F.array_sort(F.collect_list(F.struct("f", "token"))).alias("w"))
+    # words that only one record has come first in the order and lead nowhere
+    n = F.size("a.tokens")
+    few = F.greatest(n - F.ceil(n * 8 / 9) + 1 - (n - F.size("w")), F.lit(0)).cast("int")
+    rare = ranked.withColumn("rare", F.transform(F.slice("w", F.lit(1), few), lambda x: x["token"])).select(*block, "a", "rare", F.explode("rare").alias("token"))
+    pairs = rare.join(every.withColumnRenamed("r", "b"), [*block, "token"])
+    larger = (F.size("b.tokens") > n) | ((F.size("b.tokens") == n) & (F.col("a.seq") < F.col("b.seq")))
+    return pairs.filter(larger & (F.col("token") == F.get(F.filter("rare", lambda t: F.array_contains("b.tokens", t)), F.lit(0)))).select(*block, "a", "b")
+
+
 def candidate_pairs(events: DataFrame) -> DataFrame:
-    """(a, b, similarity): pairs of seq, a before b, that describe the same event. Blocked by date and title word."""
+    """(a, b, similarity): pairs of seq, a before b, that describe the same event. Blocked by date and rare title words."""
     e = events.withColumn("tokens", text.title_tokens(text.fold(F.col("title")))).filter(F.size("tokens") >= 2)
     e = e.select("seq", "source", "date", "time", "location", "online", "tokens", text.place_tokens(F.coalesce("location", F.lit(""))).alias("places"))
-    side = lambda s: e.select("date", F.explode("tokens").alias("token"), F.struct("seq", "source", "time", "location", "online", "tokens", "places").alias(s))
-    pairs = side("a").join(side("b"), ["date", "token"]).filter("a.seq < b.seq")
-    # the pair is judged once, under the first of its common words
-    pairs = pairs.filter(F.col("token") == F.array_min(F.array_intersect("a.tokens", "b.tokens")))
-    pairs = pairs.withColumn("similarity", text.similarity(F.col("a.tokens"), F.col("b.tokens")))
+    pairs = sharing_words(e, "date").withColumn("similarity", text.similarity(F.col("a.tokens"), F.col("b.tokens")))
     time_ok = F.coalesce(F.abs(_minutes(F.col("a.time")) - _minutes(F.col("b.time"))) <= 30, F.lit(True))
     unknown = F.col("a.location").isNull() | F.col("b.location").isNull() | F.col("a.online").eqNullSafe(True) | F.col("b.online").eqNullSafe(True)
     place_ok = unknown | (F.size("a.places") == 0) | (F.size("b.places") == 0) | F.arrays_overlap("a.places", "b.places")
     same = F.when(F.col("a.source") == F.col("b.source"), F.col("a.time").eqNullSafe(F.col("b.time")) & (F.col("similarity") >= 0.95)).otherwise((F.col("similarity") >= 0.8) & place_ok)
-    return pairs.filter(time_ok & same).select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"), "similarity")
+    return pairs.filter(time_ok & same).select(F.least("a.seq", "b.seq").alias("a"), F.greatest("a.seq", "b.seq").alias("b"), "similarity")
 
 
 def _same(a: dict, b: dict, likely: set) -> bool:
@@ -151,7 +165,7 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def fuzzy_duplicates(events: DataFrame) -> DataFrame:
     """One record for each group of listings of one event. Only records with a candidate leave the JVM."""
-    pairs = candidate_pairs(events).select("a", "b").persist()
+    pairs = cut_lineage(candidate_pairs(events).select("a", "b"))
     groups = components(pairs, "a", "b").select(F.col("v").alias("seq"), F.col("label").alias("group_label"))
     others = pairs.groupBy(F.col("a").alias("seq")).agg(F.collect_list("b").alias("others"))
     linked = events.join(groups, "seq").join(others, "seq", "left").withColumn("others", F.coalesce("others", F.array().cast("array<long>")))

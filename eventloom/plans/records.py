@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import linkage
 from ..operators.runs import carry_forward, history_entry, sparkline, totals
 from ..operators.gate import violations
-from .registry import register
+from .registry import ORACLES, register
 from .windows import _E, _TODAY, _reasons, events
 
 
@@ -72,11 +72,19 @@ _TOKENS = "list_distinct(list_filter(string_split(regexp_replace(regexp_replace(
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS shared, len(a.w) AS na, len(b.w) AS nb FROM t a JOIN t b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id)
 SELECT a, b FROM p WHERE least(na, nb) >= 2 AND CASE WHEN least(na, nb) >= 3 THEN greatest(shared / (na + nb - shared), shared / least(na, nb) * 0.9) ELSE shared / (na + nb - shared) END >= 0.8""")
 def title_token_pairs(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents")
-    e = d.select("doc_id", "source", "lang", text.title_tokens(text.fold(F.substring(F.split("text", "\n")[0], 1, 200))).alias("w")).filter(F.size("w") >= 2)
-    side = lambda s: e.select("source", "lang", F.explode("w").alias("token"), F.col("doc_id").alias(s), F.col("w").alias(f"w{s}"))
-    p = side("a").join(side("b"), ["source", "lang", "token"]).filter((F.col("a") < F.col("b")) & (F.col("token") == F.array_min(F.array_intersect("wa", "wb"))))
-    return p.filter(text.similarity(F.col("wa"), F.col("wb")) >= 0.8).select("a", "b")
+    d = _t(spark, sf_dir, "documents").filter("source IS NOT NULL AND lang IS NOT NULL")
+    e = d.select(F.col("doc_id").alias("seq"), "source", "lang", text.title_tokens(text.fold(F.substring(F.split("text", "\n")[0], 1, 200))).alias("tokens")).filter(F.size("tokens") >= 2)
+    p = linkage.sharing_words(e, "source", "lang").filter(text.similarity(F.col("a.tokens"), F.col("b.tokens")) >= 0.8)
+    return p.select(F.least("a.seq", "b.seq").alias("a"), F.greatest("a.seq", "b.seq").alias("b"))
+
+
+@register("title_token_pairs_whole", ORACLES["title_token_pairs"].replace("left(split_part(text, chr(10), 1), 200)", "split_part(text, chr(10), 1)"))
+def title_token_pairs_whole(spark, sf_dir):
+    """title_token_pairs over all of each first line, not its first 200 characters."""
+    d = _t(spark, sf_dir, "documents").filter("source IS NOT NULL AND lang IS NOT NULL")
+    e = d.select(F.col("doc_id").alias("seq"), "source", "lang", text.title_tokens(text.fold(F.split("text", "\n")[0])).alias("tokens")).filter(F.size("tokens") >= 2)
+    p = linkage.sharing_words(e, "source", "lang").filter(text.similarity(F.col("a.tokens"), F.col("b.tokens")) >= 0.8)
+    return p.select(F.least("a.seq", "b.seq").alias("a"), F.greatest("a.seq", "b.seq").alias("b"))
 
 
 @register("lookup_left_enrich", "SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0")
