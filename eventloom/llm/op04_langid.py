@@ -126,12 +126,16 @@ class Model:
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model of labelled(doc_id, text, lang)."""
-    labelled = labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.select("doc_id", "lang").withColumn("nth", nth).filter(F.col("nth") <= per_language).select("doc_id").distinct()
-    languages = sorted(r.lang for r in labelled.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(languages) > LANGUAGES:
+    labelled = labelled.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").withColumn("draw", F.xxhash64("doc_id"))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages; raise LANGUAGES if the model may grow so far")
+    languages = sorted(r.lang for r in sizes)
+    # rows below half as much again of the share that is wanted: few, and all that can be among the least draws
+    share = labelled.sparkSession.createDataFrame([(r.lang, min(1.0, 1.5 * per_language / r.n)) for r in sizes], "lang string, share double")
+    near = labelled.select("lang", "draw").join(F.broadcast(share), "lang").filter(F.col("draw") / 2.0**64 + 0.5 <= F.col("share"))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
+    last = near.withColumn("nth", nth).filter(F.col("nth") <= per_language).groupBy("lang").agg(F.max("draw").alias("last"))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -147,8 +151,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             cells = np.flatnonzero(own)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(cells), pa.string()), "cell": pa.array(cells, pa.int32()), "n": pa.array(own[cells], pa.int64())})
 
-    # at most PER_LANGUAGE ids for each of LANGUAGES languages
-    sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    sample = labelled.join(F.broadcast(last), "lang").filter("draw <= last").select("lang", "text")  # a row for each language
     counts = mapped(sample, count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     table_ = np.full((GRAMS, len(languages)), SMOOTH)
     place = {x: i for i, x in enumerate(languages)}
