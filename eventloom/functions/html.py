@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _DROP = frozenset("script style noscript iframe svg img figure button".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("p div li h1 h2 h3 h4 h5 h6 tr blockquote section".split())
 _LINE = _BLOCK | {"dt", "dd"}
 
@@ -25,7 +25,7 @@ class _Reader(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in _DROP:
-            self.skip += tag not in _VOID
+            self.skip += tag not in VOID
         elif tag == "br" or self.lines and tag in _LINE:
             self.out.append(self.mark)
 
@@ -78,7 +78,7 @@ class _Nodes(HTMLParser):
     def handle_starttag(self, tag, attrs):
         row = [len(self.rows), self.open[-1][0] if self.open else None, len(self.open), tag, {k: v or "" for k, v in attrs}, ""]
         self.rows.append(row)
-        if tag not in _VOID:
+        if tag not in VOID:
             self.open.append(row)
 
     def handle_endtag(self, tag):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.html import app_state, html_nodes, json_ld
-from ..sources import readers
+from ..sources import catalogue, readers
 from .golden import golden, values
 from .registry import register
 
@@ -148,3 +148,69 @@ def html_title_text(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     n = html_nodes(pages, "page_id").filter("tag = 'title'").groupBy("page_id").agg(F.min_by("own_text", "node_id").alias("title"))
     return pages.select("page_id").join(n, "page_id", "left").select("page_id", F.coalesce("title", F.lit("")).alias("title"))
+
+
+# --- sources: one captured page or feed each, invented from the formats -------------------------------------------
+
+_PAGES = {
+    "barbican": ['<article class="listing--event x"><a class="search-listing__link" href="/whats-on/2026/maps">x</a><h2 class="listing-title">On <em>Maps</em></h2><time datetime="2026-10-01T18:30:00+01:00">1</time><time datetime="2026-10-02T18:30:00+01:00">2</time><div class="search-listing__intro"><p>About maps</p></div><ul class="tags"><li class="tag__plain">Talk</li></ul></article><article class="listing--event"><h2 class="listing-title">No link</h2></article>'],
+    "birkbeck": ['<a class="card" href="/events/1"><h3 class="card__title">On Bees</h3><div class="card__body"><time datetime="2026-10-05T17:00:00Z">5</time><p>5 October 2026, 6pm</p><p>Keynes Library. Booking required now</p></div></a><a class="card" href="/events/2"><h3 class="card__title">On Ants</h3><div class="card-divider">6 October 2026</div><div class="card__body"><p>Online</p> 19:30</div></a>'],
+    "imperial": ['<a href="/events/7/x/" title="About rain"><span class="title">On Rain</span><time datetime="2026-10-07T16:00:00Z"></time><span class="venue">Online only</span><ul class="tags"><li><span>Event</span></li><li><span>Lecture</span></li></ul></a><a href="/events/8/y/"><span class="title">A fair</span><time datetime="2026-10-07T16:00:00Z"></time><ul class="tags"><li><span>Fair</span></li></ul></a>'],
+    "ras": ['<div class="view-dates-for-the-dairy"><div class="event-iten"><div class="views-field-title"><a href="/e/1">On Stars</a></div><span class="views-field-field-date-1">9</span><span class="views-field-field-date-2">Oct 2026</span><span class="views-field-field-date">at 6.30pm</span><span class="views-field-field-event-type">Lecture</span></div></div>'],
+    "society-of-antiquaries": ['<div class="sugar-calendar-event-list-block__listview__event"><h4 class="sugar-calendar-event-list-block__event__title"><a href="https://www.sal.org.uk/e/1">On Coins</a></h4><div class="sugar-calendar-event-list-block__event__datetime"><time datetime="2026-10-08T17:00:00+00:00"></time></div><div class="sugar-calendar-event-list-block__event__desc">By Dr Amina Patel of Leeds</div></div>'],
+    "linnean": [json.dumps([{"id": "5", "title": "On Moss", "status": "published", "start_date": "2026-10-09T17:30:00Z", "location": {"formatted_address": "Burlington House"}, "remote": False, "tickets": [{"price": 0}, {"cost": 1250}]}, {"id": "6", "title": "Draft", "status": "draft", "start_date": "2026-10-09T17:30:00Z"}])],
+    "ucl": [json.dumps({"response": {"resultPacket": {"results": [{"title": "On Ice | UCL", "liveUrl": "https://www.ucl.ac.uk/e/1", "listMetadata": {"UclEventStartDate": ["2026-10-10T13:00:00+01:00"], "UclEventType": ["Lecture"], "UclEventLocationRoom": ["Room 1"], "UclEventLocationCity": ["London"], "UclEventCost": ["0"]}}, {"title": "W", "liveUrl": "u", "listMetadata": {"UclEventStartDate": ["2026-10-10T13:00:00+01:00"], "UclEventType": ["Workshop"]}}]}}})],
+    "hlsi": [json.dumps({"events": [{"title": "On Clay", "url": "https://hlsi.org.uk/e/1", "start_date": "2026-10-11 19:45:00", "categories": [{"name": "Lecture"}], "venue": {"venue": "Victoria Hall"}, "cost": "£10", "description": "d"}, {"title": "Yoga", "url": "u", "start_date": "2026-10-11 10:00:00", "categories": [{"name": "Talk"}, {"name": "Yoga"}], "venue": []}]})],
+    "charterhouse": [json.dumps({"results": [{"title": "On Monks", "url": "https://thecharterhouse.org/e/1", "startDate": 1791830700, "body": "<p>d</p>"}]})],
+    "rgs": [json.dumps({"items": [{"title": "On Peaks", "date": "12 October 2026", "cta": {"url": "/e/1"}, "location": "London and online", "price": "£9", "memberAccessType": "Public"}, {"title": "Far", "date": "12 October 2026", "cta": {"url": "/e/2"}, "location": "Leeds"}]})],
+    "pints-of-knowledge": [_FEED],
+    "rsa": _TICKETING[:1],
+    "frontline-club": _TICKETING[1:],
+    "guildhall-library": _TICKETING[1:],
+    "intelligence-squared": _TICKETING[:1],
+}
+
+
+@register("source_connectors", values([
+    ("barbican", "On Maps", "https://www.barbican.org.uk/whats-on/2026/maps", None, None, "2026-10-01 17:30", None, None, None), ("barbican", "On Maps", "https://www.barbican.org.uk/whats-on/2026/maps", None, None, "2026-10-02 17:30", None, None, None),
+    ("birkbeck", "On Bees", "https://www.bbk.ac.uk/events/1", "2026-10-05", "18:00", None, "Keynes Library.", None, None), ("birkbeck", "On Ants", "https://www.bbk.ac.uk/events/2", "2026-10-06", "19:30", None, "Online", None, "true"),
+    ("imperial", "On Rain", "https://www.imperial.ac.uk/events/7/x/", None, None, "2026-10-07 16:00", "Online", None, None), ("ras", "On Stars", "https://ras.ac.uk/e/1", "2026-10-09", "18:30", None, None, None, None),
+    ("society-of-antiquaries", "On Coins", "https://www.sal.org.uk/e/1", "2026-10-08", "17:00", None, None, None, None), ("linnean", "On Moss", "https://members.linnean.org/events/5/description", None, None, "2026-10-09 17:30", "Burlington House", "Free – £12.50", "false"),
+    ("ucl", "On Ice", "https://www.ucl.ac.uk/e/1", None, None, "2026-10-10 12:00", "Room 1, London", "Free", None), ("hlsi", "On Clay", "https://hlsi.org.uk/e/1", "2026-10-11", "19:45", None, "Victoria Hall, Highgate Literary & Scientific Institution, 11 South Grove, N6 6BS", "£10", None),
+    ("charterhouse", "On Monks", "https://thecharterhouse.org/e/1", "2026-10-12", "18:45", None, None, None, None), ("rgs", "On Peaks", "https://www.rgs.org/e/1", "2026-10-12", None, None, "Royal Geographical Society, Kensington Gore (and online)", "£9", "false"),
+    ("pints-of-knowledge", "One", "https://e.org/1", None, None, "2026-10-01 18:00", "The Bell", None, None), ("pints-of-knowledge", "Three", "https://e.org/3", None, None, "2026-10-02 18:00", "The Fox", None, None),
+    ("rsa", "On Maps", "https://t.org/e/1", "2026-10-01", "18:30", None, "Hall, 1 Road, London", "£5.00 – £7.50", "false"), ("rsa", "On Maps", "https://t.org/e/3", "2026-10-01", "18:30", None, "Online", "Free", "true"),
+    ("frontline-club", "On Maps", "https://t.org/e/4", "2026-10-01", "18:30", None, "Hall, 1 Road, London", "Free – £9.00", "false"), ("guildhall-library", "On Maps", "https://t.org/e/4", "2026-10-01", "18:30", None, "Hall, 1 Road, London", "Free – £9.00", "false"),
+    ("intelligence-squared", "On Maps", "https://t.org/e/1", "2026-10-01", "18:30", None, "Hall, 1 Road, London", "£5.00 – £7.50", "false"),
+], "source, title, url, start_date, start_time, instant, location, price_text, online"))
+def source_connectors(spark, sf_dir):
+    """Every source that has a connector, over a captured page or feed of its format."""
+    today = F.lit("2026-09-25").cast("date")
+    parts = [catalogue.CONNECTORS[s](_responses(spark, bodies), today) for s, bodies in _PAGES.items()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    flag = F.when(F.col("online"), "true").when(~F.col("online"), "false")
+    return every.select("source", "title", "url", "start_date", "start_time", F.date_format("start_instant", "yyyy-MM-dd HH:mm").alias("instant"), "location", "price_text", flag.alias("online"))
+
+
+@register("source_catalogue", "SELECT 32 AS sources, 32 AS ids, 4 AS ticketing, 9 AS json, 17 AS cards, 2 AS labelled")
+def source_catalogue(spark, sf_dir):
+    kinds = spark.createDataFrame([(s[0], s[6]) for s in catalogue.SOURCES], "id string, format string")
+    n = lambda k: F.count_if(F.col("format") == k).cast("int").alias(k)
+    return kinds.agg(F.count(F.lit(1)).cast("int").alias("sources"), F.count_distinct("id").cast("int").alias("ids"), n("ticketing"), n("json"), n("cards"), n("labelled"))
+
+
+@register("source_includes", values([("conway-hall", "A talk", "true"), ("conway-hall", "Sunday Concert: Bach", "false"), ("iop", "Careers evening", "false"), ("iop", "Dark matter", "true"), ("royal-academy", "Open day", "false")], "source, title, included"))
+def source_includes(spark, sf_dir):
+    rows = spark.createDataFrame([("conway-hall", "A talk"), ("conway-hall", "Sunday Concert: Bach"), ("iop", "Careers evening"), ("iop", "Dark matter"), ("royal-academy", "Open day")], "source string, title string").withColumn("location", F.lit("Senate House, London"))
+    out = F.lit(None).cast("boolean")
+    for s in ("conway-hall", "iop", "royal-academy"):
+        out = F.when(F.col("source") == s, catalogue.include(s)).otherwise(out)
+    return rows.select("source", "title", out.cast("string").alias("included"))
+
+
+@register("paging_stop", values([(0, "false"), (1, "true")], "page, stop"))
+def paging_stop(spark, sf_dir):
+    cards = spark.createDataFrame([(0, "2026-10-01"), (0, "2026-12-01"), (1, "2026-12-01"), (1, "2026-12-02")], "page int, day string")
+    return catalogue.later_than(cards, F.col("day").cast("date"), F.lit("2026-11-09").cast("date")).withColumn("stop", F.col("stop").cast("string"))
