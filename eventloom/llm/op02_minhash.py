@@ -34,8 +34,9 @@ from .common import forget, mapped, table, written
 from .tokens import mix, pieces, text_bytes, window_hashes, word_hashes
 
 K, SHINGLE, PERCENT, SHARED = 32, 5, 75, 10
-#: Lists up to this length are compared by a join; the classes of longer ones in blocks of about so many.
-SHORT, BLOCK = 64, 2048
+#: Lists up to this length are compared by a join; the classes of longer ones in blocks of about so many classes
+#: and shingles at most (a larger set is a block of its own).
+SHORT, BLOCK, BLOCK_SHINGLES = 64, 2048, 1 << 20
 #: Ids of texts that are sent to every task, at most.
 SENT_IDS = 1_000_000
 
@@ -175,10 +176,12 @@ def _across_blocks(left: DataFrame, docs: DataFrame) -> DataFrame:
     texts = _texts(docs, members.select(F.col("rep").alias("doc_id")))
     sets = mapped(texts, run, "rep long, hashes binary")
     # the largest group of a family needs no comparison with itself: one side leaves it out
-    size = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
-    top = size.groupBy("family").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("m"), F.max("c").alias("most"))
-    rows = members.join(top.filter("m > most"), "family").join(sets, "rep")
-    n_all, n_few = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int")
+    size = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    most = F.max(F.struct("c", "label", "s")).alias("most")
+    top = size.groupBy("family").agg(most, F.sum("c").alias("m"), F.sum("s").alias("ms")).select("family", F.col("most.label").alias("top"), "m", "ms", (F.col("m") - F.col("most.c")).alias("f"), (F.col("ms") - F.col("most.s")).alias("fs"))
+    rows = members.join(top.filter("f > 0"), "family").join(sets, "rep")
+    blocks = lambda many, shingles: F.greatest(F.ceil(F.col(many) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+    n_all, n_few = blocks("m", "ms"), blocks("f", "fs")
     mine, same = F.xxhash64("rep"), ["family", "rep", "n", "label", "hashes"]
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     every = rows.select(F.pmod(mine, n_all).cast("int").alias("i"), spread(n_few).alias("j"), F.lit(False).alias("few"), *same)

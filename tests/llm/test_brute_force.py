@@ -108,6 +108,25 @@ def test_pairs_that_just_miss_hide_no_link_between_blocks(spark):
     assert [tuple(r) for r in op02_minhash.confirmed(pairs, docs).collect()] == [(11, 23)]
 
 
+def test_refused_pairs_hide_no_link_in_long_lists(spark):
+    """Long lists whose first candidates between two groups miss the threshold narrowly, and pairs that are just
+    below it and at it."""
+    rows, k = [], 0
+    for g in range(3):
+        x, y, z = (prose(50 + 3 * g + i, 200, 1_000_000).split() for i in range(3))
+        for i in range(70):
+            rows.append((k + i, " ".join([*x[:175], *y[:28], f"last{g}x{i}"])))
+        rows += [(k + 70, " ".join(x[:176] + y[1:29])), (k + 71, " ".join(x[:180] + z[:24]))]
+        k += 72
+    r = random.Random(3)
+    for g in range(40):
+        w = prose(500 + g, 64 + g, 1_000_000).split()
+        shared = math.ceil(0.75 * 2 * (len(w) - 4) / 1.75) - r.choice([0, 1])  # shingles in common, at or below the least
+        rows += [(k, " ".join(w)), (k + 1, " ".join([*w[: shared + 4], *(f"o{g}x{i}" for i in range(len(w) - shared - 4))]))]
+        k += 2
+    same_groups(spark, rows)
+
+
 def test_near_duplicates_of_edge_rows(spark, edges):
     got = op02_minhash.op2_minhash_dedup(spark, edges).collect()
     assert len(got) == len(EDGES)
@@ -149,6 +168,56 @@ def test_mixtures_and_edge_rows(spark, edges):
     assert op04_langid.op4_language_id(spark, f"{edges}/none").count() == 0
 
 
+def brute_mixture(model, text):
+    """Shares of the languages by expectation-maximisation over words, one number at a time."""
+    import numpy as np
+
+    words, word = [], ""
+    for c in text + " ":
+        if c.isalpha():
+            word += c.lower()[0]
+        elif word:
+            words.append(word)
+            word = ""
+
+    def cell(a, b, c):
+        x = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) % 2**64
+        x ^= x >> 29
+        return x * 0xBF58476D1CE4E5B9 % 2**64 >> 48
+
+    logs = []
+    for w in words:
+        p = [0, *map(ord, w), 0]
+        logs.append(np.sum([model.log_p[cell(*p[i : i + 3])] for i in range(len(w))], axis=0, dtype=float))
+
+    def fit(share):
+        like = [np.exp(x - x.max()) for x in logs]
+        for _ in range(op04_langid.STEPS):
+            share = np.mean([p * share / (p * share).sum() for p in like], axis=0)
+        return share, sum(math.log((p * share).sum()) for p in like)
+
+    n = len(model.languages)
+    order = np.argsort(-fit(np.full(n, 1 / n))[0], kind="stable")
+    alone = np.sum([x - x.max() for x in logs], axis=0)
+    options = [(-2 * alone.max(), np.eye(n)[alone.argmax()])]
+    for size in range(2, min(n, op04_langid.LARGEST) + 1):
+        share, ll = fit(np.array([1 / size if i in order[:size] else 0.0 for i in range(n)]))
+        options.append((-2 * ll + op04_langid.PENALTY * (size - 1) * math.log(len(words) + 1), share))
+    share = min(options, key=lambda x: x[0])[1]
+    return model.languages[share.argmax()], share.max()
+
+
+def test_mixtures_equal_brute_force(spark):
+    docs = table(spark, SMALL, "documents")
+    model = op04_langid.train(docs)
+    rows = [(r.doc_id, r.text[:1500]) for r in docs.orderBy("doc_id").limit(40).collect() if r.text and any(c.isalpha() for c in r.text[:1500])]
+    rows += [(1000 + i, a[1][:300] + " " + b[1][:200]) for i, (a, b) in enumerate(zip(rows[:20], rows[1:21], strict=True))]
+    got = {r.doc_id: r for r in op04_langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for d, text in rows:
+        lang, score = brute_mixture(model, text)
+        assert got[d].lang_pred == lang and abs(got[d].score - score) < 1e-3
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------
 
 
