@@ -168,6 +168,14 @@ _PAGES = {
     "frontline-club": _TICKETING[1:],
     "guildhall-library": _TICKETING[1:],
     "intelligence-squared": _TICKETING[:1],
+    "conway-hall": ['<conwayhall-event><h3 class="event-title"><span>Thinking on Sunday:</span> On Doubt</h3><a href="https://www.conwayhall.org.uk/whats-on/event/1/">x</a><time datetime="2026-10-18T15:00:00"></time><div class="uk-modal-body"><p>About doubt</p><p class="uk-text-small">Brockway Room | Virtual event</p></div></conwayhall-event>'],
+    "geological-society": ['<a class="card__event" href="/events/g"><span class="card__event--badge">October 19 2026</span><h3 class="card-title">On Rocks</h3><div class="card__event--body"><p>Burlington House</p><p>Lecture</p></div></a>'],
+    "iop": ['<div class="iop-media-block--event"><h3 class="iop-media-block__heading">On Light</h3><div class="iop-media-block__date"><p>20 October 2026, 6.30pm</p><p>21 October 2026</p></div><span class="iop-media-block__event-type">In person</span><a class="iop-media-block__cta" href="/events/l">more</a></div>'],
+    "royal-academy": ['<div class="event-card"><a class="event-card__link" href="/event/c">On Colour</a><span class="event-card__label">Free talk</span><span class="event-card__date">Thu 22 October 2026</span></div><div class="event-card"><a class="event-card__link" href="/event/w">Workshop</a><span class="event-card__label">Course</span><span class="event-card__date">22 October 2026</span></div>'],
+    "royal-society": ['<a class="card__link" href="/e/1"><h3 class="card__title">On Numbers</h3><time>23 October - 24 October 2026</time><span class="card__meta-item">Free</span><span class="card__meta-item">The Royal Society</span></a>'],
+    "rsaa": ['<article><h2 class="entry-title"><a href="https://rsaa.org.uk/upcoming-events/x/">On Asia</a></h2><div class="entry-content">Online talk with Jane Doe. 26 October 2026, 6pm</div></article>'],
+    "rsc": ['<div class="card card--link" data-list-rank="1"><h3 class="card__title"><a href="/events/d/1">On Salt</a></h3><span class="card__location">London, United Kingdom</span><span class="card__date">27 October 2026</span></div><div class="card card--link"><h3 class="card__title"><a href="/events/d/2">A short course</a></h3><span class="card__location">London</span><span class="card__date">27 October 2026</span></div>'],
+    "southbank": ['<div class="c-event-card"><a class="c-event-card__cover-link" href="https://www.southbankcentre.co.uk/w/1"></a><h3 class="c-event-card__title">On Verse</h3><p class="c-event-card__daterange">Wed 28 Oct &amp; Thu 29 Oct 2026, 7.30pm</p><p class="c-event-card__location">Purcell Room</p><p class="c-event-card__price-label">Tickets £12</p></div>'],
 }
 
 
@@ -182,6 +190,10 @@ _PAGES = {
     ("rsa", "On Maps", "https://t.org/e/1", "2026-10-01", "18:30", None, "Hall, 1 Road, London", "£5.00 – £7.50", "false"), ("rsa", "On Maps", "https://t.org/e/3", "2026-10-01", "18:30", None, "Online", "Free", "true"),
     ("frontline-club", "On Maps", "https://t.org/e/4", "2026-10-01", "18:30", None, "Hall, 1 Road, London", "Free – £9.00", "false"), ("guildhall-library", "On Maps", "https://t.org/e/4", "2026-10-01", "18:30", None, "Hall, 1 Road, London", "Free – £9.00", "false"),
     ("intelligence-squared", "On Maps", "https://t.org/e/1", "2026-10-01", "18:30", None, "Hall, 1 Road, London", "£5.00 – £7.50", "false"),
+    ("conway-hall", "Thinking on Sunday: On Doubt", "https://www.conwayhall.org.uk/whats-on/event/1/", "2026-10-18", "15:00", None, "Brockway Room, Conway Hall, 25 Red Lion Square, WC1R 4RL", None, "false"), ("geological-society", "On Rocks", "https://www.geolsoc.org.uk/events/g", "2026-10-19", None, None, "Burlington House", None, None),
+    ("iop", "On Light", "https://www.iop.org/events/l", "2026-10-20", "18:30", None, None, None, None), ("royal-academy", "On Colour", "https://www.royalacademy.org.uk/event/c", "2026-10-22", None, None, None, None, None), ("royal-society", "On Numbers", "https://royalsociety.org/e/1", "2026-10-23", None, None, "The Royal Society", "Free", None),
+    ("rsaa", "On Asia", "https://rsaa.org.uk/upcoming-events/x/", "2026-10-26", "18:00", None, None, None, "true"), ("rsc", "On Salt", "https://www.rsc.org/events/d/1", "2026-10-27", None, None, "London, United Kingdom", None, None),
+    ("southbank", "On Verse", "https://www.southbankcentre.co.uk/w/1", "2026-10-28", "19:30", None, "Purcell Room, Southbank Centre", "£12", "false"), ("southbank", "On Verse", "https://www.southbankcentre.co.uk/w/1", "2026-10-29", "19:30", None, "Purcell Room, Southbank Centre", "£12", "false"),
 ], "source, title, url, start_date, start_time, instant, location, price_text, online"))
 def source_connectors(spark, sf_dir):
     """Every source that has a connector, over a captured page or feed of its format."""
@@ -201,11 +213,11 @@ def source_catalogue(spark, sf_dir):
     return kinds.agg(F.count(F.lit(1)).cast("int").alias("sources"), F.count_distinct("id").cast("int").alias("ids"), n("ticketing"), n("json"), n("cards"), n("labelled"))
 
 
-@register("source_includes", values([("conway-hall", "A talk", "true"), ("conway-hall", "Sunday Concert: Bach", "false"), ("iop", "Careers evening", "false"), ("iop", "Dark matter", "true"), ("royal-academy", "Open day", "false")], "source, title, included"))
+@register("source_includes", values([("birkbeck", "Library tour", "false"), ("birkbeck", "On Bees", "true"), ("conway-hall", "A talk", "true"), ("conway-hall", "Sunday Concert: Bach", "false"), ("iop", "Careers evening", "false"), ("iop", "Dark matter", "true"), ("royal-academy", "Open day", "false")], "source, title, included"))
 def source_includes(spark, sf_dir):
-    rows = spark.createDataFrame([("conway-hall", "A talk"), ("conway-hall", "Sunday Concert: Bach"), ("iop", "Careers evening"), ("iop", "Dark matter"), ("royal-academy", "Open day")], "source string, title string").withColumn("location", F.lit("Senate House, London"))
+    rows = spark.createDataFrame([("birkbeck", "Library tour"), ("birkbeck", "On Bees"), ("conway-hall", "A talk"), ("conway-hall", "Sunday Concert: Bach"), ("iop", "Careers evening"), ("iop", "Dark matter"), ("royal-academy", "Open day")], "source string, title string").withColumn("location", F.lit("Senate House, London"))
     out = F.lit(None).cast("boolean")
-    for s in ("conway-hall", "iop", "royal-academy"):
+    for s in ("birkbeck", "conway-hall", "iop", "royal-academy"):
         out = F.when(F.col("source") == s, catalogue.include(s)).otherwise(out)
     return rows.select("source", "title", out.cast("string").alias("included"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import VOID
 
-_STEP = re.compile(r"(?P<tag>[a-z0-9]+)?(?P<classes>(?:\.[\w-]+)*)(?P<attrs>(?:\[[^\]]+\])*)$")
+_STEP = re.compile(r"(?P<tag>[a-z][a-z0-9-]*)?(?P<classes>(?:\.[\w-]+)*)(?P<attrs>(?:\[[^\]]+\])*)$")
 
 
 class _Node:

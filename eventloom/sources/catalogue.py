@@ -58,6 +58,7 @@ SOURCES = (
 TIMEOUT, TIMEOUTS = 240, {"pints-of-knowledge": 480, "iop": 480, "rsc": 480}
 
 # Titles and kinds that a source leaves out or is limited to
+BIRKBECK_LEFT_OUT = r"^(?:get ready|virtual enrolment|enrolment|induction|welcome|uni connect|linking london|study skills|open (?:day|evening)|applicant|offer holder|graduation|freshers|library tour|ilc open session|academic english|presenting with confidence|orientation|post-arrival|campus tours?|disabled students|meet the)\b|\b(?:study skills|enrolment support|drop-in session|offer holders?|short course(?: booking)?|course booking|workshop series|cpd spotlight|careers? (?:fair|clinic|workshop)|employability|taster (?:course|session|day)|a career for you|fast stream|for (?:new|prospective|international|current) (?:students|undergraduates|postgraduates|applicants)|students[’']? allowance|information session|ilc workshop|(?:academic|digital|writing|study) skills|personal statement|referencing)\b"
 CONWAY_LEFT_OUT = r"^sunday concerts?\b"
 ACADEMY_LEFT_OUT = r"\bopen (?:day|evening)\b"
 PHYSICS_LEFT_OUT = r"\b(?:membership|professional registration|chartered|careers?|mentoring|annual general meeting|agm|cpd)\b"
@@ -65,6 +66,7 @@ IMPERIAL_KINDS = r"^(?:lecture|seminar|symposium|debate|conference|festival|film
 UCL_LEFT_OUT = r"^(?:workshop|virtual open day|open day|open event|information session|short course|online learning|face-to-face learning|taster session|continuing professional development|networking|tour|training|summer school|induction)"
 HIGHGATE_KINDS = r"lecture|talk|debate|opera circle|science|conversation|special event"
 HIGHGATE_LEFT_OUT = r"course|workshop|class|fitness|pilates|tai chi|walk|concert|film|cinema|exhibition|fair|library|choir|yoga|drawing|painting"
+CHEMISTS_LEFT_OUT = r"\b(?:short course|course|training|workshop|site visit|tour|competition|olympiad|exam|careers? fair|practical)\b"
 GEOGRAPHERS_REGION = r"^london(?:\s+and\s+online)?$"
 GEOGRAPHERS_LEFT_OUT = r"^(?:teachers|schools|professionals|postgraduates|undergraduates|early career|members only)$"
 
@@ -85,7 +87,7 @@ def selected(only: tuple[str, ...] = (), skip: tuple[str, ...] = ()) -> list[str
 def include(source: str) -> Column | None:
     """A source's predicate over its records, or None."""
     title = F.col("title")
-    return {"conway-hall": lambda: ~matches(title, CONWAY_LEFT_OUT), "royal-academy": lambda: ~matches(title, ACADEMY_LEFT_OUT), "iop": lambda: ~matches(title, PHYSICS_LEFT_OUT) & classify.in_london(F.col("location"))}.get(source, lambda: None)()
+    return {"birkbeck": lambda: ~matches(title, BIRKBECK_LEFT_OUT), "conway-hall": lambda: ~matches(title, CONWAY_LEFT_OUT), "royal-academy": lambda: ~matches(title, ACADEMY_LEFT_OUT), "iop": lambda: ~matches(title, PHYSICS_LEFT_OUT) & classify.in_london(F.col("location"))}.get(source, lambda: None)()
 
 
 def later_than(cards: DataFrame, date: Column, beyond: Column) -> DataFrame:
@@ -208,6 +210,14 @@ CARDS = {
     "imperial": ('a[href^="/events/"]', {"url": "@href", "title": ".title", "times": "time[datetime]@datetime", "blurb": "@title", "venue": ".venue", "tags": ".tags li span"}),
     "ras": (".view-dates-for-the-dairy .event-iten", {"url": ".views-field-title a@href", "title": ".views-field-title a", "day": ".views-field-field-date-1", "month": ".views-field-field-date-2", "time": ".views-field-field-date", "kind": ".views-field-field-event-type"}),
     "society-of-antiquaries": (".sugar-calendar-event-list-block__listview__event", {"url": ".sugar-calendar-event-list-block__event__title a@href", "title": ".sugar-calendar-event-list-block__event__title a", "times": ".sugar-calendar-event-list-block__event__datetime time[datetime]@datetime", "blurb": ".sugar-calendar-event-list-block__event__desc"}),
+    "conway-hall": ("conwayhall-event", {"url": 'a[href*="/whats-on/event/"]@href', "title": ".event-title", "series": ".event-title span", "times": "time[datetime]@datetime", "format": ".uk-modal-body p.uk-text-small", "lines": ".uk-modal-body p"}),
+    "geological-society": ("a.card__event", {"url": "@href", "title": ".card-title", "badge": ".card__event--badge", "lines": ".card__event--body p"}),
+    "iop": (".iop-media-block--event", {"url": "a.iop-media-block__cta@href", "title": ".iop-media-block__heading", "days": ".iop-media-block__date p", "kind": ".iop-media-block__event-type"}),
+    "royal-academy": (".event-card", {"url": "a.event-card__link@href", "title": "a.event-card__link", "label": ".event-card__label", "day": ".event-card__date", "subtitle": ".event-card__subtitle"}),
+    "royal-society": ("a.card__link", {"url": "@href", "title": ".card__title", "days": "time", "meta": ".card__meta-item", "blurb": ".card__desc"}),
+    "rsaa": ("article", {"url": ".entry-title a@href", "title": ".entry-title a", "excerpt": ".entry-content"}),
+    "rsc": (".card.card--link", {"url": ".card__title a@href", "title": ".card__title a", "place": ".card__location", "company": ".card__company", "day": ".card__date"}),
+    "southbank": (".c-event-card", {"url": ".c-event-card__cover-link@href", "title": ".c-event-card__title", "days": ".c-event-card__daterange", "venue": ".c-event-card__location", "price": ".c-event-card__price-label", "blurb": ".c-event-card__listing-details", "kind": ".c-event-card__primary-artform"}),
 }
 
 
@@ -263,10 +273,90 @@ def _antiquaries(responses: DataFrame, today: Column) -> DataFrame:
     return readers.first_wins(rows, "url", "start_date")
 
 
+def _conway(responses: DataFrame, today: Column) -> DataFrame:
+    e, wall, home = _cards("conway-hall", responses), _wall(field("times")), next(s[5] for s in SOURCES if s[0] == "conway-hall")
+    series = F.regexp_replace(F.coalesce(field("series"), F.lit("")), r":\z", "")
+    bare = text.clean(F.when(field("series").isNotNull(), F.replace(field("title"), field("series"), F.lit(""))).otherwise(field("title")))
+    bare = F.when(bare == "", text.clean(field("title"))).otherwise(bare)
+    form = F.coalesce(F.element_at(F.when(F.size(F.col("fields")["format"]) > 0, F.col("fields")["format"]), -1), F.lit(""))
+    room, mode = text.clean(F.split(form, "\\|")[0]), text.clean(F.get(F.split(form, "\\|"), F.lit(1)))
+    rows = readers.raw_events(
+        e.filter(wall["start_date"].isNotNull()), source=F.lit("conway-hall"), seq=_seq(), title=F.when((series != "") & ~F.contains(F.lower(bare), F.lower(series)), F.concat(series, F.lit(": "), bare)).otherwise(bare), url=F.col("link"),
+        location=F.when(matches(room, "online|virtual"), "Online").when((room != "") & ~matches(room, r"^in[\s-]?person$"), F.concat(room, F.lit(", " + home))).otherwise(home),
+        online=F.when(matches(room, "^(?:online|virtual)"), True).when((room != "") & matches(mode, "virtual|online"), False),
+        description=text.none_if_empty(F.array_join(F.array_except(F.col("fields")["lines"], F.col("fields")["format"]), " ")), hints=F.array(form), **wall,
+    )
+    return readers.first_wins(rows, "url", "start_date")
+
+
+def _geologists(responses: DataFrame, today: Column) -> DataFrame:
+    badge = F.regexp_replace(field("badge"), r"^(\w+)\s+(\d+)\s+(\d{4}).*", "$2 $1 $3")
+    e = _cards("geological-society", responses).withColumn("day", dates.parse_date(badge, today)).filter("day IS NOT NULL")
+    lines = F.col("fields")["lines"]
+    return readers.raw_events(e, source=F.lit("geological-society"), seq=_seq(), title=field("title"), url=F.col("link"), start_date=F.col("day").cast("string"), location=text.none_if_empty(field("lines")), hints=F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))))
+
+
+def _iop(responses: DataFrame, today: Column) -> DataFrame:
+    e = _cards("iop", responses).withColumn("start", dates.parse_date_time(field("days"), today)).filter("start IS NOT NULL")
+    return readers.first_wins(readers.raw_events(
+        e, source=F.lit("iop"), seq=_seq(), title=field("title"), url=F.col("link"), start_date=F.col("start.date").cast("string"), start_time=F.col("start.time"), end_date=dates.parse_date(field("days", 1), today),
+        online=F.when(matches(field("kind"), "^online$"), True),
+    ), "url")
+
+
+def _academy(responses: DataFrame, today: Column) -> DataFrame:
+    label = F.coalesce(field("label"), F.lit(""))
+    e = _cards("royal-academy", responses).withColumn("day", dates.parse_date(field("day"), today))
+    e = e.filter(F.col("day").isNotNull() & F.contains("link", F.lit("/event/")) & ((label == "") | matches(label, "talk|lecture|discussion|conversation|debate|symposium|reading|free")))
+    return readers.first_wins(readers.raw_events(e, source=F.lit("royal-academy"), seq=_seq(), title=field("title"), url=F.col("link"), start_date=F.col("day").cast("string"), free=F.when(matches(label, r"\bfree\b"), True), hints=F.array(F.coalesce(field("subtitle"), F.lit("")))), "url")
+
+
+def _royal_society(responses: DataFrame, today: Column) -> DataFrame:
+    """Several listings; a range of days lends its year to the first."""
+    sides = F.split(field("days"), r"\s+-\s+")
+    year, meta = F.regexp_extract(field("days"), r"\b\d{4}\b", 0), F.col("fields")["meta"]
+    first = F.when(sides[0].rlike(r"\d{4}"), sides[0]).otherwise(F.concat_ws(" ", sides[0], year))
+    e = _cards("royal-society", responses).withColumn("day", dates.parse_date(first, today)).filter("day IS NOT NULL")
+    return readers.first_wins(readers.raw_events(
+        e, source=F.lit("royal-society"), seq=_seq(), title=field("title"), url=F.col("link"), start_date=F.col("day").cast("string"), end_date=F.when(F.size(sides) > 1, F.coalesce(dates.parse_date(sides[1], today), F.col("day"))),
+        location=F.get(F.filter(meta, lambda m: ~matches(m, "^(?:free|watch online|£)")), F.lit(0)), price_text=F.get(F.filter(meta, lambda m: matches(m, "^(?:free|£)")), F.lit(0)), description=text.none_if_empty(field("blurb")), hints=meta,
+    ), "url")
+
+
+def _rsaa(responses: DataFrame, today: Column) -> DataFrame:
+    lead = F.split(field("excerpt"), r"\b\d{1,2}\s+[A-Z][a-z]+\s+\d{4}")[0]
+    e = _cards("rsaa", responses).withColumn("start", dates.parse_date_time(field("excerpt"), today)).filter(F.col("start").isNotNull() & F.contains("link", F.lit("/upcoming-events/")))
+    hybrid = matches(lead, r"\bin[\s-]person\b|\bhybrid\b|\band online\b|\bonline and\b")
+    return readers.raw_events(e, source=F.lit("rsaa"), seq=_seq(), title=field("title"), url=F.col("link"), start_date=F.col("start.date").cast("string"), start_time=F.col("start.time"), online=F.when(matches(lead, r"\bonline\b") & ~hybrid, True), hints=F.array(lead))
+
+
+def _chemists(responses: DataFrame, today: Column) -> DataFrame:
+    e = _cards("rsc", responses).withColumn("day", dates.parse_date(field("day"), today))
+    e = e.filter(F.col("day").isNotNull() & matches(field("place"), "london") & ~matches(F.concat_ws(" ", field("title"), field("company")), CHEMISTS_LEFT_OUT))
+    return readers.first_wins(readers.raw_events(e, source=F.lit("rsc"), seq=_seq(), title=field("title"), url=F.col("link"), start_date=F.col("day").cast("string"), location=field("place"), description=text.none_if_empty(field("company"))), "url")
+
+
+def _southbank(responses: DataFrame, today: Column) -> DataFrame:
+    """A row for each day of a list such as "1 & 2 Oct 2026, 7pm"; a day without a year takes that of the next."""
+    whole = text.clean(field("days"))
+    year = F.regexp_extract(whole, r"\b(\d{4})\b", 1)
+    parts = F.transform(F.split(F.split(whole, ",")[0], r"\s*&\s*"), lambda p: F.when(p.rlike(r"\d{4}"), p).otherwise(F.concat_ws(" ", p, year)))
+    e = _cards("southbank", responses).withColumn("time", dates.parse_time(F.regexp_replace(whole, "^[^,]*,?", ""))).select("*", F.posexplode(parts).alias("n", "part"))
+    e = e.withColumn("day", dates.parse_date(F.col("part"), today)).filter("day IS NOT NULL")
+    venue = F.coalesce(field("venue"), F.lit(""))
+    online = matches(venue, "^online") | matches(field("title"), r"live\s*stream")
+    return readers.raw_events(
+        e, source=F.lit("southbank"), seq=_seq() * 100 + F.col("n"), title=field("title"), url=F.col("link"), start_date=F.col("day").cast("string"), start_time=F.col("time"), online=F.when(online, True).when(venue != "", False),
+        location=F.when(online, "Online").when(venue != "", F.concat(venue, F.lit(", Southbank Centre"))), price_text=text.none_if_empty(F.regexp_replace(F.coalesce(field("price"), F.lit("")), r"(?i)^tickets\s*", "")),
+        description=text.none_if_empty(field("blurb")), hints=F.array(F.coalesce(field("kind"), F.lit(""))),
+    )
+
+
 #: Captured responses (url, page, body) and today's date to raw events, by source.
 CONNECTORS: dict[str, Callable[[DataFrame, Column], DataFrame]] = {
     "frontline-club": _ticketing("frontline-club"), "guildhall-library": _ticketing("guildhall-library"), "rsa": _ticketing("rsa"),
     "intelligence-squared": _ticketing("intelligence-squared", lambda: F.col("location").isNull() | matches(F.col("location"), "london")),
     "linnean": _linnean, "ucl": _ucl, "hlsi": _hlsi, "charterhouse": _charterhouse, "rgs": _rgs, "pints-of-knowledge": _pints,
     "barbican": _barbican, "birkbeck": _birkbeck, "imperial": _imperial, "ras": _ras, "society-of-antiquaries": _antiquaries,
+    "conway-hall": _conway, "geological-society": _geologists, "iop": _iop, "royal-academy": _academy, "royal-society": _royal_society, "rsaa": _rsaa, "rsc": _chemists, "southbank": _southbank,
 }
