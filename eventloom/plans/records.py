@@ -65,7 +65,7 @@ def fuzzy_dedupe_greedy(spark, sf_dir):
     return kept.select("seq", "source", "title", "date", "time", F.size("also_at").alias("elsewhere"))
 
 
-_TOKENS = "list_distinct(list_filter(string_split(regexp_replace(regexp_replace(strip_accents(lower(left(split_part(text, chr(10), 1), 200))), '[''’]s\\b', '', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND NOT list_contains(['{}'], w)))"
+_TOKENS = "list_distinct(list_filter(string_split(regexp_replace(regexp_replace(strip_accents(lower(split_part(text, chr(10), 1))), '[''’]s\\b', '', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND NOT list_contains(['{}'], w)))"
 
 
 @register("title_token_pairs", f"""WITH t AS (SELECT doc_id, source, lang, {_TOKENS.format("', '".join(text.X.STOPWORDS))} AS w FROM documents),
@@ -73,18 +73,12 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS shar
 SELECT a, b FROM p WHERE least(na, nb) >= 2 AND CASE WHEN least(na, nb) >= 3 THEN greatest(shared / (na + nb - shared), shared / least(na, nb) * 0.9) ELSE shared / (na + nb - shared) END >= 0.8""")
 def title_token_pairs(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").filter("source IS NOT NULL AND lang IS NOT NULL")
-    e = d.select(F.col("doc_id").alias("seq"), "source", "lang", text.title_tokens(text.fold(F.substring(F.split("text", "\n")[0], 1, 200))).alias("tokens")).filter(F.size("tokens") >= 2)
+    e = d.select(F.col("doc_id").alias("seq"), "source", "lang", text.title_tokens(text.fold(F.split("text", "\n")[0])).alias("tokens")).filter(F.size("tokens") >= 2)
     p = linkage.sharing_words(e, "source", "lang").filter(text.similarity(F.col("a.tokens"), F.col("b.tokens")) >= 0.8)
     return p.select(F.least("a.seq", "b.seq").alias("a"), F.greatest("a.seq", "b.seq").alias("b"))
 
 
-@register("title_token_pairs_whole", ORACLES["title_token_pairs"].replace("left(split_part(text, chr(10), 1), 200)", "split_part(text, chr(10), 1)"))
-def title_token_pairs_whole(spark, sf_dir):
-    """title_token_pairs over all of each first line, not its first 200 characters."""
-    d = _t(spark, sf_dir, "documents").filter("source IS NOT NULL AND lang IS NOT NULL")
-    e = d.select(F.col("doc_id").alias("seq"), "source", "lang", text.title_tokens(text.fold(F.split("text", "\n")[0])).alias("tokens")).filter(F.size("tokens") >= 2)
-    p = linkage.sharing_words(e, "source", "lang").filter(text.similarity(F.col("a.tokens"), F.col("b.tokens")) >= 0.8)
-    return p.select(F.least("a.seq", "b.seq").alias("a"), F.greatest("a.seq", "b.seq").alias("b"))
+register("title_token_pairs_whole", ORACLES["title_token_pairs"])(title_token_pairs)
 
 
 @register("lookup_left_enrich", "SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0")
@@ -177,15 +171,12 @@ def union_distinct_candidates(spark, sf_dir):
     return hosts.union(spark.range(1).select(F.lit("extra.example.org").alias("host"))).distinct()
 
 
-@register("explode_sessions", "SELECT conv_id, turn, nth, word FROM (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS nth FROM (SELECT conv_id, turn, string_split(left(text, 80), ' ') AS w FROM conversations))")
+@register("explode_sessions", "SELECT conv_id, turn, nth, word FROM (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS nth FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations))")
 def explode_sessions(spark, sf_dir):
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.substring("text", 1, 80), " ")).alias("nth", "word")).select("conv_id", "turn", F.col("nth").cast("long").alias("nth"), "word")
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("nth", "word")).select("conv_id", "turn", F.col("nth").cast("long").alias("nth"), "word")
 
 
-@register("explode_sessions_whole", "SELECT conv_id, turn, nth, word FROM (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS nth FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations))")
-def explode_sessions_whole(spark, sf_dir):
-    """explode_sessions over all of each turn, not its first 80 characters."""
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("nth", "word")).select("conv_id", "turn", F.col("nth").cast("long").alias("nth"), "word")
+register("explode_sessions_whole", ORACLES["explode_sessions"])(explode_sessions)
 
 
 @register("first_wins_distinct", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations) WHERE nth = 1")

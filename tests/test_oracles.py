@@ -1,4 +1,5 @@
-"""Every registered query of the listing engine that has SQL gives the SQL's rows, over the smallest tables."""
+"""Queries over stated cases, over the rule chain and over connectors give their SQL's rows, over the smallest tables.
+The other queries' SQL is compared over larger tables by the driver of each round."""
 
 import duckdb
 import pytest
@@ -18,12 +19,17 @@ def duck():
     return con
 
 
-def shown(rows, names):
-    order = sorted(range(len(names)), key=lambda i: names[i])
+def shown(rows, columns):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted(tuple(f"{r[i]:.9g}" if isinstance(r[i], float) else str(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def names():
+    found = registry.queries()
+    return [n for n in registry.oracle_sql() if found[n].__module__.rpartition(".")[2] in ("golden", "listing", "connectors") or n.startswith(("title_token_pairs", "parse_"))]
+
+
+@pytest.mark.parametrize("name", names())
 def test_query_equals_its_sql(spark, duck, name):
     df = registry.queries()[name](spark, SMALL)
     want = duck.execute(registry.oracle_sql()[name])
