@@ -119,10 +119,8 @@ def candidate_pairs(events: DataFrame) -> DataFrame:
     return pairs.filter(time_ok & same).select(F.least("a.seq", "b.seq").alias("a"), F.greatest("a.seq", "b.seq").alias("b"), "similarity")
 
 
-def _same(a: dict, b: dict, likely: set) -> bool:
+def _same(a: dict, b: dict) -> bool:
     """Whether a candidate pair still matches after what was merged into either."""
-    if (min(a["seq"], b["seq"]), max(a["seq"], b["seq"])) not in likely:
-        return False
     if a["source"] == b["source"]:
         return a["time"] == b["time"]
     if a["time"] and b["time"] and abs(sum(int(x) * y for x, y in zip(a["time"].split(":"), (60, 1), strict=True)) - sum(int(x) * y for x, y in zip(b["time"].split(":"), (60, 1), strict=True))) > 30:
@@ -140,17 +138,18 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     def places(location):
         return {w for w in re.sub("[^a-z0-9]+", " ", (location or "").lower()).split() if len(w) > 2 and w not in GENERIC_PLACE and not w[0].isdigit()}
 
-    likely = {(s, int(o)) for s, others in zip(pdf["seq"], pdf["others"], strict=True) for o in others}
     rows = _records(pdf)
-    for r in rows:
+    at: dict[int, list[int]] = {}
+    for i, r in enumerate(rows):
         r["places"] = places(r["location"])
+        at.setdefault(r["seq"], []).append(i)
     gone: set[int] = set()
     for i, a in enumerate(rows):
         if i in gone:
             continue
-        for j in range(i + 1, len(rows)):
+        for j in sorted(j for o in set(map(int, a["others"])) for j in at.get(o, ())):  # candidates come later in order
             b = rows[j]
-            if j in gone or not _same(a, b, likely):
+            if j in gone or not _same(a, b):
                 continue
             keep, drop, lost = (b, a, i) if _rich(b) > _rich(a) else (a, b, j)
             _fill(keep, drop)

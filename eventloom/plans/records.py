@@ -78,7 +78,7 @@ def title_token_pairs(spark, sf_dir):
     return p.select(F.least("a.seq", "b.seq").alias("a"), F.greatest("a.seq", "b.seq").alias("b"))
 
 
-register("title_token_pairs_whole", ORACLES["title_token_pairs"])(title_token_pairs)
+title_token_pairs_whole = register("title_token_pairs_whole", ORACLES["title_token_pairs"])(title_token_pairs)
 
 
 @register("lookup_left_enrich", "SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0")
@@ -176,7 +176,7 @@ def explode_sessions(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("nth", "word")).select("conv_id", "turn", F.col("nth").cast("long").alias("nth"), "word")
 
 
-register("explode_sessions_whole", ORACLES["explode_sessions"])(explode_sessions)
+explode_sessions_whole = register("explode_sessions_whole", ORACLES["explode_sessions"])(explode_sessions)
 
 
 @register("first_wins_distinct", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations) WHERE nth = 1")
