@@ -297,3 +297,33 @@ def highlight_cases(spark, sf_dir):
 def highlight_documents(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.highlight(F.lower("text"), ["leau"]).alias("h"))
     return d.select("doc_id", F.size(F.regexp_extract_all("h", F.lit("<mark>"), F.lit(0))).cast("long").alias("marks"))
+
+
+#: Pairs of records (what differs from a common one), and how many remain, with how many other sources.
+DUPLICATES = [
+    ({"url": "https://example.org/talk?utm_medium=email"}, {"url": "https://www.example.org/talk/", "description": "A long description of the talk that is useful."}, 1, 0),
+    ({"url": "https://example.org/series"}, {"url": "https://example.org/series", "day": 16}, 2, 0),
+    ({"title": "The secret life of sewers", "speakers": ["Rosemary Ashton"]}, {"source": "b", "title": "The Secret Life of Sewers: a panel discussion", "time": "18:45"}, 1, 1),
+    ({}, {"source": "b", "location": "Conway Hall, Red Lion Square"}, 2, 0),
+    ({}, {"source": "b", "time": "10:00"}, 2, 0),
+    ({}, {}, 1, 0),
+    ({}, {"time": "18:45"}, 2, 0),
+    ({"source": "c", "time": None, "location": None}, {"source": "b", "time": "18:30"}, 1, 1),
+    ({"title": "Maps"}, {"source": "b", "title": "Maps"}, 2, 0),
+]
+
+
+@register("fuzzy_dedupe_cases", values([(i, n, others) for i, (_, _, n, others) in enumerate(DUPLICATES)], "nth, kept, elsewhere"))
+def fuzzy_dedupe_cases(spark, sf_dir):
+    """Both passes over pairs of records, each pair on a day of its own."""
+    base = {"source": "a", "title": "The Secret Life of Sewers", "time": "18:30", "location": "The British Academy, Carlton House Terrace", "speakers": [], "also_at": [], "day": 0}
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], schemas.EVENT).schema}
+    rows = []
+    for i, (a, b, _, _) in enumerate(DUPLICATES):
+        for j, r in enumerate((a, b)):
+            e = base | {"seq": 2 * i + j, "id": str(i), "url": f"https://example.org/e/{2 * i + j}"} | r
+            rows.append(tuple((e | {"date": f"2026-10-{10 + i}" if not e["day"] else f"2026-11-{e['day']}"}).get(n) for n in kinds))
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n in ('date', 'start') else k.simpleString()}" for n, k in kinds.items()))
+    df = df.withColumns({"date": F.col("date").cast("date"), "start": F.col("start").cast("timestamp")})
+    kept = linkage.dedupe(df).groupBy((F.col("id").cast("int")).alias("nth"))
+    return kept.agg(F.count(F.lit(1)).cast("int").alias("kept"), F.sum(F.size("also_at")).cast("int").alias("elsewhere"))
