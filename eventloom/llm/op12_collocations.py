@@ -1,11 +1,12 @@
 """Phrase collocations by contiguous pattern growth.
 
-Passes over the texts, each an Arrow batch at a time:
+Passes over the texts, each some texts at a time:
 1. Words are counted exactly, and adjacent pairs by a 64-bit hash. Pairs seen often enough are set in a filter of a
    fixed number of bits, so it holds every frequent pair (and a few others by collision): it only saves work.
 2. At each occurrence of a pair in the filter, the context is projected: the words from there on, `LONGEST` at most,
    as long as each next pair is in the filter too. A longer phrase is frequent only if all its pairs are, so no
-   occurrence of a frequent phrase is lost. Equal contexts of a batch are one row with a weight.
+   occurrence of a frequent phrase is lost. Equal contexts of a task are one row with a weight, as far as it can
+   hold them.
 
 Contexts are dealt out in ranges of their order, so one task has whole prefixes and a very common prefix has as many
 tasks as its share asks for. A task takes blocks of sorted contexts: the occurrences of a prefix are a range of
@@ -18,13 +19,13 @@ enough to look at the phrases that are one word longer.
 
 Defined cases: null texts are empty, a null lang is `und`; rows of one doc_id, null ids and repeated rows each count;
 other columns are ignored; an empty table gives an empty result; ties in score are broken by count, then by the
-phrase's bytes; very long texts are one batch each, and whatever their length only their own batch grows.
+phrase's bytes; a very long text is read alone, and memory grows with it only.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,9 @@ from .common import forget, mapped, table, written
 from .tokens import mix, text_bytes
 
 LEAST, LONGEST, REPORTED = 100, 5, 2000
-#: Bits of the filter of frequent pairs (16 MB whatever the input), hashes that a task holds before it adds them up.
-FILTER_BITS, HELD = 1 << 27, 1 << 21
+#: Bits of the filter of frequent pairs (16 MB whatever the input); hashes, and rows of words or contexts, that a task
+#: holds before it adds them up; bytes of text that it reads together (a longer text is read alone).
+FILTER_BITS, HELD, HELD_ROWS, TOGETHER = 1 << 27, 1 << 21, 1 << 19, 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 32]] = True
@@ -81,20 +83,30 @@ class Words:
         self.langs = langs.dictionary
         self.lang = langs.indices.to_numpy()[text]
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Language, word and number of each word of each language."""
+    def counts(self) -> dict:
+        """The number of each word of each language."""
         many = max(len(self.words), 1)
         key, n = np.unique(self.lang.astype(np.int64) * many + self.code, return_counts=True)
-        return key // many, key % many, n
+        return {"lang": self.langs.take(pa.array(key // many)), "word": self.words.take(pa.array(key % many)), "n": n}
+
+    def totals(self) -> dict:
+        """The number of words of each language."""
+        n = np.bincount(self.lang, minlength=len(self.langs))
+        return {"lang": self.langs, "word": pa.nulls(len(n), pa.large_binary()), "n": n}
+
+    def next_pairs(self) -> dict:
+        """The number of each hash of two words that follow each other in a piece."""
+        key, n = np.unique(self.pairs()[self.next[:-1]], return_counts=True)
+        return {"pair": key.view(np.int64), "n": n}
 
     def pairs(self) -> np.ndarray:
         """A hash of each word, the one after it and their language; the last word of all has none."""
         word, lang = _hashes(self.words)[self.code], _hashes(self.langs.cast(pa.large_binary()))[self.lang]
         return mix(mix(word[:-1] + _STEP) + word[1:] + lang[:-1] * _STEP)
 
-    def contexts(self, frequent: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """(contexts, language, weight): the distinct contexts of at least two words. frequent: whether a word and the
-        next one are a pair of the filter."""
+    def contexts(self, frequent: np.ndarray) -> dict:
+        """The number of each context of at least two words. frequent: whether a word and the next one are a pair of
+        the filter."""
         n, length = len(self.code), np.ones(len(self.code), np.int64)
         going = np.ones(n, bool)
         for k in range(min(LONGEST - 1, n)):
@@ -113,7 +125,7 @@ class Words:
         found = _strings(out, data).dictionary_encode()
         many = max(len(self.langs), 1)
         key, weight = np.unique(found.indices.to_numpy().astype(np.int64) * many + self.lang[start], return_counts=True)
-        return found.dictionary.take(pa.array(key // many)), key % many, weight
+        return {"lang": self.langs.take(pa.array(key % many)), "context": found.dictionary.take(pa.array(key // many)), "n": weight}
 
 
 def _strings(at: np.ndarray, data: np.ndarray) -> pa.LargeBinaryArray:
@@ -130,44 +142,68 @@ def _hashes(column: pa.LargeBinaryArray) -> np.ndarray:
     return mix(total[at[1:]] - total[at[:-1]])
 
 
+def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[Words]:
+    """The words of some texts at a time."""
+    for batch in batches:
+        _, at = text_bytes(batch.column("text"))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + TOGETHER, side="right")) - 1)
+            some = batch.slice(i, j - i)
+            yield Words(some.column("text"), some.column("lang"))
+            i = j
+
+
+class Sums:
+    """Rows of keys and n: equal keys are added up, `most` rows at a time at least; little is held."""
+
+    def __init__(self, *keys: str, most: int = HELD_ROWS):
+        self.keys, self.most, self.held, self.rows = [*keys], most, [], 0
+
+    def add(self, columns: dict, last: bool = False) -> Iterator[pa.Table]:
+        if columns:
+            self.held.append(pa.table(columns))
+            self.rows += self.held[-1].num_rows
+        if self.held and (last or self.rows > 2 * self.most):
+            found = pa.concat_tables(self.held).group_by(self.keys).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+            self.held, self.rows = [found], found.num_rows
+            if last or self.rows > self.most:
+                self.held, self.rows = [], 0
+                yield found
+
+    def rest(self) -> Iterator[pa.Table]:
+        return self.add({}, True)
+
+
+def _batches(tables: Iterable[pa.Table], schema: pa.Schema, **more) -> Iterator[pa.RecordBatch]:
+    """The tables' rows, some at a time; columns that they lack are null, or the one value given."""
+    for own in tables:
+        for batch in own.to_batches(1 << 16):
+            lacking = lambda f: pa.repeat(pa.scalar(more[f.name], f.type), batch.num_rows) if f.name in more else pa.nulls(batch.num_rows, f.type)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) if f.name in batch.schema.names else lacking(f) for f in schema], schema=schema)
+
+
+_COUNTS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("pair", pa.int64()), ("n", pa.int64())])
+_CONTEXTS = pa.schema([("lang", pa.string()), ("context", pa.string()), ("n", pa.int64()), ("salt", pa.int64())])
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """(lang, word, pair, n): frequent words of each language (pair is null), frequent pairs' hashes (lang and word are
     null), and all words of each language (word and pair are null)."""
 
     def run(batches):
-        held, size = [], 0
-
-        def pairs():
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            empty = pa.nulls(len(key), pa.string())
-            return _rows([empty, empty, pa.array(key.view(np.int64)), pa.array(n)], ["lang", "word", "pair", "n"])
-
-        for batch in batches:
-            found = Words(batch.column("text"), batch.column("lang"))
-            lang, word, n = found.counts()
-            words = found.words.take(pa.array(word)).cast(pa.string())
-            yield from _rows([found.langs.take(pa.array(lang)), words, pa.nulls(len(n), pa.int64()), pa.array(n)], ["lang", "word", "pair", "n"])
-            total = np.bincount(found.lang, minlength=len(found.langs))
-            yield from _rows([found.langs, pa.nulls(len(total), pa.string()), pa.nulls(len(total), pa.int64()), pa.array(total)], ["lang", "word", "pair", "n"])
-            held.append(found.pairs()[found.next[:-1]])
-            size += len(held[-1])
-            if size > HELD:
-                yield from pairs()
-                held, size = [], 0
-        if size:
-            yield from pairs()
+        words, pairs = Sums("lang", "word"), Sums("pair", most=HELD)
+        for found in _texts(batches):
+            yield from _batches(words.add(found.counts()), _COUNTS)
+            yield from _batches(words.add(found.totals()), _COUNTS)
+            yield from _batches(pairs.add(found.next_pairs()), _COUNTS)
+        yield from _batches(words.rest(), _COUNTS)
+        yield from _batches(pairs.rest(), _COUNTS)
 
     counts = mapped(docs.select("text", "lang"), run, "lang string, word string, pair long, n long").groupBy("lang", "word", "pair").agg(F.sum("n").alias("n"))
     return counts.filter((F.col("n") >= LEAST) | F.col("word").isNull() & F.col("pair").isNull())
 
 
-def _rows(columns: list, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Some rows at a time, so that no batch on the other side is large."""
-    batch = pa.RecordBatch.from_arrays(columns, names=names)
-    for i in range(0, batch.num_rows, 1 << 16):
-        yield batch.slice(i, 1 << 16)
-
-
 def pair_filter(pairs: DataFrame) -> np.ndarray:
     """FILTER_BITS bits as bytes, those of the pairs' hashes set. Bitmaps of 32,768 bits come to the driver, of which
     there are FILTER_BITS / 32,768 at most."""
@@ -186,16 +222,14 @@ def projected(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(pair_filter(pairs))
 
     def run(batches):
-        for batch in batches:
-            found = Words(batch.column("text"), batch.column("lang"))
-            if not len(found.code):
-                continue
+        contexts, salt = Sums("lang", "context"), 0
+        for found in _texts(batches):
             place = found.pairs() & np.uint64(FILTER_BITS - 1)
             frequent = found.next.copy()
             frequent[:-1] &= (bits.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            context, lang, n = found.contexts(frequent)
-            salt = np.full(len(n), zlib.crc32(found.bytes[: 1 << 16]), np.int64)
-            yield from _rows([found.langs.take(pa.array(lang)), context.cast(pa.string()), pa.array(n), pa.array(salt)], ["lang", "context", "n", "salt"])
+            salt = zlib.crc32(found.bytes[: 1 << 16], salt)
+            yield from _batches(contexts.add(found.contexts(frequent)), _CONTEXTS, salt=salt)
+        yield from _batches(contexts.rest(), _CONTEXTS, salt=salt)
 
     return mapped(docs.select("text", "lang"), run, "lang string, context string, n long, salt long")
 
