@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import op01_secrets, op02_minhash, op04_langid, op05_mixing, op10_bpe
-from eventloom.llm.common import table, written
+from eventloom.llm.common import packed, table, unpacked, written
 
 #: A document goes if no language has at least this share of its words.
 LEAST_SHARE = 0.5
@@ -20,15 +20,15 @@ LEAST_SHARE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a leading language; a missing lang is filled in with it."""
     model = op04_langid.train(docs.select("doc_id", "text", "lang"))
-    found = op04_langid.labelled(docs, model, "lang_pred", "score")
+    found = op04_langid.labelled(packed(docs, "text"), model, "lang_pred", "score")
     kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return unpacked(kept, docs.columns, lang=F.coalesce("row.lang", "lang_pred"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     kept = op02_minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in whole copies; fractions carry over to the source's next document."""
     taken = op05_mixing.whole_copies(docs).groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("mix_copies"))
-    mixed = docs.join(taken.filter("mix_copies > 0"), F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    mixed = packed(docs, "doc_id").join(taken.filter("mix_copies > 0"), F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    return unpacked(mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))), docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
