@@ -68,6 +68,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """docs as one struct `row` beside the named columns: a step's own columns can't clash with any of docs."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *own)
+
+
+def unpacked(rows: DataFrame, names: list[str], **made: Column) -> DataFrame:
+    """The columns of `row` again, with those that were made in place of their old ones."""
+    return rows.select(*((made[c] if c in made else F.col("row").getField(c)).alias(c) for c in names))
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))

@@ -49,3 +49,35 @@ def test_redact_leaves_no_line_of_a_key(spark):
     begin, end = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----"
     docs = spark.createDataFrame([(1, f"a {begin}{body}{end} b {begin}{body}{end} c"), (2, f"a {begin}{body}")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in S.redact(docs).collect()} == {1: "a [REDACTED] b [REDACTED] c", 2: "a [REDACTED]"}
+
+
+def test_runs_of_token_starts_take_linear_time():
+    import time
+
+    begun = time.time()
+    assert S.find_secrets("eyJ" * 350_000, S.RULES) == []
+    assert time.time() - begun < 1
+    token = "eyJ" + "a" * 20 + "." + "b" * 20 + ".c"
+    assert S.find_secrets(f"x{token} {token},{token}", S.RULES) == [("jwt", len(token) + 2, 2 * len(token) + 2), ("jwt", 2 * len(token) + 3, 3 * len(token) + 3)]
+
+
+def test_a_stored_ledger_scans_what_is_new_only(spark, tmp_path):
+    first = S.with_blob_id(spark.createDataFrame([("a", "token=abcdef"), ("b", None)], "path string, text string"))
+    more = S.with_blob_id(spark.createDataFrame([("a", "token=abcdef"), ("c", "AKIA" + "A" * 16 + " token=abcdef")], "path string, text string"))
+    ledger = S.Ledger(spark, f"{tmp_path}/ledger")
+    assert ledger.rows() is None
+    assert ledger.update(first).count() == 4  # two blobs, two rule sets
+    assert ledger.update(first).count() == 4
+    assert ledger.update(more).count() == 6
+    again = {"base-1": S.BASE, "more-3": S.MORE}
+    assert ledger.update(more, again).count() == 8  # the new version of one set, over the two blobs of this call
+    doubled = ledger.rows().unionByName(ledger.rows())
+    found = {r.path: [(f.kind, f.start) for f in r.findings] for r in S.findings_by_path(more, doubled, *again).collect()}
+    assert found == {"a": [("assign", 0)], "c": [("access", 0), ("assign", 21)]}
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    names = ["blob_id", "findings", "row", "hit", "lacking", "seen", "rule_version", "kind", "a.b"]
+    docs = spark.createDataFrame([(1, "token=abcdef", *(f"v{i}" for i in range(len(names))))], ["doc_id", "text", *names])
+    (got,) = S.redact(docs).collect()
+    assert got.asDict() == {"doc_id": 1, "text": "[REDACTED]", **{n: f"v{i}" for i, n in enumerate(names)}}

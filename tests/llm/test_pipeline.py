@@ -72,3 +72,19 @@ def test_long_documents_of_each_source_meet_its_target(spark):
     targets = {r.source: r.target for r in op05_mixing.source_targets(op05_mixing.sized(docs)).collect()}
     assert 0.25 < targets["b"] / 6000 < 0.45
     assert all(abs(100 * words[s] - t) <= 200 for s, t in targets.items())
+
+
+def test_columns_of_any_name_come_back_untouched(spark):
+    """Every name that a stage gives to a column of its own, as a column of the input; and ids with several texts."""
+    names = ["findings", "blob_id", "mix_id", "mix_copies", "mix_copy", "_mixture", "lang_pred", "score", "row", "hit", "rep", "kept", "component_id", "size", "place", "bucket", "nth", "taken", "target", "text_hash", "set_id", "label", "lacking"]
+    text = "the of and to in that is with for on as are this " * 4
+    rows = [(i // 2, f"{text} number{i} word{i * 7} token=abcdef{i}", "en", f"src{i % 3}", 5, *(f"{n}{i}" for n in names)) for i in range(12)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"{n} string" for n in names)]))
+    before = {r.findings: r for r in docs.collect()}
+    for name, stage in P.STAGES[:-1]:
+        after = written(stage(spark, docs, SMALL), "test")
+        assert after.columns == docs.columns, name
+        for r in after.collect():
+            assert all(r[n] == before[r.findings][n] for n in ["doc_id", "source", *names]), name
+        docs = after
+    assert docs.count() > 0
