@@ -15,8 +15,9 @@ How the work stays in proportion to the input:
   index inside the task and never become rows, except those that join two groups.
 
 Defined cases: a text without words has an empty set and is linked with nothing; a text of fewer than five
-words has its whole sequence as its only shingle; rows of one id count as one document and share its fate; rows
-without an id are in the group of their exact copies only; an empty table gives an empty result.
+words has its whole sequence as its only shingle; rows of one id count as one document, linked by the texts of all
+its rows, and share its fate; rows without an id are in the group of their exact copies only; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) to doc_id, n_shingles, set_id (a 128-bit digest of the set) and sketch."""
+    """docs(doc_id, text) to doc_id, text_hash, n_shingles, set_id (a 128-bit digest of the set) and sketch."""
 
     def run(batches):
         for batch in batches:
@@ -67,9 +68,23 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sizes.append(len(s))
                 ids.append(b"".join(int(mix(s + np.uint64(c)).sum(dtype=np.uint64)).to_bytes(8, "big") for c in (1, 2**63)) if len(s) else None)
                 least.append(s[:K].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_id", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "set_id", "sketch"])
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, set_id binary, sketch array<long>")
+    return mapped(_hashed(docs), run, "doc_id long, text_hash long, n_shingles long, set_id binary, sketch array<long>")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """docs with a hash that tells the texts of one id apart."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+
+def classes_of(sigs: DataFrame) -> DataFrame:
+    """(rep, doc_id, text_hash, set_id, n_shingles, sketch): a row for each set, numbered by rep, with its least id and
+    one text of it."""
+    own = sigs.filter("doc_id IS NOT NULL AND set_id IS NOT NULL")
+    first = own.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("set_id", "first.*")
+    one = own.join(first, ["set_id", "doc_id", "text_hash"], "left_semi").dropDuplicates(["set_id"])
+    return written(one.withColumn("rep", F.monotonically_increasing_id()), "near-classes")
 
 
 def least_overlap(n):
@@ -106,21 +121,22 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(same >= F.least(F.lit(SHARED), F.ceil(F.size(union) * PERCENT / 100) - 1)).select("a", "b")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the given distinct ids (doc_id), one row each. Few ids go to where the texts are; more
-    meet them in a shuffle."""
-    if ids.count() <= SENT_IDS:
-        ids = F.broadcast(ids)
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def _texts(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep and text of the given distinct classes (rep), one row each. The keys of few classes go to where the texts
+    are; more meet them in a shuffle."""
+    keys = classes.select("rep", "doc_id", "text_hash").join(reps, "rep", "left_semi")
+    if reps.count() <= SENT_IDS:
+        keys = F.broadcast(keys)
+    return _hashed(docs).join(keys, ["doc_id", "text_hash"]).select("rep", "text").dropDuplicates(["rep"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ids whose full sets are similar enough. Only texts of the pairs travel."""
-    needed = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-ids")
-    texts = written(_texts(docs, needed), "near-texts")
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes whose full sets are similar enough. Only texts of the pairs travel."""
+    needed = written(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "near-ids")
+    texts = written(_texts(docs, classes, needed), "near-texts")
     forget(needed)
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    one = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
+    both = one.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
         for batch in batches:
@@ -158,7 +174,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def _across_blocks(left: DataFrame, docs: DataFrame) -> DataFrame:
+def _across_blocks(left: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) that join the groups of classes which share long lists: a spanning set of them, not all.
 
     Classes of lists that hang together are a family. Its members' full sets are dealt out in blocks; a task
@@ -171,9 +187,9 @@ def _across_blocks(left: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], names=["rep", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "hashes"])
 
-    texts = _texts(docs, members.select(F.col("rep").alias("doc_id")))
+    texts = _texts(docs, classes, members.select("rep"))
     sets = mapped(texts, run, "rep long, hashes binary")
     # the largest group of a family needs no comparison with itself: one side leaves it out
     size = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
@@ -225,9 +241,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id and kept."""
     docs = docs.select("doc_id", "text")
     sigs = written(signatures(docs), "near-signatures")
-    own = sigs.filter("doc_id IS NOT NULL AND set_id IS NOT NULL")
-    of = own.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    classes = written(own.join(of.withColumnRenamed("rep", "doc_id"), ["set_id", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "set_id", "n_shingles", "sketch"), "near-classes")
+    classes = classes_of(sigs)
     lists = inverted_lists(classes)
 
     # round 1: each class with the least class of each of its lists
@@ -235,7 +249,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = lists.join(least, "value").select(F.col("rep").alias("a"), F.col("p.rep").alias("b"), "n", F.col("p.n").alias("pn"))
     star = star.filter((F.col("a") != F.col("b")) & _similar_size("n", "pn")).select("a", "b").distinct()
     pairs = written(likely(star, classes), "near-pairs")
-    links = confirmed(pairs, docs)
+    links = confirmed(pairs, docs, classes)
     labels = components(links)
     forget(pairs)
 
@@ -250,17 +264,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     y = x.select("value", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("la").alias("lb"))
     short = x.join(y, "value").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _similar_size("na", "nb")).select("a", "b").distinct()
     short = short.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    joins = _across_blocks(left.filter(F.col("m") > SHORT), docs)
+    joins = _across_blocks(left.filter(F.col("m") > SHORT), docs, classes)
     pairs = written(likely(short, classes).union(joins).distinct(), "near-pairs")
     forget(joins)
-    more = confirmed(pairs, docs)
-    if not more.isEmpty():
-        before, labels = labels, components(links.union(more))
+    more = confirmed(pairs, docs, classes)
+    # the texts of one id are one document: its sets belong together
+    several = written(_ids_of_several_texts(sigs), "near-several")
+    some = not several.isEmpty()
+    of_id = several.join(classes.select("set_id", "rep"), "set_id")
+    same = of_id.join(of_id.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b")
+    if some or not more.isEmpty():
+        before, labels = labels, components(links.union(more).union(same))
         forget(before)
     forget(lists, left, pairs, links, more)
-    found = classes.select("set_id", F.col("rep")).join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("set_id", F.coalesce("label", "rep").alias("label"))
-    out = sigs.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    member = classes.select("set_id", "rep", "doc_id").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    least = member.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    found = written(member.join(least, "label").select("set_id", "component_id"), "near-components")
+    out = sigs.filter("set_id IS NOT NULL").select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left").drop("set_id")
+    out = out.unionByName(sigs.filter("set_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    if some:  # a row without words goes with its id's others
+        by_id = several.join(found, "set_id").groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
+        out = out.join(by_id, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "of_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _ids_of_several_texts(sigs: DataFrame) -> DataFrame:
+    """(doc_id, set_id): the sets of ids that have more than one, or rows without words beside one."""
+    own = sigs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("set_id", F.lit(b"")).alias("set_id"))
+    several = own.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).filter("a <> b").select("doc_id")
+    return own.join(several, "doc_id", "left_semi").filter(F.length("set_id") > 0).distinct()
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,8 +104,51 @@ def test_pairs_that_just_miss_hide_no_link_between_blocks(spark):
     rows[23] = (23, " ".join([*base[:100], "z1", "z2", "z3", "z4"]))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = spark.createDataFrame([(1, k, 100, len(rows), k // 12 * 12) for k, _ in rows], "value long, rep long, n long, m long, label long")
-    pairs = op02_minhash._across_blocks(left, docs)
-    assert [tuple(r) for r in op02_minhash.confirmed(pairs, docs).collect()] == [(11, 23)]
+    classes = op02_minhash._hashed(docs).select(docs["doc_id"].alias("rep"), "doc_id", "text_hash")
+    pairs = op02_minhash._across_blocks(left, docs, classes)
+    assert [tuple(r) for r in op02_minhash.confirmed(pairs, docs, classes).collect()] == [(11, 23)]
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    """Every text of an id counts, whichever row comes first, and joins the groups of all."""
+    x, y, z = prose(61, 80, 100_000), prose(62, 80, 100_000), prose(63, 80, 100_000)
+    rows = [(5, x), (5, y), (6, x), (7, y)]
+    got = op02_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False)]
+    rows = [(9, x), (9, y), (9, z), (9, None), (4, z + " tail"), (8, y), (3, x + " end"), (3, " "), (2, ""), (None, x)]
+    got = op02_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(9, 3), (4, 3), (8, 3), (3, 3), (2, 2), (None, 3)}
+    assert {r.doc_id for r in got if r.kept} == {2, 3}
+
+
+def test_repeated_ids_against_brute_force(spark):
+    """Ids drawn with repeats: sets that share an id belong together."""
+    r, rows = random.Random(77), []
+    base = [prose(700 + g, 40, 100_000).split() for g in range(12)]
+    for _ in range(150):
+        w = list(r.choice(base))
+        for _ in range(r.choice([0, 0, 1, 2, 6])):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        rows.append((r.randrange(90), " ".join(w)))
+    # every row a document of its own, then rows of one id joined
+    parts = brute_components(list(enumerate(t for _, t in rows)))
+    root = {}
+
+    def find(k):
+        while root.get(k, k) != k:
+            k = root[k]
+        return k
+
+    for i, (doc_id, _) in enumerate(rows):
+        a, b = find(("id", doc_id)), find(("part", parts[i][1]))
+        if a != b:
+            root[a] = b
+    least = {}
+    for doc_id, _ in rows:
+        k = find(("id", doc_id))
+        least[k] = min(least.get(k, doc_id), doc_id)
+    got = op02_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(g.doc_id, g.component_id) for g in got} == {(d, least[find(("id", d))]) for d, _ in rows}
 
 
 def test_refused_pairs_hide_no_link_in_long_lists(spark):
