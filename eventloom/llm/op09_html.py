@@ -11,13 +11,14 @@ the enclosing container first, so short paragraphs beside a long one stay.
 
 Defined cases: a null or empty page, or one without text, gives the empty text; unclosed and stray tags are
 repaired as browsers do for paragraphs, list items and table cells; pages are independent, so repeated rows
-give repeated results; nesting depth is not limited.
+give repeated results; nesting depth is not limited, and time grows with the page's length, not with its depth.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right as bisect
 from html import unescape
 
 import pyarrow as pa
@@ -118,7 +119,18 @@ def parse(html: str) -> Node:
     """The tree of a page; texts are strings among a node's children, with their references decoded."""
     root = Node("html", None)
     at, node, lower = 0, root, None
-    articles = 0
+    # the open elements, and where each tag, blocks and articles stand among them: no step walks up the tree
+    stack, where, open_blocks, articles = [root], {"html": [0]}, [0], []
+
+    def close_from(i: int) -> Node:
+        while len(stack) > i:
+            gone = stack.pop()
+            where[gone.tag].pop()
+            if open_blocks[-1] == len(stack):
+                open_blocks.pop()
+            if articles and articles[-1] == len(stack):
+                articles.pop()
+        return stack[-1]
 
     def add(text: str) -> None:
         if text and not node.cut:
@@ -131,29 +143,20 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            top = node
-            while top is not None and top.tag != tag:
-                # a stray inline end tag does not close blocks
-                top = None if (top.tag in BLOCK and tag not in BLOCK) else top.parent
-            if top is not None and top.parent is not None:
-                while node is not top.parent:
-                    articles -= node.tag in ("article", "main")
-                    node = node.parent
+            i = where[tag][-1] if where.get(tag) else 0
+            # a stray inline end tag does not close blocks
+            if i and (tag in BLOCK or i > open_blocks[-1]):
+                node = close_from(i)
             continue
         if tag in ("html", "body") and tag in (node.tag, root.tag) and node is root and tag == "html":
             continue
         if closes := CLOSES.get(tag):
-            top, found = node, None
-            while top is not None and top.tag not in closes[1]:
-                if top.tag in closes[0]:
-                    found = top
-                top = top.parent
-            if found is not None and found.parent is not None:
-                while node is not found.parent:
-                    articles -= node.tag in ("article", "main")
-                    node = node.parent
-        child = Node(tag, node, node.cut or _is_cut(tag, m[3], articles > 0))
-        child.suspect = _is_suspect(tag, m[3], articles > 0)
+            scope = max((where[t][-1] for t in closes[1] if where.get(t)), default=-1)
+            found = [own[k] for t in closes[0] if (own := where.get(t)) and (k := bisect(own, scope)) < len(own)]
+            if found and min(found):
+                node = close_from(min(found))
+        child = Node(tag, node, node.cut or _is_cut(tag, m[3], bool(articles)))
+        child.suspect = _is_suspect(tag, m[3], bool(articles))
         node.kids.append(child)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -164,7 +167,12 @@ def parse(html: str) -> Node:
             close = html.find(">", end) if end >= 0 else -1
             at = close + 1 if close >= 0 else len(html)
             continue
-        articles += tag in ("article", "main")
+        where.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            open_blocks.append(len(stack))
+        if tag in ("article", "main"):
+            articles.append(len(stack))
+        stack.append(child)
         node = child
     add(html[at:])
     _cut_suspects(root)
@@ -227,21 +235,19 @@ def main_nodes(root: Node) -> set[int]:
             if isinstance(k, Node) and not k.cut and best[id(k)].sum > top.sum:
                 top = best[id(k)]
         best[id(n)] = top
+    above, up = set(), core
+    while up is not None:
+        above.add(id(up))
+        up = up.parent
     main, inside = {id(core)}, set()
     for n in order:
         if id(n.parent) in inside or id(n) in main and n is core:
             inside.add(id(n))
-        elif n.chars and n.density >= least and n.tag in BLOCK and n.tag not in ("body", "html") and not _above(n, core):
+        elif n.chars and n.density >= least and n.tag in BLOCK and n.tag not in ("body", "html") and id(n) not in above:
             main.add(id(best[id(n)]))
     return main
 
 
-def _above(n: Node, core: Node) -> bool:
-    while core is not None and core is not n:
-        core = core.parent
-    return core is n
-
-
 def blocks(root: Node, main: set[int]) -> list[str]:
     """The texts of the blocks in main, in page order, each with its white space made one space and trimmed."""
     out: list[str] = []

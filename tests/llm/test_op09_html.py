@@ -63,3 +63,12 @@ def test_a_wrapper_keeps_its_article(start):
 def test_short_articles_in_named_boxes_stay():
     box = "<div class=widget><article><p>A text of some length number {}.</p></article></div>"
     assert "number 1" in H.main_text("<body>" + "".join(box.format(i) for i in range(5)))
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "The text.", "<p><span>" * 50_000 + "The text." + "</b>" * 50_000, "<ul><li>" * 40_000 + "The text." + "</li></ul>" * 40_000])
+def test_deep_pages_take_linear_time(page):
+    import time
+
+    begun = time.time()
+    assert H.main_text(page) == "The text."
+    assert time.time() - begun < 4
