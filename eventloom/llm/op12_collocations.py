@@ -40,7 +40,7 @@ from .tokens import mix, text_bytes
 LEAST, LONGEST, REPORTED = 100, 5, 2000
 #: Bits of the filter of frequent pairs (16 MB whatever the input); hashes, and rows of words or contexts, that a task
 #: holds before it adds them up; bytes of text that it reads together (a longer text is read alone).
-FILTER_BITS, HELD, HELD_ROWS, TOGETHER = 1 << 27, 1 << 21, 1 << 19, 1 << 21
+FILTER_BITS, HELD, HELD_ROWS, TOGETHER = 1 << 27, 1 << 20, 1 << 18, 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 32]] = True
@@ -94,11 +94,6 @@ class Words:
         n = np.bincount(self.lang, minlength=len(self.langs))
         return {"lang": self.langs, "word": pa.nulls(len(n), pa.large_binary()), "n": n}
 
-    def next_pairs(self) -> dict:
-        """The number of each hash of two words that follow each other in a piece."""
-        key, n = np.unique(self.pairs()[self.next[:-1]], return_counts=True)
-        return {"pair": key.view(np.int64), "n": n}
-
     def pairs(self) -> np.ndarray:
         """A hash of each word, the one after it and their language; the last word of all has none."""
         word, lang = _hashes(self.words)[self.code], _hashes(self.langs.cast(pa.large_binary()))[self.lang]
@@ -191,16 +186,27 @@ def _counted(docs: DataFrame) -> DataFrame:
     """(lang, word, pair, n): frequent words of each language (pair is null), frequent pairs' hashes (lang and word are
     null), and all words of each language (word and pair are null)."""
 
+    def pair_counts(held):
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return _batches([pa.table({"pair": key.view(np.int64), "n": n})], _COUNTS)
+
     def run(batches):
-        words, pairs = Sums("lang", "word"), Sums("pair", most=HELD)
+        words, held, size = Sums("lang", "word"), [], 0
         for found in _texts(batches):
             yield from _batches(words.add(found.counts()), _COUNTS)
             yield from _batches(words.add(found.totals()), _COUNTS)
-            yield from _batches(pairs.add(found.next_pairs()), _COUNTS)
+            held.append(found.pairs()[found.next[:-1]])
+            size += len(held[-1])
+            if size > HELD:
+                yield from pair_counts(held)
+                held, size = [], 0
         yield from _batches(words.rest(), _COUNTS)
-        yield from _batches(pairs.rest(), _COUNTS)
+        if held:
+            yield from pair_counts(held)
 
-    counts = mapped(docs.select("text", "lang"), run, "lang string, word string, pair long, n long").groupBy("lang", "word", "pair").agg(F.sum("n").alias("n"))
+    # what the tasks have added up is hardly fewer rows for another sum on their side
+    counts = mapped(docs.select("text", "lang"), run, "lang string, word string, pair long, n long").repartition("lang", "word", "pair")
+    counts = counts.groupBy("lang", "word", "pair").agg(F.sum("n").alias("n"))
     return counts.filter((F.col("n") >= LEAST) | F.col("word").isNull() & F.col("pair").isNull())
 
 
