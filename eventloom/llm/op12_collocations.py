@@ -5,8 +5,7 @@ Passes over the texts, each some texts at a time:
    fixed number of bits, so it holds every frequent pair (and a few others by collision): it only saves work.
 2. At each occurrence of a pair in the filter, the context is projected: the words from there on, `LONGEST` at most,
    as long as each next pair is in the filter too. A longer phrase is frequent only if all its pairs are, so no
-   occurrence of a frequent phrase is lost. Equal contexts of a task are one row with a weight, as far as it can
-   hold them.
+   occurrence of a frequent phrase is lost. Equal contexts of texts that are read together are one row with a weight.
 
 Contexts are dealt out in ranges of their order, so one task has whole prefixes and a very common prefix has as many
 tasks as its share asks for. A task takes blocks of sorted contexts: the occurrences of a prefix are a range of
@@ -228,14 +227,11 @@ def projected(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(pair_filter(pairs))
 
     def run(batches):
-        contexts, salt = Sums("lang", "context"), 0
         for found in _texts(batches):
             place = found.pairs() & np.uint64(FILTER_BITS - 1)
             frequent = found.next.copy()
             frequent[:-1] &= (bits.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            salt = zlib.crc32(found.bytes[: 1 << 16], salt)
-            yield from _batches(contexts.add(found.contexts(frequent)), _CONTEXTS, salt=salt)
-        yield from _batches(contexts.rest(), _CONTEXTS, salt=salt)
+            yield from _batches([pa.table(found.contexts(frequent))], _CONTEXTS, salt=zlib.crc32(found.bytes[: 1 << 16]))
 
     return mapped(docs.select("text", "lang"), run, "lang string, context string, n long, salt long")
 
