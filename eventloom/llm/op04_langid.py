@@ -2,7 +2,8 @@
 
 A language is a distribution over character trigrams of words (hashed to `GRAMS` cells). A document's words are
 drawn from a mixture of languages: expectation-maximisation estimates the proportions from each word's trigram
-likelihoods, and the set of languages is the one of least penalised likelihood among the leading 1, 2, ... ones.
+likelihoods, and the set of languages is the one of least penalised likelihood among the leading 1, 2, ... ones, up
+to all.
 The prediction is the language of the largest proportion, and its proportion is the score.
 
 The classifier is fitted on at most `PER_LANGUAGE` labelled documents of each language, those of the smallest
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import mapped, small_batches, table
 
 GRAMS, PER_LANGUAGE, LANGUAGES = 1 << 16, 2000, 200
-#: Added to every count; steps of expectation-maximisation; weight of the penalty log(words) per language; largest set.
-SMOOTH, STEPS, PENALTY, LARGEST = 0.1, 8, 4.0, 3
+#: Added to every count; steps of expectation-maximisation; weight of the penalty log(words) per language.
+SMOOTH, STEPS, PENALTY = 0.1, 8, 4.0
 #: Code points worked on at once.
 PIECE = 1 << 17
 
@@ -104,7 +105,7 @@ def mixture(log_p: np.ndarray, cells: np.ndarray, first: np.ndarray, of: np.ndar
     one = alone.argmax(1)
     best[np.arange(len(docs)), one] = 1.0
     least = -2 * alone.max(1)
-    for size in range(2, min(k, LARGEST) + 1):
+    for size in range(2, k + 1):
         share = np.zeros_like(full)
         np.put_along_axis(share, order[:, :size], 1.0 / size, axis=1)
         share, ll = _fit(p, index, start, count, share, STEPS)

@@ -243,7 +243,7 @@ def brute_mixture(model, text):
     order = np.argsort(-fit(np.full(n, 1 / n))[0], kind="stable")
     alone = np.sum([x - x.max() for x in logs], axis=0)
     options = [(-2 * alone.max(), np.eye(n)[alone.argmax()])]
-    for size in range(2, min(n, op04_langid.LARGEST) + 1):
+    for size in range(2, n + 1):
         share, ll = fit(np.array([1 / size if i in order[:size] else 0.0 for i in range(n)]))
         options.append((-2 * ll + op04_langid.PENALTY * (size - 1) * math.log(len(words) + 1), share))
     share = min(options, key=lambda x: x[0])[1]
