@@ -72,3 +72,55 @@ def test_deep_pages_take_linear_time(page):
     begun = time.time()
     assert H.main_text(page) == "The text."
     assert time.time() - begun < 4
+
+
+def naive(node):
+    """Characters, tags, link characters and link tags of a subtree, and its nodes, by plain recursion."""
+    chars = tags = links = link_tags = 0
+    below = [node]
+    for kid in node.kids:
+        if isinstance(kid, str):
+            chars += sum(not c.isspace() for c in kid)
+        elif not kid.cut:
+            c, t, lc, lt, nodes = naive(kid)
+            chars, tags, links, link_tags = chars + c, tags + t + 1, links + lc, link_tags + lt
+            below += nodes
+    if node.tag == "a":
+        links, link_tags = chars, link_tags + 1
+    node.want = (chars, tags, links, link_tags)
+    return chars, tags, links, link_tags, below
+
+
+def test_density_sums_equal_their_formula():
+    """Composite text density and density sums of every node of drawn pages, computed anew from the definition."""
+    import math
+    import random
+
+    class Node(H.Node):  # room for what is expected
+        __slots__ = ("want",)
+
+    draw = random.Random(8)
+    for _ in range(60):
+        page = "".join(draw.choice([f"<{t}>", f"</{t}>", "some words here ", "x "]) for t in draw.choices(["div", "p", "a", "span", "ul", "li", "section", "b"], k=draw.randint(5, 80)))
+        H_Node, H.Node = H.Node, Node
+        try:
+            root = H.parse(page)
+        finally:
+            H.Node = H_Node
+        H._measure(H._in_order(root))
+        chars, _, links, _, nodes = naive(root)
+        share = links / max(chars, 1)
+
+        def density(n):
+            c, t, lc, lt = n.want
+            if not c:
+                return 0.0
+            if not lc:
+                return c / max(t, 1)
+            ratio = c / lc * max(t, 1) / max(lt, 1)
+            return c / max(t, 1) * max(math.log(max(ratio, 1.0)), 0.0) / math.log(c / max(c - lc, 1) * lc + share * c + math.e)  # noqa: B023
+
+        for n in nodes:
+            assert n.density == pytest.approx(density(n))
+            own = sum(sum(not c.isspace() for c in k) for k in n.kids if isinstance(k, str))
+            assert n.sum == pytest.approx(own + sum(density(k) for k in n.kids if not isinstance(k, str) and not k.cut))
