@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fixed as X
 from .regex import java, matches, part, swap
-from .text import clean
+from .text import clean, let
 
 
 def _prose(texts: Column) -> Column:
@@ -21,9 +21,29 @@ def _any(text: Column, patterns: tuple[str, ...]) -> Column:
     return out
 
 
+def _has(lower: Column, *words: str) -> Column:
+    """Whether a text, in lower case, has one of the words that a pattern can't match without: most texts have none,
+    and are spared the pattern."""
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(lower, F.lit(w))
+    return out
+
+
+def _free_by_prose(prose: Column, lower: Column) -> Column:
+    donation = lambda: _has(lower, "donation", "pay what", "pwyc") & matches(prose, X.DONATION)
+    says = F.struct((_has(lower, "free") & _any(prose, X.FREE_PROSE)).alias("free"), (_has(lower, "£", "ticket", "concession") & matches(prose, X.PAID_PROSE)).alias("paid"))
+    return let(says, lambda s: (
+        F.when(prose == "", F.lit(None).cast("boolean"))
+        .when(~s["paid"] & (s["free"] | donation()), True)
+        .when(s["paid"] & ~s["free"], False)
+        .when(s["paid"] & matches(prose, X.MEMBERS_ONLY_FREE), False)
+    ))
+
+
 def free(price: Column, texts: Column) -> Column:
     """True if attending costs nothing (or what one likes), false if it is paid; a price field counts before prose."""
-    p, prose = clean(price), _prose(texts)
+    p = clean(price)
     paid = matches(p, X.PAID_PRICE)
     by_price = (
         F.when(p == "", F.lit(None).cast("boolean"))
@@ -33,15 +53,7 @@ def free(price: Column, texts: Column) -> Column:
         .when(matches(p, r"\bfree\b") & ~paid, True)
         .when(paid, False)
     )
-    says_free, says_paid = _any(prose, X.FREE_PROSE), matches(prose, X.PAID_PROSE)
-    by_prose = (
-        F.when(prose == "", F.lit(None).cast("boolean"))
-        .when(matches(prose, X.DONATION) & ~says_paid, True)
-        .when(says_free & ~says_paid, True)
-        .when(says_paid & ~says_free, False)
-        .when(says_free & says_paid & matches(prose, X.MEMBERS_ONLY_FREE), False)
-    )
-    return F.coalesce(by_price, by_prose)
+    return F.coalesce(by_price, let(_prose(texts), lambda prose: let(F.lower(prose), lambda lower: _free_by_prose(prose, lower))))
 
 
 def online_by_location(location: Column) -> Column:
@@ -57,13 +69,17 @@ def online_by_location(location: Column) -> Column:
 
 
 def online_by_prose(texts: Column) -> Column:
-    prose = _prose(texts)
-    return (
-        F.when(prose == "", F.lit(None).cast("boolean"))
-        .when(matches(prose, X.HYBRID_PROSE), False)
-        .when(matches(prose, r"\bin[\s-]person\b") & ~matches(prose, r"\bno\s+in[\s-]person\b"), False)
-        .when(_any(prose, X.ONLINE_PROSE), True)
-    )
+
+    def said(prose: Column, lower: Column) -> Column:
+        person = _has(lower, "person")
+        return (
+            F.when(prose == "", F.lit(None).cast("boolean"))
+            .when((_has(lower, "hybrid") | person) & matches(prose, X.HYBRID_PROSE), False)
+            .when(person & matches(prose, r"\bin[\s-]person\b") & ~matches(prose, r"\bno\s+in[\s-]person\b"), False)
+            .when(_has(lower, "online", "virtual", "webinar", "zoom", "microsoft", "crowdcast") & _any(prose, X.ONLINE_PROSE), True)
+        )
+
+    return let(_prose(texts), lambda prose: let(F.lower(prose), lambda lower: said(prose, lower)))
 
 
 _PLACES = "|".join(p.replace(" ", r"\s+") for p in X.NON_LONDON_PLACES)

@@ -14,6 +14,14 @@ HORIZON_DAYS = 45
 CARRY_DAYS = 7
 PAGE_ROWS = 250
 
+# What the gate asks of a published record
+GATE_ID = r"^[0-9a-f]{12}\z"
+GATE_TITLE_MIN = 3
+GATE_MARKUP = r"(?i)<[a-z/]"
+GATE_URL = r"^https?://"
+GATE_TIME = r"^([01][0-9]|2[0-3]):[0-5][0-9]\z"
+GATE_DESCRIPTION_MAX = 500
+
 # Words of a title that say nothing about which event it is
 STOPWORDS = "a an the and or of in on at to for with from by is are be as its it this that into about how why what who when live talk talks lecture lectures event events online in-person evening afternoon morning conversation book launch presents special annual public free new".split()
 

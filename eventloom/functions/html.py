@@ -71,32 +71,46 @@ def html_lines(html: pd.Series) -> pd.Series:
 
 
 class _Nodes(HTMLParser):
+    """Rows of node, parent, depth, tag, attributes and own texts, in document order."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows, self.open = [], []
+        # the open elements, and where each tag stands among them
+        self.rows, self.open, self.where = [], [], {}
 
     def handle_starttag(self, tag, attrs):
-        row = [len(self.rows), self.open[-1][0] if self.open else None, len(self.open), tag, {k: v or "" for k, v in attrs}, ""]
+        row = (len(self.rows), self.open[-1][0] if self.open else None, len(self.open), tag, {k: v or "" for k, v in attrs}, [])
         self.rows.append(row)
         if tag not in VOID:
+            self.where.setdefault(tag, []).append(len(self.open))
             self.open.append(row)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][3] == tag:
-                del self.open[i:]
-                break
+        if self.where.get(tag):
+            at = self.where[tag][-1]
+            for row in self.open[at:]:
+                self.where[row[3]].pop()
+            del self.open[at:]
 
     def handle_data(self, data):
         if self.open:
-            self.open[-1][5] += data
+            self.open[-1][5].append(data)
+
+    def last(self) -> list[int]:
+        """The last node inside of each, itself if there is none."""
+        out = [row[0] for row in self.rows]
+        for row in reversed(self.rows):
+            if row[1] is not None:
+                out[row[1]] = max(out[row[1]], out[row[0]])
+        return out
 
 
-NODE = "node_id int, parent_id int, depth int, tag string, attrs map<string,string>, own_text string"
+NODE = "node_id int, parent_id int, depth int, tag string, attrs map<string,string>, own_text string, last_id int"
 
 
 def html_nodes(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """A row for each element of each page: selectors become filters and joins on it."""
+    """A row for each element of each page: selectors become filters and joins on it. A node's subtree is the interval
+    of ids from its own to last_id."""
 
     @F.pandas_udf(f"array<struct<{', '.join(f.strip().replace(' ', ': ', 1) for f in re.split(r', (?=[a-z_]+ )', NODE))}>>")
     def nodes(column: pd.Series) -> pd.Series:
@@ -104,7 +118,7 @@ def html_nodes(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
             reader = _Nodes()
             reader.feed(page or "")
             reader.close()
-            return [{"node_id": a, "parent_id": b, "depth": c, "tag": d, "attrs": e, "own_text": _tidy(f)} for a, b, c, d, e, f in reader.rows]
+            return [{"node_id": a, "parent_id": b, "depth": c, "tag": d, "attrs": e, "own_text": _tidy("".join(f)), "last_id": z} for (a, b, c, d, e, f), z in zip(reader.rows, reader.last(), strict=True)]
 
         return column.map(one)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -60,10 +61,61 @@ def _unaccented(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not 0x300 <= ord(c) <= 0x36F)
 
 
-@F.pandas_udf(T.StringType())
-def fold(text: pd.Series) -> pd.Series:
-    """Lower case without combining accents; no built-in function decomposes characters."""
-    return text.map(lambda s: None if s is None else _unaccented(s))
+_HANGUL, _HANGUL_LAST = 0xAC00, 0xD7A3
+
+
+@cache
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Characters with one character in place of them, those characters (none at the end for marks that go), and
+    characters with several, as unicodedata has them; Hangul syllables follow a rule of their own."""
+    one, gone, several = {}, [], {}
+    for point in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
+        c = chr(point)
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
+        if bare == c or _HANGUL <= point <= _HANGUL_LAST:
+            continue
+        if len(bare) == 1:
+            one[c] = bare
+        elif bare:
+            several[c] = bare
+        else:
+            gone.append(c)
+    return "".join([*one, *gone]), "".join(one.values()), several
+
+
+def _several_class() -> str:
+    """A pattern of the characters that become several."""
+    points, ranges = sorted([*map(ord, _decompositions()[2]), *range(_HANGUL, _HANGUL_LAST + 1)]), []
+    for p in points:
+        if ranges and ranges[-1][1] == p - 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+def _syllable(c: Column) -> Column:
+    """A Hangul syllable's two or three letters, by arithmetic."""
+    s = F.ascii(c) - _HANGUL
+    hexed = lambda n: F.lpad(F.hex(n), 4, "0")
+    letters = F.concat(hexed(F.lit(0x1100) + F.floor(s / 588)), hexed(F.lit(0x1161) + F.floor(s % 588 / 28)), F.when(s % 28 > 0, hexed(F.lit(0x11A7) + s % 28)).otherwise(""))
+    return F.decode(F.unhex(letters), "UTF-16BE")
+
+
+def fold(text: Column) -> Column:
+    """Lower case, decomposed for compatibility, without combining accents (U+0300 to U+036F).
+
+    One pass replaces the characters that become one other or none; the few that become several are replaced one
+    distinct character after the other, in texts that have any. Marks beyond U+036F keep the order they stand in."""
+    those, by, several = _decompositions()
+    known = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    letters = lambda c: F.when(c.between(chr(_HANGUL), chr(_HANGUL_LAST)), _syllable(c)).otherwise(F.element_at(known, c))
+
+    def spelt(bare: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(bare, F.lit(_several_class()), F.lit(0)))
+        return F.when(F.size(found) > 0, F.aggregate(found, bare, lambda out, c: F.replace(out, c, letters(c)))).otherwise(bare)
+
+    return let(F.translate(F.lower(text), those, by), spelt)
 
 
 def title_tokens(folded: Column) -> Column:

@@ -1,27 +1,39 @@
 """Duplicate listings: the same page on the same day, then the same event under different pages.
 
-Pass 1 folds records of one (normalized URL, date) in arrival order. Pass 2 finds candidate pairs by a join on date
-and a shared title word, and merges greedily, in arrival order, inside each connected group of candidates. Merging
-only fills gaps, and a gap is compatible with everything, so records of different groups can never merge.
+Records have a unique `seq`, the order in which they came.
+
+Pass 1 folds records of one (normalized URL, date) in that order, in the JVM. Only few records of a key can change the
+one that is kept: those richer than all before them, and the first to fill a gap. These are found in stretches of
+arrival, so that a key of very many copies is many tasks' work, and only they are folded; the others add where the
+event is listed, too.
+
+Pass 2 finds candidate pairs by a join on date and a title's rare words, and merges greedily, in order of arrival,
+inside each connected group of candidates. Merging only fills gaps, and a gap is compatible with everything, so records
+of different groups can never merge. A group of more than `BLOCK` records is merged in rounds: its earliest records,
+with the candidates that they meet, then the next ones; that is the order of one long run. What travels there are keys,
+short fields and lengths; titles and descriptions are joined to what is left.
 
 Merging may fill in a time; `start` is then recomputed from it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
 from .graph import components, cut_lineage
 
 _FILL = ("time", "location", "description", "free", "online", "price")
+#: Arrivals in a stretch of pass 1; records of a group that a task of pass 2 merges at once.
+STRETCH, BLOCK = 1 << 20, 50_000
 
 
-def richness(prefix: str = "") -> Column:
-    """How much a record tells."""
-    c = lambda name: F.col(prefix + name)
+def _richness(c: Callable[[str], Column]) -> Column:
     return (
         F.when(F.coalesce(c("time"), F.lit("")) != "", 4).otherwise(0)
         + F.when(F.coalesce(c("location"), F.lit("Online")).isin("", "Online"), 0).otherwise(2)
@@ -32,52 +44,62 @@ def richness(prefix: str = "") -> Column:
     )
 
 
-def _rich(e: dict) -> float:
-    return (4 if e["time"] else 0) + (2 if e["location"] and e["location"] != "Online" else 0) + min(len(e["description"] or "") / 80, 4) + min(len(e["speakers"]), 3) + (e["free"] is not None) + (e["online"] is not None) + bool(e["price"])
-
-
-def _fill(keep: dict, other: dict) -> None:
-    for name in _FILL:
-        if keep[name] is None:
-            keep[name] = other[name]
-    if not keep["speakers"]:
-        keep["speakers"] = other["speakers"]
-
-
-def _also(keep: dict, drop: dict) -> None:
-    if drop["source"] != keep["source"]:
-        keep["also_at"] = [*keep["also_at"], {"source": drop["source"], "url": drop["url"]}]
-
-
-def _records(pdf: pd.DataFrame) -> list[dict]:
-    rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-    for r in rows:
-        r["speakers"], r["also_at"] = list(r["speakers"] if r["speakers"] is not None else []), [dict(x) for x in (r["also_at"] if r["also_at"] is not None else [])]
-    return sorted(rows, key=lambda r: r["seq"])
-
-
-def _fold_key(pdf: pd.DataFrame) -> pd.DataFrame:
-    keep, *rest = _records(pdf)
-    for e in rest:
-        drop, also = e, keep["also_at"]
-        if _rich(e) > _rich(keep):  # a richer newcomer doesn't take over what was merged as "also at"
-            keep, drop, also = e, keep, []
-            keep["seq"] = drop["seq"]
-        _fill(keep, drop)
-        if drop["time"] and keep["time"] and drop["time"] < keep["time"]:
-            keep["time"] = drop["time"]
-        keep["also_at"] = also
-        _also(keep, drop)
-    return pd.DataFrame([keep])[list(pdf.columns)]
-
-
-def exact_duplicates(events: DataFrame) -> DataFrame:
+def richness(prefix: str = "") -> Column:
+    """How much a record tells."""
+    return _richness(lambda name: F.col(prefix + name))
+
+
+def _turning(records: DataFrame, keys: list[str], stretch: int) -> DataFrame:
+    """The records of each key that may change the kept one: richer than all before them in their stretch of arrival, or
+    the first there with a value where others have none."""
+    before = W.partitionBy(*keys, "stretch").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    rich = richness()
+    told = {f: F.col(f).isNotNull() for f in _FILL} | {"speakers": F.size("speakers") > 0}
+    first = F.lit(False)
+    for there in told.values():
+        first = first | there & (F.coalesce(F.count_if(there).over(before), F.lit(0)) == 0)
+    matters = (rich > F.coalesce(F.max(rich).over(before), F.lit(-1.0))) | first
+    return records.withColumn("stretch", F.floor(F.col("seq") / stretch)).withColumn("matters", matters).filter("matters").drop("stretch", "matters")
+
+
+def _folded(turning: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, s): the kept record of each key after its turning records in order, `since` when it is the kept one, and
+    where else it was listed until then."""
+    columns = [c for c in turning.columns if c not in keys]
+    in_order = F.array_sort(F.collect_list(F.struct(*columns)), lambda x, y: F.when(x["seq"] < y["seq"], -1).when(x["seq"] > y["seq"], 1).otherwise(0))
+    entry = lambda r: F.struct(r["source"].alias("source"), r["url"].alias("url"))
+
+    def merged(keep: Column, drop: Column) -> Column:
+        made = {f: F.coalesce(keep[f], drop[f]) for f in _FILL} | {"speakers": F.when(F.size(keep["speakers"]) > 0, keep["speakers"]).otherwise(drop["speakers"])}
+        return F.struct(*(made.get(c, keep[c]).alias(c) for c in columns))
+
+    def step(s: Column, e: Column) -> Column:
+        old = s["keep"]
+        # a richer newcomer doesn't take over what was merged as "also at"
+        also = F.when(e["source"].eqNullSafe(old["source"]), F.filter(s["also"], lambda x: F.lit(False))).otherwise(F.array(entry(old)))
+        richer = _richness(lambda f: e[f]) > _richness(lambda f: old[f])
+        return F.when(richer, F.struct(merged(e, old).alias("keep"), also.alias("also"), e["seq"].alias("since"))).otherwise(F.struct(merged(old, e).alias("keep"), s["also"].alias("also"), s["since"].alias("since")))
+
+    listed = turning.groupBy(*keys).agg(in_order.alias("x"))
+    begin = F.struct(F.get("x", F.lit(0)).alias("keep"), F.coalesce(F.get("x", F.lit(0))["also_at"], F.array().cast("array<struct<source:string,url:string>>")).alias("also"), F.get("x", F.lit(0))["seq"].alias("since"))
+    folded = F.aggregate(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0))), begin, step)
+    return listed.select(*keys, F.get("x", F.lit(0))["seq"].alias("first_seq"), folded.alias("s"))
+
+
+def exact_duplicates(events: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """One record for each (normalized URL, date). Records alone under their key, most of them, skip the fold."""
+    keys = ["link_key", "date"]
     keyed = events.withColumn("link_key", urls.normalize_url(F.col("url")))
-    many = keyed.groupBy("link_key", "date").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    alone = keyed.join(many, ["link_key", "date"], "left_anti").select(*events.columns)
-    several = keyed.join(many, ["link_key", "date"], "left_semi")
-    folded = several.groupBy("link_key", "date").applyInPandas(lambda pdf: _fold_key(pdf), several.schema).select(*events.columns)
+    many = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    alone = keyed.join(many, keys, "left_anti").select(*events.columns)
+    several = keyed.join(many, keys, "left_semi")
+    kept = cut_lineage(_folded(_turning(several, keys, stretch), keys))
+    # every record after the last change is listed elsewhere, if its source is another; the earliest time stays
+    after = several.select(*keys, "seq", "source", "url", "time").join(kept.select(*keys, F.col("s.since").alias("since"), F.col("s.keep.source").alias("keep_source")), keys)
+    elsewhere = F.when((F.col("seq") > F.col("since")) & ~F.col("source").eqNullSafe(F.col("keep_source")), F.struct("seq", F.struct("source", "url").alias("at")))
+    after = after.groupBy(*keys).agg(F.min("time").alias("earliest"), F.transform(F.array_sort(F.collect_list(elsewhere)), lambda x: x["at"]).alias("later"))
+    made = {"seq": F.col("first_seq"), "time": F.col("earliest"), "date": F.col("date"), "also_at": F.concat("s.also", "later")}
+    folded = kept.join(after, keys).select(*(made.get(c, F.col(f"s.keep.{c}") if c not in keys else F.col(c)).alias(c) for c in events.columns))
     return _restart(alone.unionByName(folded))
 
 
@@ -94,17 +116,19 @@ def sharing_words(records: DataFrame, *block: str) -> DataFrame:
 
     At a similarity of 0.8 the sets have at least 8/9 of the smaller one's words in common, so one of its rarest
     words, the first n - ceil(8 n / 9) + 1 of n, is in the other: only these are looked up, among all words of the
-    sets that are as large or larger. A pair is found once, under the first such word."""
-    every = records.select(*block, F.struct(*(c for c in records.columns if c not in block)).alias("r"), F.explode("tokens").alias("token"))
+    sets that are as large or larger. Words travel alone; records are joined to the pairs that were found."""
+    every = records.select(*block, "seq", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     often = every.groupBy(*block, "token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
-    ranked = every.join(often, [*block, "token"]).groupBy(*block, F.col("r.seq").alias("seq")).agg(F.first("r").alias("a"), F.array_sort(F.collect_list(F.struct("f", "token"))).alias("w"))
+    shared = every.join(often, [*block, "token"])
     # words that only one record has come first in the order and lead nowhere
-    n = F.size("a.tokens")
-    few = F.greatest(n - F.ceil(n * 8 / 9) + 1 - (n - F.size("w")), F.lit(0)).cast("int")
-    rare = ranked.withColumn("rare", F.transform(F.slice("w", F.lit(1), few), lambda x: x["token"])).select(*block, "a", "rare", F.explode("rare").alias("token"))
-    pairs = rare.join(every.withColumnRenamed("r", "b"), [*block, "token"])
-    larger = (F.size("b.tokens") > n) | ((F.size("b.tokens") == n) & (F.col("a.seq") < F.col("b.seq")))
-    return pairs.filter(larger & (F.col("token") == F.get(F.filter("rare", lambda t: F.array_contains("b.tokens", t)), F.lit(0)))).select(*block, "a", "b")
+    ranked = shared.groupBy(*block, "seq", "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("w"))
+    few = F.greatest(F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1 - (F.col("n") - F.size("w")), F.lit(0)).cast("int")
+    rare = ranked.select(*block, F.col("seq").alias("a"), F.col("n").alias("na"), F.explode(F.slice("w", F.lit(1), few)["token"]).alias("token"))
+    pairs = rare.join(shared.select(*block, "token", F.col("seq").alias("b"), "n"), [*block, "token"])
+    pairs = pairs.filter((F.col("n") > F.col("na")) | (F.col("n") == F.col("na")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    own = F.struct(*(c for c in records.columns if c not in block))
+    left, right = records.select(*block, F.col("seq").alias("a"), own.alias("x")), records.select(F.col("seq").alias("b"), own.alias("y"))
+    return pairs.join(left, "a").join(right, "b").select(*block, F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def candidate_pairs(events: DataFrame) -> DataFrame:
@@ -130,47 +154,104 @@ def _same(a: dict, b: dict) -> bool:
     return True if not (a["places"] and b["places"]) else bool(a["places"] & b["places"])
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+def _places(location: str | None) -> set[str]:
     import re
 
     from ..functions.fixed import GENERIC_PLACE
 
-    def places(location):
-        return {w for w in re.sub("[^a-z0-9]+", " ", (location or "").lower()).split() if len(w) > 2 and w not in GENERIC_PLACE and not w[0].isdigit()}
+    return {w for w in re.sub("[^a-z0-9]+", " ", (location or "").lower()).split() if len(w) > 2 and w not in GENERIC_PLACE and not w[0].isdigit()}
+
+
+def _rich(e: dict) -> float:
+    return (4 if e["time"] else 0) + (2 if e["location"] and e["location"] != "Online" else 0) + min((e["described"] or 0) / 80, 4) + min(len(e["speakers"]), 3) + (e["free"] is not None) + (e["online"] is not None) + bool(e["price"])
+
+
+def _absorb(keep: dict, drop: dict) -> None:
+    for name in ("time", "location", "free", "online", "price"):
+        if keep[name] is None:
+            keep[name] = drop[name]
+    if keep["described"] is None:
+        keep["described"], keep["described_by"] = drop["described"], drop["described_by"]
+    if not keep["speakers"]:
+        keep["speakers"] = drop["speakers"]
+    keep["places"] = _places(keep["location"])
+    if drop["source"] != keep["source"]:
+        keep["also_at"] = [*keep["also_at"], {"source": drop["source"], "url": drop["url"]}]
+    keep["also_at"] = [*keep["also_at"], *drop["also_at"]]
 
-    rows = _records(pdf)
-    at: dict[int, list[int]] = {}
-    for i, r in enumerate(rows):
-        r["places"] = places(r["location"])
-        at.setdefault(r["seq"], []).append(i)
+
+def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The records of a group after the ones whose turn it is have met their candidates, in order of arrival."""
+    rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+    for r in rows:
+        r["speakers"], r["also_at"] = list(r["speakers"] if r["speakers"] is not None else []), [dict(x) for x in (r["also_at"] if r["also_at"] is not None else [])]
+        r["places"] = _places(r["location"])
+    rows.sort(key=lambda r: r["seq"])
+    at = {r["seq"]: i for i, r in enumerate(rows)}
     gone: set[int] = set()
     for i, a in enumerate(rows):
-        if i in gone:
+        if i in gone or not a["turn"]:
             continue
-        for j in sorted(j for o in set(map(int, a["others"])) for j in at.get(o, ())):  # candidates come later in order
+        for j in sorted(at[o] for o in set(map(int, a["others"])) if o in at):  # candidates come later in order
             b = rows[j]
             if j in gone or not _same(a, b):
                 continue
             keep, drop, lost = (b, a, i) if _rich(b) > _rich(a) else (a, b, j)
-            _fill(keep, drop)
-            keep["places"] = places(keep["location"])
-            _also(keep, drop)
-            keep["also_at"] = [*keep["also_at"], *drop["also_at"]]
+            _absorb(keep, drop)
             gone.add(lost)
             if lost == i:
                 break
-    return pd.DataFrame([r for i, r in enumerate(rows) if i not in gone])[list(pdf.columns)]
-
-
-def fuzzy_duplicates(events: DataFrame) -> DataFrame:
+    return pd.DataFrame([r for i, r in enumerate(rows) if i not in gone], columns=list(pdf.columns))
+
+
+_LIGHT = ("seq", "source", "url", "time", "location", "speakers", "free", "online", "price", "also_at")
+
+
+def _merged(light: DataFrame, block: int) -> DataFrame:
+    """What is left of light records(.., group_label, others) after all merges."""
+    todo, done = cut_lineage(light), []
+    merge = lambda rows: rows.groupBy("group_label").applyInPandas(lambda pdf: _greedy(pdf), rows.schema)
+    while True:
+        large = todo.groupBy("group_label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+        if large.isEmpty():
+            break
+        # the earliest records of each large group, about a block of them, and the candidates that they meet
+        until = _until(todo, large, block)
+        first = todo.join(until, "group_label", "left").withColumn("turn", F.coalesce(F.col("seq") <= F.col("until"), F.lit(False))).drop("until")
+        met = first.filter("turn").select(F.explode("others").alias("seq")).distinct()
+        near = first.filter("NOT turn").join(met, "seq", "left_semi")
+        far = first.filter("NOT turn").join(met, "seq", "left_anti")
+        after = cut_lineage(merge(first.filter("turn").unionByName(near)))
+        done.append(after.filter("turn"))
+        todo = cut_lineage(far.unionByName(after.filter("NOT turn")).select(*todo.columns))
+    out = merge(todo.withColumn("turn", F.lit(True)))
+    for part in done:
+        out = out.unionByName(part.select(*out.columns))
+    return out
+
+
+def _until(todo: DataFrame, large: DataFrame, block: int) -> DataFrame:
+    """(group_label, until): about the block-th seq of each large group, its least one at least."""
+    parts = todo.join(large, "group_label")
+    share = F.floor(F.lit(1000) * F.lit(block) / F.col("n")).cast("int")  # in thousandths
+    cuts = parts.groupBy("group_label").agg(F.max(share).alias("share"), F.percentile_approx("seq", [i / 1000 for i in range(1000)], 10_000).alias("cuts"), F.min("seq").alias("least"))
+    return cuts.select("group_label", F.greatest(F.get("cuts", F.col("share")), F.col("least")).alias("until"))
+
+
+def fuzzy_duplicates(events: DataFrame, block: int = BLOCK) -> DataFrame:
     """One record for each group of listings of one event. Only records with a candidate leave the JVM."""
     pairs = cut_lineage(candidate_pairs(events).select("a", "b"))
     groups = components(pairs, "a", "b").select(F.col("v").alias("seq"), F.col("label").alias("group_label"))
     others = pairs.groupBy(F.col("a").alias("seq")).agg(F.collect_list("b").alias("others"))
-    linked = events.join(groups, "seq").join(others, "seq", "left").withColumn("others", F.coalesce("others", F.array().cast("array<long>")))
-    merged = linked.groupBy("group_label").applyInPandas(lambda pdf: _greedy(pdf), linked.schema)
+    light = events.select(*_LIGHT, F.length("description").alias("described"), F.col("seq").alias("described_by"))
+    light = light.join(groups, "seq").join(others, "seq", "left").withColumn("others", F.coalesce("others", F.array().cast("array<long>"))).withColumn("turn", F.lit(True))
+    left = _merged(light, block).select(*(F.col(c).alias(f"m_{c}") for c in (*_LIGHT, "described_by")))
+    said = events.select(F.col("seq").alias("m_described_by"), F.col("description").alias("m_description"))
+    whole = events.join(left, F.col("seq") == F.col("m_seq")).join(said, "m_described_by", "left")
+    own = {c for c in (*_LIGHT, "description")} - {"seq"}
+    merged = whole.select(*(F.col(f"m_{c}" if c in own else c).alias(c) for c in events.columns))
     alone = events.join(groups.select("seq"), "seq", "left_anti")
-    return _restart(alone.unionByName(merged.select(*alone.columns)))
+    return _restart(alone.unionByName(merged))
 
 
 def dedupe(events: DataFrame) -> DataFrame:
@@ -185,5 +266,18 @@ def dedupe_counts(events: DataFrame) -> DataFrame:
     return c.select((F.col("a") - F.col("b")).alias("exact_duplicates"), (F.col("b") - F.col("c")).alias("cross_source_duplicates"), (F.col("a") - F.col("c")).alias("duplicates_removed"))
 
 
+def title_key(title: Column) -> Column:
+    """What titles are matched by: their ASCII letters and digits in lower case, one space between."""
+    return F.trim(F.regexp_replace(F.lower(text.clean(title)), "[^a-z0-9]+", " "))
+
+
+def with_last_by_title(cards: DataFrame, details: DataFrame, order: Column) -> DataFrame:
+    """cards(title, ...) with the columns of the last of details(title, ...) that reads alike, in the order given, which
+    must tell all details apart; null where there is none."""
+    own = [c for c in details.columns if c != "title"]
+    last = details.groupBy(title_key(F.col("title")).alias("title_key")).agg(F.max_by(F.struct(*own), order).alias("last"))
+    return cards.withColumn("title_key", title_key(F.col("title"))).join(last, "title_key", "left").select(*cards.columns, "last.*")
+
+
 def listing_order(events: DataFrame) -> DataFrame:
     return events.orderBy("start", F.expr("title COLLATE UNICODE"))

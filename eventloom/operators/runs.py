@@ -55,11 +55,27 @@ def sparkline(runs: DataFrame) -> DataFrame:
     return runs.select("source", "date", height.alias("height"))
 
 
-def carry_forward(now: DataFrame, before: DataFrame, failed: DataFrame, listable: Column) -> DataFrame:
-    """This run's rows of the sources that worked, and the listable rows of the last good run of those that failed."""
-    fresh = now.join(failed, "source", "left_anti").withColumn("carried", F.lit(False))
-    kept = before.filter(listable).join(failed, "source", "left_semi").withColumn("carried", F.lit(True))
-    return fresh.unionByName(kept)
+def last_good(failed: DataFrame, snapshots: DataFrame, days: int = X.CARRY_DAYS) -> DataFrame:
+    """(source, at, scraped_at): for each run of failed(source, at), the newest of snapshots(source, scraped_at) not
+    after it and at most `days` London days old; runs without one are left out.
+
+    An as-of join by equality: a run looks at each day that counts, so it meets few snapshots however many its source
+    has, and one source's runs spread over days."""
+    today, day = dates.london_date(F.col("at")), dates.london_date(F.col("scraped_at"))
+    looked = failed.select("source", "at", F.explode(F.sequence(F.date_sub(today, days), today)).alias("day")).distinct()
+    there = snapshots.select("source", "scraped_at", day.alias("day")).distinct()
+    return looked.join(there, ["source", "day"]).filter("scraped_at <= at").groupBy("source", "at").agg(F.max("scraped_at").alias("scraped_at"))
+
+
+def carry_forward(now: DataFrame, failed: DataFrame, snapshots: DataFrame, listable: Column, days: int = X.CARRY_DAYS) -> DataFrame:
+    """now(source, at, ...) of runs that worked, and in place of failed(source, at) what their last good
+    snapshots(source, scraped_at, ...) still list; listable may use `at`. Where records were also seen is not known any
+    more: their also_at is empty."""
+    stand_in = snapshots.join(last_good(failed, snapshots, days), ["source", "scraped_at"]).filter(listable).drop("scraped_at")
+    if "also_at" in stand_in.columns:
+        stand_in = stand_in.withColumn("also_at", F.array().cast(stand_in.schema["also_at"].dataType))
+    fresh = now.join(failed.select("source", "at"), ["source", "at"], "left_anti")
+    return fresh.withColumn("carried", F.lit(False)).unionByName(stand_in.withColumn("carried", F.lit(True)))
 
 
 def keep_snapshot(previous: DataFrame, current: DataFrame, status: DataFrame) -> DataFrame:

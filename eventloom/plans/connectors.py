@@ -10,7 +10,7 @@ from ..functions import text
 from ..functions.html import app_state, html_nodes, json_ld
 from ..sources import catalogue, readers
 from .golden import golden, values
-from .registry import register
+from .registry import register, state
 
 golden("wall_cases", [
     ("200|<title>Just a moment...</title>", "Cloudflare bot protection"), ("200|x sgcaptcha", "SiteGround captcha"), ("200|Vercel Security Checkpoint", "Vercel security checkpoint"), ("200|_Incapsula_Resource", "Imperva/Incapsula"),
@@ -53,7 +53,7 @@ _TICKETING = [
 ]
 
 
-@register("ticketing_connector", values([
+@state("ticketing_connector", values([
     ("On Maps", "https://t.org/e/1", "2026-10-01", "18:30", "Hall, 1 Road, London", "£5.00 – £7.50", "false", None, "About maps"), ("On Maps", "https://t.org/e/3", "2026-10-01", "18:30", "Online", "Free", "true", "true", "About maps"),
     ("On Maps", "https://t.org/e/4", "2026-10-01", "18:30", "Hall, 1 Road, London", "Free – £9.00", "false", None, None),
 ], ", ".join(_SHOWN)))
@@ -64,7 +64,7 @@ def ticketing_connector(spark, sf_dir):
 _FEED = json.dumps({"venues": [{"name": "The Bell", "upcoming_events": [{"title": "One", "start_at": 1790877600, "event_url": "https://e.org/1", "status": "published"}, {"title": "Two", "start_at": 1790877600, "event_url": "https://e.org/2", "status": "draft"}]}, {"name": "The Fox", "upcoming_events": [{"title": "Three", "start_at": 1790964000, "event_url": "https://e.org/3", "status": "published"}]}]})
 
 
-@register("json_feed_connector", values([("One", "https://e.org/1", "2026-10-01 18:00"), ("Three", "https://e.org/3", "2026-10-02 18:00")], "title, url, start"))
+@state("json_feed_connector", values([("One", "https://e.org/1", "2026-10-01 18:00"), ("Three", "https://e.org/3", "2026-10-02 18:00")], "title, url, start"))
 def json_feed_connector(spark, sf_dir):
     got = readers.json_feed(_responses(spark, [_FEED, "{broken"]), "pubs", "$.venues[*].upcoming_events[*]", {"title": "$.title", "url": "$.event_url", "start_instant": "epoch:$.start_at"}, where="try_variant_get(v, '$.status', 'string') = 'published'")
     return got.select("title", "url", F.date_format("start_instant", "yyyy-MM-dd HH:mm").alias("start"))
@@ -74,14 +74,14 @@ _NODE = {"@graph": [{"@type": "EducationEvent", "name": "A Talk", "startDate": "
 _LD = f'<script type="application/ld+json">{json.dumps(_NODE)}</script><script type="application/ld+json">oops</script><script type="application/ld+json">{json.dumps([{"@type": ["Thing", "Event"], "name": "B", "url": "https://e.org/b", "startDate": "2026-11-10T19:00:00", "eventAttendanceMode": "https://schema.org/OnlineEventAttendanceMode"}])}</script>'
 
 
-@register("json_ld_connector", values([("A Talk", "https://e.org/0", "2026-10-01 17:30", None, "Hall, 1 Road, WC1E 7HU", "Free – £12.00", None), ("B", "https://e.org/b", None, "2026-11-10 19:00", None, None, "true")], "title, url, instant, wall, location, price_text, online"))
+@state("json_ld_connector", values([("A Talk", "https://e.org/0", "2026-10-01 17:30", None, "Hall, 1 Road, WC1E 7HU", "Free – £12.00", None), ("B", "https://e.org/b", None, "2026-11-10 19:00", None, None, "true")], "title, url, instant, wall, location, price_text, online"))
 def json_ld_connector(spark, sf_dir):
     got = readers.json_ld_events(_responses(spark, [_LD]), "s")
     wall = F.when(F.col("start_date").isNotNull(), F.concat_ws(" ", "start_date", "start_time"))
     return got.select("title", "url", F.date_format("start_instant", "yyyy-MM-dd HH:mm").alias("instant"), wall.alias("wall"), "location", "price_text", F.col("online").cast("string").alias("online"))
 
 
-@register("json_ld_nodes", values([("EducationEvent",), ("Organization",), ("Event",)], "kind"))
+@state("json_ld_nodes", values([("EducationEvent",), ("Organization",), ("Event",)], "kind"))
 def json_ld_nodes(spark, sf_dir):
     kind = F.coalesce(F.try_variant_get("node", "$.@type[1]", "string"), F.try_variant_get("node", "$.@type", "string"))
     return json_ld(_responses(spark, [_LD]), "url", "body").select(kind.alias("kind"))
@@ -90,7 +90,7 @@ def json_ld_nodes(spark, sf_dir):
 _RSS = "<rss><item><title><![CDATA[A & B]]></title><link>https://e.org/1</link><pubDate>x</pubDate></item><item><title>C</title><link>https://e.org/2</link></item></rss>"
 
 
-@register("rss_connector", values([(0, "A & B", "https://e.org/1"), (1, "C", "https://e.org/2")], "nth, title, link"))
+@state("rss_connector", values([(0, "A & B", "https://e.org/1"), (1, "C", "https://e.org/2")], "nth, title, link"))
 def rss_connector(spark, sf_dir):
     return readers.rss_items(_responses(spark, [_RSS])).select("nth", "title", "link")
 
@@ -98,38 +98,38 @@ def rss_connector(spark, sf_dir):
 _LABELLED = ["<h1>On Maps</h1><p>Date: Thursday 1 October 2026</p><p>Time: Doors 7pm, talk 7.30pm</p><p>Venue:</p><p>The Bell</p>", "<p>Date: 1 October 2026</p><p>2 October 2026</p><p>3 October 2026</p>"]
 
 
-@register("labelled_pages_connector", values([("On Maps", "2026-10-01", "19:30", "The Bell")], "title, start_date, start_time, location"))
+@state("labelled_pages_connector", values([("On Maps", "2026-10-01", "19:30", "The Bell")], "title, start_date, start_time, location"))
 def labelled_pages_connector(spark, sf_dir):
     got = readers.labelled_pages(_responses(spark, _LABELLED), "s", {"date": "date", "time": "time", "venue": "venue"}, F.lit("2026-09-25").cast("date"))
     return got.select("title", "start_date", "start_time", "location")
 
 
-@register("enrich_left_lookup", values([("a", "Hall"), ("b", "kept"), ("c", None)], "url, location"))
+@state("enrich_left_lookup", values([("a", "Hall"), ("b", "kept"), ("c", None)], "url, location"))
 def enrich_left_lookup(spark, sf_dir):
     listing = spark.createDataFrame([("a", None), ("b", "kept"), ("c", None)], "url string, location string")
     return readers.enrich(listing, spark.createDataFrame([("a", "Hall"), ("b", "x")], "url string, location string"), ("location",))
 
 
-@register("transport_fallback", values([("1", "page"), ("2", "second"), ("3", "third"), ("4", "only")], "k, body"))
+@state("transport_fallback", values([("1", "page"), ("2", "second"), ("3", "third"), ("4", "only")], "k, body"))
 def transport_fallback(spark, sf_dir):
     one = spark.createDataFrame([("1", 200, "page"), ("2", 403, "no"), ("3", 200, "Just a moment...")], "k string, status int, body string")
     return readers.fallback(one, spark.createDataFrame([("2", "second"), ("3", "third"), ("4", "only")], "k string, body string"), "k")
 
 
-@register("pagination_guard", values([("a", 0, None, None), ("a", 1, None, None), ("a", 2, "stopped paginating at page 2: HTTP 500", "false"), ("b", 0, "HTTP 404", "true"), ("c", 0, None, None)], "source, page, error, fatal"))
+@state("pagination_guard", values([("a", 0, None, None), ("a", 1, None, None), ("a", 2, "stopped paginating at page 2: HTTP 500", "false"), ("b", 0, "HTTP 404", "true"), ("c", 0, None, None)], "source, page, error, fatal"))
 def pagination_guard(spark, sf_dir):
     pages = spark.createDataFrame([("a", 0, None), ("a", 1, None), ("a", 2, "HTTP 500\nmore"), ("a", 3, None), ("b", 0, "HTTP 404"), ("b", 1, None), ("c", 0, None)], "source string, page int, error string")
     read, stopped = readers.later_pages(pages)
     return read.select("source", "page", F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("fatal")).unionByName(stopped.withColumn("fatal", F.col("fatal").cast("string")))
 
 
-@register("skip_on_error", values([("a", None), ("b", "boom")], "item, error"))
+@state("skip_on_error", values([("a", None), ("b", "boom")], "item, error"))
 def skip_on_error(spark, sf_dir):
     good, bad = readers.settled(spark.createDataFrame([("a", None), ("b", "boom\nat line 3")], "item string, error string"))
     return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
 
 
-@register("parse_error_rows", values([(0, None), (1, "invalid JSON at https://e.org/1"), (2, "Cloudflare bot protection at https://e.org/2")], "page, error"))
+@state("parse_error_rows", values([(0, None), (1, "invalid JSON at https://e.org/1"), (2, "Cloudflare bot protection at https://e.org/2")], "page, error"))
 def parse_error_rows(spark, sf_dir):
     return readers.parsed(_responses(spark, ["{}", "{broken", "Just a moment..."])).select("page", "error")
 
@@ -179,7 +179,7 @@ _PAGES = {
 }
 
 
-@register("source_connectors", values([
+@state("source_connectors", values([
     ("barbican", "On Maps", "https://www.barbican.org.uk/whats-on/2026/maps", None, None, "2026-10-01 17:30", None, None, None), ("barbican", "On Maps", "https://www.barbican.org.uk/whats-on/2026/maps", None, None, "2026-10-02 17:30", None, None, None),
     ("birkbeck", "On Bees", "https://www.bbk.ac.uk/events/1", "2026-10-05", "18:00", None, "Keynes Library.", None, None), ("birkbeck", "On Ants", "https://www.bbk.ac.uk/events/2", "2026-10-06", "19:30", None, "Online", None, "true"),
     ("imperial", "On Rain", "https://www.imperial.ac.uk/events/7/x/", None, None, "2026-10-07 16:00", "Online", None, None), ("ras", "On Stars", "https://ras.ac.uk/e/1", "2026-10-09", "18:30", None, None, None, None),
@@ -206,14 +206,14 @@ def source_connectors(spark, sf_dir):
     return every.select("source", "title", "url", "start_date", "start_time", F.date_format("start_instant", "yyyy-MM-dd HH:mm").alias("instant"), "location", "price_text", flag.alias("online"))
 
 
-@register("source_catalogue", "SELECT 32 AS sources, 32 AS ids, 4 AS ticketing, 9 AS json, 17 AS cards, 2 AS labelled")
+@state("source_catalogue", "SELECT 32 AS sources, 32 AS ids, 4 AS ticketing, 9 AS json, 17 AS cards, 2 AS labelled")
 def source_catalogue(spark, sf_dir):
     kinds = spark.createDataFrame([(s[0], s[6]) for s in catalogue.SOURCES], "id string, format string")
     n = lambda k: F.count_if(F.col("format") == k).cast("int").alias(k)
     return kinds.agg(F.count(F.lit(1)).cast("int").alias("sources"), F.count_distinct("id").cast("int").alias("ids"), n("ticketing"), n("json"), n("cards"), n("labelled"))
 
 
-@register("source_includes", values([("birkbeck", "Library tour", "false"), ("birkbeck", "On Bees", "true"), ("conway-hall", "A talk", "true"), ("conway-hall", "Sunday Concert: Bach", "false"), ("iop", "Careers evening", "false"), ("iop", "Dark matter", "true"), ("royal-academy", "Open day", "false")], "source, title, included"))
+@state("source_includes", values([("birkbeck", "Library tour", "false"), ("birkbeck", "On Bees", "true"), ("conway-hall", "A talk", "true"), ("conway-hall", "Sunday Concert: Bach", "false"), ("iop", "Careers evening", "false"), ("iop", "Dark matter", "true"), ("royal-academy", "Open day", "false")], "source, title, included"))
 def source_includes(spark, sf_dir):
     rows = spark.createDataFrame([("birkbeck", "Library tour"), ("birkbeck", "On Bees"), ("conway-hall", "A talk"), ("conway-hall", "Sunday Concert: Bach"), ("iop", "Careers evening"), ("iop", "Dark matter"), ("royal-academy", "Open day")], "source string, title string").withColumn("location", F.lit("Senate House, London"))
     out = F.lit(None).cast("boolean")
@@ -222,7 +222,7 @@ def source_includes(spark, sf_dir):
     return rows.select("source", "title", out.cast("string").alias("included"))
 
 
-@register("paging_stop", values([(0, "false"), (1, "true")], "page, stop"))
+@state("paging_stop", values([(0, "false"), (1, "true")], "page, stop"))
 def paging_stop(spark, sf_dir):
     cards = spark.createDataFrame([(0, "2026-10-01"), (0, "2026-12-01"), (1, "2026-12-01"), (1, "2026-12-02")], "page int, day string")
     return catalogue.later_than(cards, F.col("day").cast("date"), F.lit("2026-11-09").cast("date")).withColumn("stop", F.col("stop").cast("string"))

@@ -1,4 +1,4 @@
-"""Queries over stated cases: each function, connector or rule on inputs whose results are stated in the SQL.
+"""Stated cases: each function, connector or rule on inputs whose results are stated in the SQL. They are tests, not queries.
 
 The scalar functions meet the tables' texts in the other modules; what a table's invented texts never contain
 (times behind "doors", statuses in titles, places, prices, names) is stated here, input by input.
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, dates, names, text, urls
 from ..functions import html as H
-from .registry import register
+from .registry import state
 
 #: name to (Spark columns of the input, cases); a case is an input and its result as text.
 CASES: dict[str, list[tuple]] = {}
@@ -29,14 +29,14 @@ def values(rows: list[tuple], columns: str) -> str:
 
 
 def golden(name: str, cases: list[tuple], compute: Callable[[Column], Column], kind: str = "string") -> None:
-    """Registers a query of (nth, result): compute over each case's input, as text."""
+    """States (nth, result): compute over each case's input, as text."""
     CASES[name] = cases
 
     def run(spark, sf_dir) -> DataFrame:
         rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], f"nth int, v {kind}")
         return rows.select("nth", compute(F.col("v")).cast("string").alias("result"))
 
-    register(name, values([(i, b) for i, (_, b) in enumerate(cases)], "nth, result"))(run)
+    state(name, values([(i, b) for i, (_, b) in enumerate(cases)], "nth, result"))(run)
 
 
 def _flag(c: Column) -> Column:

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text
-from ..operators import gate, linkage, normalize, runs
+from ..operators import linkage, normalize, runs
 from .golden import literal, values
 from .query import QuerySpec, facet_lock, header
 from .records import documents_as_events
-from .registry import register
+from .registry import register, state
 from .windows import _E, _TODAY, _today, events
 
 NOW, DAYS = "2026-09-25 09:00:00", 45
@@ -81,7 +81,7 @@ def stated(spark, rows: list[dict]) -> DataFrame:
     return normalize.normalize(raw, sources(spark), F.lit(NOW).cast("timestamp"), DAYS, include=~F.contains(F.lower("title"), F.lit("private view")))
 
 
-@register("normalize_reasons", values([(i, reason, detail) for i, (_, reason, detail) in enumerate(REASONS)], "seq, drop_reason, drop_detail"))
+@state("normalize_reasons", values([(i, reason, detail) for i, (_, reason, detail) in enumerate(REASONS)], "seq, drop_reason, drop_detail"))
 def normalize_reasons(spark, sf_dir):
     return stated(spark, [r for r, _, _ in REASONS]).select(F.col("seq").cast("int").alias("seq"), "drop_reason", "drop_detail")
 
@@ -89,7 +89,7 @@ def normalize_reasons(spark, sf_dir):
 _FIELDS = "title, date, time, start, location, description, speakers, free, online, price"
 
 
-@register("normalize_records", f"""SELECT *, left(sha1(source || '|' || 'https://example.org/events/maps|' || date || '|' || coalesce(time, '')), 12) AS id
+@state("normalize_records", f"""SELECT *, left(sha1(source || '|' || 'https://example.org/events/maps|' || date || '|' || coalesce(time, '')), 12) AS id
 FROM ({values([(i, row.get("source", "test"), *fields) for i, (row, fields) in enumerate(RECORDS)], "seq, source, " + _FIELDS)})""")
 def normalize_records(spark, sf_dir):
     e = stated(spark, [r for r, _ in RECORDS])
@@ -173,30 +173,7 @@ def health_samples_orders(spark, sf_dir):
     return got.select("source", F.posexplode("drop_samples").alias("nth", "sample")).select("source", (F.col("nth") + 1).cast("long").alias("nth"), "sample")
 
 
-@register("gate_orders", """WITH e AS (SELECT o_orderkey, substr(sha1(o_orderkey::VARCHAR), 1, CASE WHEN o_orderkey % 5 = 0 THEN 11 ELSE 12 END) AS id, CAST(o_orderdate AS DATE) AS date FROM orders)
-SELECT 'bad-id' AS rule, id AS entity FROM e WHERE o_orderkey % 5 = 0 UNION ALL SELECT 'unknown-source', e.id FROM e JOIN orders o ON e.o_orderkey = o.o_orderkey WHERE o_orderpriority = '1-URGENT'
-UNION ALL SELECT 'short-title', id FROM e WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'bad-url', id FROM e WHERE o_orderkey % 11 = 0 UNION ALL SELECT 'past', id FROM e WHERE date < DATE '1993-01-01' UNION ALL SELECT 'beyond-horizon', id FROM e WHERE date >= DATE '1998-01-01'
-UNION ALL SELECT 'bad-time', id FROM e WHERE o_orderkey % 13 = 0 UNION ALL SELECT 'online-only', id FROM e WHERE o_orderkey % 17 = 0 UNION ALL SELECT 'long-description', id FROM e WHERE o_orderkey % 19 = 0 UNION ALL SELECT 'many-speakers', id FROM e WHERE o_orderkey % 23 = 0""")
-def gate_orders(spark, sf_dir):
-    """The publish gate over every order read as a published record, each rule broken by some of them."""
-    k = F.col("o_orderkey")
-    every = lambda n: k % n == 0
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    e = o.select(
-        F.substring(F.sha1(k.cast("string").cast("binary")), F.lit(1), F.when(every(5), 11).otherwise(12)).alias("id"), F.col("o_orderpriority").alias("source"), F.when(every(7), "x").otherwise("A talk").alias("title"),
-        F.when(every(11), "/x").otherwise("https://example.org/x").alias("url"), F.to_date("o_orderdate").alias("date"), F.when(every(13), "25:00").otherwise("18:30").alias("time"), every(17).alias("online"),
-        F.when(every(19), F.repeat(F.lit("d"), 421)).otherwise("d").alias("description"), F.when(every(23), F.array_repeat(F.lit("Ada"), 13)).otherwise(F.array()).alias("speakers"),
-    )
-    known = o.select(F.col("o_orderpriority").alias("id")).distinct().filter("id <> '1-URGENT'")
-    return gate.event_violations(e, known, F.lit("1993-01-01").cast("date"), F.lit("1998-01-01").cast("date"))
-
-
-@register("run_violations_cases", values([("few-events", "run"), ("few-sources-ok", "run")], "rule, entity"))
-def run_violations_cases(spark, sf_dir):
-    return gate.run_violations(spark.createDataFrame([(99, 4, 10), (100, 5, 10)], "events int, ok int, sources int"))
-
-
-@register("still_listable_cases", values([(0, "true"), (1, "false"), (2, "false"), (3, "false"), (4, "false"), (5, "false"), (6, "false")], "nth, listable"))
+@state("still_listable_cases", values([(0, "true"), (1, "false"), (2, "false"), (3, "false"), (4, "false"), (5, "false"), (6, "false")], "nth, listable"))
 def still_listable_cases(spark, sf_dir):
     rows = [(0, "2026-10-01", False, "Senate House, London", "A talk", None), (1, "2026-09-01", None, None, "A talk", None), (2, "2026-12-01", None, None, "A talk", None), (3, "2026-10-01", True, None, "A talk", None), (4, "2026-10-01", None, "Leeds", "A talk", None), (5, "2026-10-01", None, None, "Autumn Exhibition", None), (6, "2026-10-01", None, None, "A talk", "For members only")]
     e = spark.createDataFrame(rows, "nth int, day string, online boolean, location string, title string, description string").withColumn("date", F.col("day").cast("date"))
@@ -237,7 +214,7 @@ def dedupe_counts_documents(spark, sf_dir):
 # --- runs and the page ------------------------------------------------------------------------------------------
 
 
-@register("report_cases", values([("broken", "Broken", "error", "Blocked at e.org", "", "Thu 24 Sep", "Thu 24 Sep", "100 8"), ("quiet", "The Quiet", "empty", None, "", None, None, "8"), ("test", "Test", "ok", None, "past 7, cancelled 2", "Fri 25 Sep", None, "100 50"), ("home", "Home", "unknown", None, "", None, None, "")], "source, name, status, error, dropped, last_ok, carried_from, bars"))
+@state("report_cases", values([("broken", "Broken", "error", "Blocked at e.org", "", "Thu 24 Sep", "Thu 24 Sep", "100 8"), ("quiet", "The Quiet", "empty", None, "", None, None, "8"), ("test", "Test", "ok", None, "past 7, cancelled 2", "Fri 25 Sep", None, "100 50"), ("home", "Home", "unknown", None, "", None, None, "")], "source, name, status, error, dropped, last_ok, carried_from, bars"))
 def report_cases(spark, sf_dir):
     health = spark.createDataFrame([("test", "ok", None, 10, {"cancelled": 2, "past": 7}, "2026-09-25 09:00:00", 0), ("quiet", "empty", None, 0, None, None, 0), ("broken", "error", "Blocked at https://e.org/x/y (challenge did not clear)", 0, None, "2026-09-24 09:00:00", 3)], "source string, status string, error string, scraped long, dropped map<string,long>, at string, carried long")
     health = health.withColumn("last_ok_at", F.col("at").cast("timestamp")).drop("at")
@@ -245,19 +222,19 @@ def report_cases(spark, sf_dir):
     return runs.report(health, history, sources(spark)).select("source", "name", "status", "error", "dropped", "last_ok", "carried_from", F.array_join(F.transform("bars", lambda b: b["height"].cast("string")), " ").alias("bars"))
 
 
-@register("better_run_cases", values([("a", "ok", 5), ("b", "ok", 3), ("c", "ok", 9), ("d", "error", 0)], "source, status, kept"))
+@state("better_run_cases", values([("a", "ok", 5), ("b", "ok", 3), ("c", "ok", 9), ("d", "error", 0)], "source, status, kept"))
 def better_run_cases(spark, sf_dir):
     first = spark.createDataFrame([("a", "error", 0), ("b", "ok", 3), ("c", "ok", 4), ("d", "error", 0)], "source string, status string, kept int")
     return runs.better_run(first, spark.createDataFrame([("a", "ok", 5), ("b", "ok", 2), ("c", "ok", 9)], "source string, status string, kept int"))
 
 
-@register("blocked_cases", values([(0, "true"), (1, "false"), (2, "true"), (3, "false")], "nth, blocked"))
+@state("blocked_cases", values([(0, "true"), (1, "false"), (2, "true"), (3, "false")], "nth, blocked"))
 def blocked_cases(spark, sf_dir):
     rows = [(0, "Blocked by Cloudflare bot protection", []), (1, "HTTP 500", ["slow"]), (2, None, ["stopped paginating at page 3: bot check"]), (3, None, ["bot check on the first"])]
     return spark.createDataFrame(rows, "nth int, error string, warnings array<string>").select("nth", runs.blocked(F.col("error"), F.col("warnings")).cast("string").alias("blocked"))
 
 
-@register("read_back_cases", values([("a", 1)], "id, n"))
+@state("read_back_cases", values([("a", 1)], "id, n"))
 def read_back_cases(spark, sf_dir):
     e = lambda d: ("t", "https://e.org", d, "2026-10-01T18:00:00Z", ["x"])
     rows = [("a", "a", "2026-09-25T09:00:00Z", [e("2026-10-01"), e("soon"), (None, "u", "2026-10-01", "s", [])]), ("b", "c", "2026-09-25T09:00:00Z", [e("2026-10-01")]), ("d", "d", "never", [e("2026-10-01")])]
@@ -287,7 +264,7 @@ def facet_lock_events(spark, sf_dir):
     return facet_lock(e, QuerySpec(when="date", date="2024-01-15", price="free"), _today())
 
 
-@register("highlight_cases", values([(0, "<mark>Élan</mark> &amp; &quot;vital&quot;"), (1, "&lt;b&gt;"), (2, "b<mark>anan</mark>a")], "nth, result"))
+@state("highlight_cases", values([(0, "<mark>Élan</mark> &amp; &quot;vital&quot;"), (1, "&lt;b&gt;"), (2, "b<mark>anan</mark>a")], "nth, result"))
 def highlight_cases(spark, sf_dir):
     rows = spark.createDataFrame([(0, 'Élan & "vital"'), (1, "<b>"), (2, "banana")], "nth int, v string")
     return rows.select("nth", text.highlight(F.col("v"), ["elan", "anan", "x"]).alias("result"))
@@ -313,7 +290,7 @@ DUPLICATES = [
 ]
 
 
-@register("fuzzy_dedupe_cases", values([(i, n, others) for i, (_, _, n, others) in enumerate(DUPLICATES)], "nth, kept, elsewhere"))
+@state("fuzzy_dedupe_cases", values([(i, n, others) for i, (_, _, n, others) in enumerate(DUPLICATES)], "nth, kept, elsewhere"))
 def fuzzy_dedupe_cases(spark, sf_dir):
     """Both passes over pairs of records, each pair on a day of its own."""
     base = {"source": "a", "title": "The Secret Life of Sewers", "time": "18:30", "location": "The British Academy, Carlton House Terrace", "speakers": [], "also_at": [], "day": 0}

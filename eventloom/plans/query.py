@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from dataclasses import dataclass
 from urllib.parse import parse_qs, urlencode
@@ -32,6 +33,16 @@ def _fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not 0x300 <= ord(c) <= 0x36F)
 
 
+def _stored(text: str | None) -> dict[str, str]:
+    """Stored choices as if they came from a query string; nothing where they can't be read."""
+    try:
+        got = json.loads(text or "{}") or {}
+        off = got.get("off") or []
+        return {k: got[k] for k in ("when", "price") if isinstance(got.get(k), str) and got[k] != "date"} | {"off": ",".join(off)}
+    except (ValueError, AttributeError, TypeError):
+        return {}
+
+
 @dataclass(frozen=True)
 class QuerySpec:
     when: str = "week"
@@ -41,9 +52,12 @@ class QuerySpec:
     date: str | None = None
 
     @classmethod
-    def from_query_string(cls, query: str, sources: tuple[str, ...] | None = None) -> QuerySpec:
-        """Invalid values give way to defaults; unknown sources are dropped."""
+    def from_query_string(cls, query: str, sources: tuple[str, ...] | None = None, stored: str | None = None) -> QuerySpec:
+        """Invalid values give way to defaults; unknown sources are dropped. stored is what to_stored gave last time: it
+        counts only where the query string says nothing of window, price, terms and sources."""
         got = {k: v[0] for k, v in parse_qs(query.lstrip("?"), keep_blank_values=True).items()}
+        if not got.keys() & {"when", "price", "q", "off"}:
+            got = _stored(stored) | got
         off = tuple(s for s in got.get("off", "").split(",") if s and (sources is None or s in sources))
         date = got.get("date") if got.get("when") == "date" else None
         when = got.get("when") if got.get("when") in WINDOWS or date else "week"
@@ -54,6 +68,10 @@ class QuerySpec:
         parts = {"when": self.when if self.when != "week" else "", "price": self.price if self.price != "any" else "", "q": self.q, "off": ",".join(self.off), "date": self.date or ""}
         return urlencode({k: v for k, v in parts.items() if v})
 
+    def to_stored(self, last_window: str = "week") -> str:
+        """What a visitor's next visit begins with: window (the last one while a single day is picked), price, sources."""
+        return json.dumps({"when": last_window if self.when == "date" else self.when, "price": self.price, "off": list(self.off)})
+
     @property
     def terms(self) -> list[str]:
         return _fold(self.q).split()

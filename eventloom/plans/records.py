@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import dates, text
 from ..operators import linkage
-from ..operators.runs import carry_forward, history_entry, sparkline, totals
 from ..operators.gate import violations
-from .registry import ORACLES, register
+from ..operators.normalize import still_listable
+from ..operators.runs import carry_forward, history_entry, sparkline, totals
+from .registry import register
 from .windows import _E, _TODAY, _reasons, events
 
 
@@ -35,8 +36,8 @@ def exact_dedupe_documents(spark, sf_dir):
     return _t(spark, sf_dir, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("text_md5")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
-_RICH = """(SELECT doc_id, md5(text) AS k, CAST(doc_id % 30 AS INT) AS day, source, CASE WHEN doc_id % 3 > 0 THEN lpad((doc_id % 4 + 17)::VARCHAR, 2, '0') || ':30' END AS time, CASE WHEN doc_id % 2 = 0 THEN left(text, 400) END AS description,
-CASE WHEN doc_id % 3 > 0 THEN 4 ELSE 0 END + least(coalesce(length(CASE WHEN doc_id % 2 = 0 THEN left(text, 400) END), 0) / 80, 4.0) AS rich FROM documents)"""
+_RICH = """(SELECT doc_id, md5(text) AS k, CAST(doc_id % 30 AS INT) AS day, source, CASE WHEN doc_id % 3 > 0 THEN lpad((doc_id % 4 + 17)::VARCHAR, 2, '0') || ':30' END AS time, CASE WHEN doc_id % 2 = 0 THEN text END AS description,
+CASE WHEN doc_id % 3 > 0 THEN 4 ELSE 0 END + least(coalesce(length(CASE WHEN doc_id % 2 = 0 THEN text END), 0) / 80, 4.0) AS rich FROM documents)"""
 
 
 @register("richness_score", f"SELECT doc_id, rich::DOUBLE AS richness FROM {_RICH}")
@@ -51,14 +52,6 @@ def survivor_max_by(spark, sf_dir):
     return best
 
 
-@register("exact_dedupe_by_url_date", f"SELECT min(doc_id) AS seq, min(time) AS time, count(DISTINCT source) > 1 AS elsewhere FROM {_RICH} GROUP BY k, day HAVING count(*) = 1")
-def exact_dedupe_by_url_date(spark, sf_dir):
-    e = documents_as_events(spark, sf_dir)
-    n = F.count(F.lit(1)).over(W.partitionBy("url", "date"))
-    kept = linkage.exact_duplicates(e).join(e.withColumn("n", n).filter("n = 1").select("seq"), "seq", "left_semi")
-    return kept.select("seq", "time", (F.size("also_at") > 0).alias("elsewhere"))
-
-
 @register("fuzzy_dedupe_greedy")
 def fuzzy_dedupe_greedy(spark, sf_dir):
     kept = linkage.dedupe(documents_as_events(spark, sf_dir))
@@ -78,9 +71,6 @@ def title_token_pairs(spark, sf_dir):
     return p.select(F.least("a.seq", "b.seq").alias("a"), F.greatest("a.seq", "b.seq").alias("b"))
 
 
-title_token_pairs_whole = register("title_token_pairs_whole", ORACLES["title_token_pairs"])(title_token_pairs)
-
-
 @register("lookup_left_enrich", "SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0")
 def lookup_left_enrich(spark, sf_dir):
     o, c, n = (_t(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
@@ -134,16 +124,24 @@ def sparkline_scale(spark, sf_dir):
     return sparkline(_runs(spark, sf_dir))
 
 
-@register("carry_forward_union", f"""WITH s AS (SELECT source, count(*) AS n FROM {_E} WHERE date = {_TODAY} GROUP BY source), f AS (SELECT source FROM s WHERE n % 2 = 0)
-SELECT event_id, source, date, false AS carried FROM {_E} WHERE date = {_TODAY} AND source NOT IN (SELECT source FROM f)
-UNION ALL SELECT event_id, source, date, true FROM {_E} WHERE date BETWEEN {_TODAY} - 7 AND {_TODAY} - 1 AND event_id % 2 = 0 AND source IN (SELECT source FROM f)""")
+@register("carry_forward_union", f"""WITH g AS (SELECT * FROM {_RUNS}),
+e AS (SELECT event_id, source, date, date + (event_id % 12)::INT AS listed, event_id % 13 = 0 AS online, event_id % 10 = 3 OR event_id % 17 = 0 AS closed FROM {_E}),
+c AS (SELECT f.source, f.date AS day, g.date AS good FROM g f ASOF JOIN (SELECT source, date FROM g WHERE status <> 'error') g ON f.source = g.source AND f.date >= g.date WHERE f.status = 'error')
+SELECT event_id, e.source, e.date AS day, listed AS date, false AS carried, (event_id % 5 = 0)::INT AS elsewhere FROM e JOIN g ON e.source = g.source AND e.date = g.date WHERE g.status <> 'error'
+UNION ALL SELECT event_id, e.source, day, listed, true, 0 FROM c JOIN e ON e.source = c.source AND e.date = c.good WHERE day - good <= 7 AND listed >= day AND listed < day + 45 AND NOT online AND NOT closed""")
 def carry_forward_union(spark, sf_dir):
-    e = events(spark, sf_dir).select("event_id", "source", "date")
-    today = F.lit("2024-01-10").cast("date")
-    now = e.filter(F.col("date") == today)
-    failed = now.groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 0").select("source")
-    before = e.filter((F.col("date") >= F.date_sub(today, 7)) & (F.col("date") < today))
-    return carry_forward(now, before, failed, F.col("event_id") % 2 == 0)
+    """A run a day: each event is a listing of some days ahead, and a failed source shows its last good run."""
+    every = lambda n, k=0: F.col("event_id") % n == k
+    at = lambda hour: F.col("date").cast("timestamp") + F.expr(f"INTERVAL {hour} HOURS")
+    given = {
+        "title": F.when(every(10, 3), "Autumn Exhibition").otherwise("A talk"), "description": F.when(every(17), "For members only"), "location": F.lit("Senate House, London"),
+        "online": every(13), "also_at": F.when(every(5), F.array(F.struct(F.lit("b").alias("source"), F.lit("/b").alias("url")))).otherwise(F.array().cast("array<struct<source:string,url:string>>")),
+    }
+    seen = events(spark, sf_dir).select("event_id", "source", "date").withColumns({"scraped_at": at(9), "at": at(10)}).withColumns(given).withColumn("date", F.date_add("date", (F.col("event_id") % 12).cast("int")))
+    runs_ = _runs(spark, sf_dir).select("source", "status", at(9).alias("scraped_at"), at(10).alias("at"))
+    good = seen.join(runs_.filter("status <> 'error'").select("source", "scraped_at"), ["source", "scraped_at"], "left_semi")
+    got = carry_forward(good.drop("scraped_at"), runs_.filter("status = 'error'").select("source", "at"), good.drop("at"), still_listable(good, F.col("at"), 45))
+    return got.select("event_id", "source", dates.london_date(F.col("at")).alias("day"), "date", "carried", F.size("also_at").alias("elsewhere"))
 
 
 @register("validation_violations", f"""SELECT 'bad-value' AS rule, event_id AS entity FROM {_E} WHERE value IS NULL OR value < 0 UNION ALL SELECT 'far-date', event_id FROM {_E} WHERE date >= {_TODAY} + 14
@@ -176,9 +174,6 @@ def explode_sessions(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("nth", "word")).select("conv_id", "turn", F.col("nth").cast("long").alias("nth"), "word")
 
 
-explode_sessions_whole = register("explode_sessions_whole", ORACLES["explode_sessions"])(explode_sessions)
-
-
 @register("first_wins_distinct", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations) WHERE nth = 1")
 def first_wins_distinct(spark, sf_dir):
     nth = F.row_number().over(W.partitionBy("conv_id", "role").orderBy("turn"))

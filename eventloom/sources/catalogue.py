@@ -95,6 +95,20 @@ def later_than(cards: DataFrame, date: Column, beyond: Column) -> DataFrame:
     return cards.groupBy("page").agg(F.every(F.coalesce(date >= beyond, F.lit(False))).alias("stop"))
 
 
+def last_page(pages: DataFrame, by: str, target: str) -> DataFrame:
+    """(by, last_page, pages): the largest page number that paging links name, 0 where none does, and how many there are."""
+    number = F.coalesce(F.col(target).try_cast("int"), F.lit(0))
+    return pages.groupBy(by).agg(F.greatest(F.lit(0), F.max(number)).alias("last_page"), F.count(F.lit(1)).alias("pages"))
+
+
+def listed_ranks(cards: DataFrame, by: str, rank: str, total: str) -> DataFrame:
+    """(by, last, total, done): the largest rank among a listing's cards, the count that its last card names, and
+    whether all have come."""
+    number = lambda c: F.coalesce(F.col(c).try_cast("int"), F.lit(0))
+    named = F.max_by(number(total), F.struct(number(rank), number(total)))
+    return cards.groupBy(by).agg(F.greatest(F.lit(0), F.max(number(rank))).alias("last"), named.alias("total")).withColumn("done", F.col("last") >= F.col("total"))
+
+
 # --- ticketing --------------------------------------------------------------------------------------------------
 
 

@@ -93,8 +93,10 @@ def test_health_and_gate(spark):
     assert got["test"].dropped == {"cancelled": 1, "past": 1, "not-a-talk": 1}
     assert got["test"].drop_samples == ["cancelled: X talk", "not-a-talk: Autumn Exhibition"]
     assert got["none"].status == "empty" and got["bad"].status == "error"
-    bad = gate.event_violations(events(spark, [{"id": "0123456789ab"}, {"id": "x", "url": "/y", "source": "zzz"}]), sources.withColumn("id", F.when(F.col("id") == "test", "a").otherwise(F.col("id"))), F.lit("2026-10-01").cast("date"), F.lit("2026-12-01").cast("date"))
-    assert {(r.rule, r.entity) for r in bad.collect()} == {("bad-id", "x"), ("bad-url", "x"), ("unknown-source", "x")}
+    start = dt.datetime(2026, 10, 13, 17, 30)
+    shown = events(spark, [{"id": "0123456789ab", "start": start}, {"id": "x", "url": "/y", "source": "zzz", "start": start}]).withColumnRenamed("seq", "position")
+    bad = gate.event_violations(shown, sources.withColumn("id", F.when(F.col("id") == "test", "a").otherwise(F.col("id"))))
+    assert {(r.rule, r.entity) for r in bad.collect()} == {("bad-id", 1), ("bad-url", 1), ("unknown-source", 1)}
 
 
 def test_query_spec():
@@ -105,6 +107,17 @@ def test_query_spec():
     assert QuerySpec.from_query_string("when=date&date=2026-10-05").date == "2026-10-05"
 
 
+def test_stored_choices_count_only_without_a_query():
+    stored = QuerySpec("month", "paid", "maps", ("a", "gone")).to_stored()
+    assert QuerySpec.from_query_string("", ("a", "b"), stored) == QuerySpec("month", "paid", "", ("a",))
+    assert QuerySpec.from_query_string("?q=bees", ("a", "b"), stored) == QuerySpec(q="bees")
+    assert QuerySpec.from_query_string("?off=b", ("a", "b"), stored) == QuerySpec(off=("b",))
+    assert QuerySpec.from_query_string("?utm=1", ("a", "b"), stored).price == "paid"
+    assert QuerySpec(when="date", date="2026-10-05").to_stored("today") == QuerySpec("today").to_stored()
+    for broken in ("{", "[]", "null", '{"when": 3, "off": 7}', '{"when": "never", "price": "cheap"}'):
+        assert QuerySpec.from_query_string("", ("a",), broken) == QuerySpec()
+
+
 def test_page_and_labels(spark):
     rows = [{"title": "b", "time": None}, {"title": "a", "time": None}, {"title": "z", "time": "09:00"}, {"title": "y", "time": "09:00", "date": dt.date(2026, 10, 12)}]
     got = labels(page(events(spark, rows)), F.lit("2026-10-12 10:00:00").cast("timestamp")).collect()
@@ -130,4 +143,4 @@ def test_titles_descriptions_and_turns_are_whole(spark, tmp_path):
     spark.createDataFrame([(1, 0, line)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     e = records.documents_as_events(spark, str(tmp_path)).first()
     assert (e.title, len(e.description)) == (line, len(line) + 501)
-    assert [r.word for r in records.explode_sessions_whole(spark, str(tmp_path)).orderBy("nth").collect()] == line.split(" ")
+    assert [r.word for r in records.explode_sessions(spark, str(tmp_path)).orderBy("nth").collect()] == line.split(" ")

@@ -50,13 +50,42 @@ def test_enrich_walls_and_fallback(spark):
 
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", "</script>", 2), ("b", "y", 1)], "source string, title string, start int")
-    sinks.write_snapshots(rows, f"{tmp_path}/s")
-    assert spark.read.json(f"{tmp_path}/s").count() == 2
     sources = spark.createDataFrame([("a", "A", "h")], "id string, name string, homepage string")
     r = sinks.published(rows, sources, F.lit("2026-10-01").cast("timestamp"), 45).select(F.col("events.title").alias("t"), sinks.page_payload(F.struct("events")).alias("p")).first()
     assert r.t == ["y", "</script>"] and "<" not in r.p
 
 
+def test_runs_keep_what_failed_sources_had(spark, tmp_path):
+    path = f"{tmp_path}/state"
+
+    def store(day, events, health, **more):
+        run = f"2026-10-{day:02}"
+        sinks.write_run(path, run, F.lit(run).cast("timestamp"), spark.createDataFrame(events, "source string, title string"), spark.createDataFrame(health, "source string, status string"), **more)
+
+    def state():
+        return [(r.source, r.run[-2:], r.event.title if r.event else None) for r in sinks.read_snapshots(spark, path).collect()]
+
+    store(1, [("a", "1"), ("01", "x"), ("b/c", "y")], [("a", "ok"), ("01", "ok"), ("b/c", "ok"), ("d", "error")])
+    store(2, [("a", "2"), ("01", "half of it")], [("a", "ok"), ("01", "error"), ("b/c", "empty")])
+    want = [("01", "01", None), ("01", "01", "x"), ("a", "02", None), ("a", "02", "2"), ("b/c", "02", None)]
+    assert sorted(state(), key=str) == sorted(want, key=str)
+    store(2, [("a", "2"), ("01", "half of it")], [("a", "ok"), ("01", "error"), ("b/c", "empty")])  # once more
+    assert sorted(state(), key=str) == sorted(want, key=str)
+    # a run that was broken off before its commit
+    late = spark.createDataFrame([("a", "2026-10-03", "3")], "source string, run string, title string").select("source", "run", F.lit("2026-10-03").cast("timestamp").alias("scraped_at"), F.struct("title").alias("event"))
+    sinks._replace(late, f"{path}/snapshots", "source", "run")
+    assert sorted(state(), key=str) == sorted(want, key=str)
+    for day in range(4, 7):
+        store(day, [("a", str(day))], [("a", "ok"), ("01", "error")], kept_runs=3)
+    assert sorted({r.run for r in sinks.read_runs(spark, path).collect()}) == ["2026-10-04", "2026-10-05", "2026-10-06"]
+    assert ("a", "06", "6") in state() and {r.run for r in spark.read.parquet(f"{path}/snapshots").filter("source = 'a'").collect()} == {"2026-10-03", "2026-10-04", "2026-10-05", "2026-10-06"}
+
+
+def test_health_as_lines(spark):
+    got = {r.name: r.json for r in sinks.health_json(spark.createDataFrame([(2, 1)], "sources int, ok int"), spark.createDataFrame([("a", "ok", None)], "source string, status string, error string")).collect()}
+    assert got == {"totals": '{"sources":2,"ok":1}', "a": '{"source":"a","status":"ok","error":null}'}
+
+
 def test_stream(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(3).write.parquet(f"{tmp_path}/in")
