@@ -63,16 +63,45 @@ def _ef_pack(values: np.ndarray, universe: int) -> list[np.ndarray]:
         np.bitwise_or.at(packed, word, part << shift)
         over = shift + np.uint64(low) > 64
         np.bitwise_or.at(packed, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
-    return [np.array([n, low, len(bits)], "<u8"), packed, np.packbits(bits, bitorder="little")]
+    high = np.packbits(bits, bitorder="little")
+    return [np.array([n, low, len(bits)], "<u8"), packed, np.append(high, np.zeros(-len(high) % 8, np.uint8)).view("<u8")]
+
+
+def _nth_bit(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The place of the n-th set bit (from 0) of each word."""
+    at, left = np.zeros(len(words), np.uint64), n.astype(np.int64)
+    for width in (32, 16, 8, 4, 2, 1):
+        below = np.bitwise_count((words >> at) & np.uint64((1 << width) - 1)).astype(np.int64)
+        on = left >= below
+        left -= np.where(on, below, 0)
+        at += np.where(on, np.uint64(width), np.uint64(0))
+    return at.astype(np.int64)
 
 
 class EliasFano:
+    """The bits stay packed as they are mapped; beside them only counts of ones and zeros before each 64 of them."""
+
     def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray):
         self.n, self.low, size = (int(x) for x in head)
-        self.packed = low
-        zeros = np.flatnonzero(np.unpackbits(high, count=size, bitorder="little") == 0)
-        #: For each high part, how many values lie below it.
-        self.first = np.concatenate([[0], zeros - np.arange(len(zeros))])
+        self.packed, self.high = low, high
+        self.ones = np.zeros(len(high) + 1, np.int32)
+        np.cumsum(np.bitwise_count(high), out=self.ones[1:])
+        self.zeros = (64 * np.arange(len(high) + 1) - self.ones).astype(np.int32)
+        #: High parts that the sequence may have.
+        self.top = size - self.n
+
+    def _select(self, before: np.ndarray, words, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th one (or zero)."""
+        at = np.searchsorted(before, k, side="right") - 1
+        return 64 * at + _nth_bit(words(self.high[at]), k - before[at])
+
+    def below(self, high: np.ndarray) -> np.ndarray:
+        """How many values have a smaller high part."""
+        out = np.zeros(len(high), np.int64)
+        some = np.flatnonzero(high > 0)
+        k = np.minimum(high[some], self.top) - 1
+        out[some] = self._select(self.zeros, np.invert, k) - k
+        return out
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         at = i.astype(np.uint64) * np.uint64(self.low)
@@ -83,14 +112,14 @@ class EliasFano:
         return value & np.uint64((1 << self.low) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        high = np.searchsorted(self.first, i, side="right") - 1
+        i = np.asarray(i, np.int64)
+        high = self._select(self.ones, lambda w: w, i) - i
         return (high.astype(np.uint64) << np.uint64(self.low)) | self._low(i) if self.low else high.astype(np.uint64)
 
     def successor(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """The index of the first value >= x, within [lo, hi) where they are given."""
         high = (x >> np.uint64(self.low)).astype(np.int64)
-        top = len(self.first) - 1
-        a, b = self.first[np.minimum(high, top)], self.first[np.minimum(high + 1, top)]
+        a, b = self.below(high), self.below(high + 1)
         if lo is not None:
             a, b = np.clip(a, lo, hi), np.clip(b, lo, hi)
         if not self.low or not self.n:
@@ -147,7 +176,7 @@ class Trie:
             f.write(block)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        kinds = ["<u8", "<u8", "u1"] * 3 + ["u1", "<f4", "u1", "<f4"]
+        kinds = ["<u8", "<u8", "<u8"] * 3 + ["u1", "<f4", "u1", "<f4"]
         sizes, at, parts = np.frombuffer(self.map, "<u8", 2 * len(kinds)).reshape(-1, 2), 16 * len(kinds), []
         for (n, size), kind in zip(sizes.tolist(), kinds, strict=True):
             parts.append(np.frombuffer(self.map, kind, n, at))

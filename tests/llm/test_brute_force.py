@@ -41,6 +41,25 @@ def edges(spark, tmp_path):
     return str(tmp_path)
 
 
+# --- monotone sequences -----------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("n", "top"), [(0, 5), (1, 1 << 64), (7, 7), (3000, 1 << 64), (5000, 4000), (2000, 1 << 13), (300, 1 << 40)])
+def test_elias_fano_equals_its_values(n, top):
+    import numpy as np
+
+    r = random.Random(n)
+    values = np.array(sorted(r.randrange(top) for _ in range(n)), np.uint64)
+    ef = op06_lm.EliasFano(*op06_lm._ef_pack(values, top))
+    if n:
+        assert (ef.get(np.arange(n)) == values).all()
+    asked = np.array([*values[:50], *(r.randrange(top) for _ in range(200)), 0, top - 1], np.uint64)
+    assert (ef.successor(asked) == np.searchsorted(values, asked)).all()
+    lo = np.array([r.randrange(n + 1) for _ in asked])
+    hi = np.array([r.randrange(x, n + 1) for x in lo])
+    assert (ef.successor(asked, lo, hi) == np.clip(np.searchsorted(values, asked), lo, hi)).all()
+
+
 # --- near duplicates --------------------------------------------------------------------------------------------
 
 
