@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +59,25 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow in small batches."""
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the machine: workers outlive their stage, and what one stage has
+    used would count beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def mapped(df: DataFrame, run, schema: str, tidy: bool = False) -> DataFrame:
+    """df.mapInArrow in small batches. tidy: tasks give freed memory back when they end."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def then_tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(then_tidy if tidy else run, schema)
 
 
 def let(value: Column, body) -> Column:

@@ -70,7 +70,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 least.append(s[:K].astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "set_id", "sketch"])
 
-    return mapped(_hashed(docs), run, "doc_id long, text_hash long, n_shingles long, set_id binary, sketch array<long>")
+    return mapped(_hashed(docs), run, "doc_id long, text_hash long, n_shingles long, set_id binary, sketch array<long>", tidy=True)
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
                 ok[i] = 100 * inter >= PERCENT * (len(x) + len(y) - inter)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok], pa.int64()), pa.array(b[ok], pa.int64())], names=["a", "b"])
 
-    links = written(mapped(both, run, "a long, b long"), "near-links")
+    links = written(mapped(both, run, "a long, b long", tidy=True), "near-links")
     forget(texts)
     return links
 
@@ -190,7 +190,7 @@ def _across_blocks(left: DataFrame, docs: DataFrame, classes: DataFrame) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "hashes"])
 
     texts = _texts(docs, classes, members.select("rep"))
-    sets = mapped(texts, run, "rep long, hashes binary")
+    sets = mapped(texts, run, "rep long, hashes binary", tidy=True)
     # the largest group of a family needs no comparison with itself: one side leaves it out
     size = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     most = F.max(F.struct("c", "label", "s")).alias("most")

@@ -17,6 +17,8 @@ language that sorts first; a null doc_id is not held out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mapped, small_batches, table
+from .common import give_back, mapped, small_batches, table
 
 GRAMS, PER_LANGUAGE, LANGUAGES = 1 << 16, 2000, 200
 #: Added to every count; steps of expectation-maximisation; weight of the penalty log(words) per language.
@@ -175,9 +177,11 @@ def labelled(docs: DataFrame, model: Model, name: str, score: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang:string,score:double,languages:int>")
-    def predict_(text: pd.Series) -> pd.DataFrame:
-        names, scores, many = _leading(sent.value, [t or "" for t in text])
-        return pd.DataFrame({"lang": names, "score": scores, "languages": many})
+    def predict_(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in texts:
+            names, scores, many = _leading(sent.value, [t or "" for t in text])
+            yield pd.DataFrame({"lang": names, "score": scores, "languages": many})
+        give_back()
 
     small_batches(docs.sparkSession)
     # not deterministic as far as the optimizer is told: else a filter on the result would run it a second time
@@ -194,7 +198,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             names, score, many = _leading(sent.value, [t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(many, pa.int32())], names=["doc_id", "lang_pred", "score", "languages"])
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, languages int")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, languages int", tidy=True)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
