@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
+from . import scans
 from .graph import components, cut_lineage
 
 _FILL = ("time", "location", "description", "free", "online", "price")
@@ -279,5 +280,14 @@ def with_last_by_title(cards: DataFrame, details: DataFrame, order: Column) -> D
     return cards.withColumn("title_key", title_key(F.col("title"))).join(last, "title_key", "left").select(*cards.columns, "last.*")
 
 
+_ORDER = ("start", "title COLLATE UNICODE", "seq")
+
+
 def listing_order(events: DataFrame) -> DataFrame:
-    return events.orderBy("start", F.expr("title COLLATE UNICODE"))
+    """The order of the published list: by start, then by title as people sort it."""
+    return events.orderBy(*map(F.expr, _ORDER))
+
+
+def listing_positions(events: DataFrame) -> DataFrame:
+    """events with their position in the published list, a day at a time."""
+    return scans.positions(events, F.to_date("start"), [F.expr(x) for x in _ORDER], "position")

@@ -25,3 +25,15 @@ def fill_forward(rows: DataFrame, by: list[str], at: str, value: Column, name: s
     carried = every.select(*by, "_stretch", before.alias("_carried")).filter("_carried IS NOT NULL")
     out = filled.join(carried, [*by, "_stretch"], "left").withColumn(name, F.coalesce("_own", "_carried"))
     return out.select(*rows.columns, name)
+
+
+def positions(rows: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
+    """rows with their position, from 0, in the order of buckets and, inside a bucket, of `order`, which must tell rows
+    apart. No task sorts more than a bucket; buckets hand on their sizes."""
+    cut = rows.withColumn("_bucket", bucket)
+    sizes = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("_bucket").alias("_of"), before.alias("_before"))
+    nth = F.row_number().over(W.partitionBy("_bucket").orderBy(*order)) - 1
+    out = cut.withColumn("_nth", nth).join(starts, F.col("_bucket").eqNullSafe(F.col("_of")))
+    return out.withColumn(name, F.col("_before") + F.col("_nth")).select(*rows.columns, name)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import gate
+from ..operators import gate, linkage
 from .registry import register
 from .windows import _E, _TODAY, events
 
@@ -49,6 +49,13 @@ def gate_orders(spark, sf_dir):
     return gate.event_violations(published(spark, sf_dir), known, stretch=1000)
 
 
+@register("listing_positions_orders", """SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, title, o_orderkey) - 1 AS position FROM (SELECT o_orderkey, o_orderdate, 'talk ' || (o_orderkey % 7) AS title FROM orders)""")
+def listing_positions_orders(spark, sf_dir):
+    """Every order's place in the published list: by start, then by title."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderkey").alias("seq"), F.col("o_orderdate").cast("timestamp").alias("start"), F.concat(F.lit("talk "), (F.col("o_orderkey") % 7).cast("string")).alias("title"))
+    return linkage.listing_positions(o).select("o_orderkey", "position")
+
+
 # --- a run's tables against each other --------------------------------------------------------------------------
 
 _MADE = "TIMESTAMP '1998-01-01 06:00:00'"

@@ -14,7 +14,7 @@ from ..functions import text
 from ..operators import linkage, normalize, runs
 from .golden import literal, values
 from .query import QuerySpec, facet_lock, header
-from .records import documents_as_events
+from .records import _KEEP, _RICH_OF, documents_as_events
 from .registry import register, state
 from .windows import _E, _TODAY, _today, events
 
@@ -182,14 +182,6 @@ def still_listable_cases(spark, sf_dir):
 
 # --- linkage ----------------------------------------------------------------------------------------------------
 
-_KEEP = """list_reduce(list(struct_pack(seq := doc_id, source := source, time := time, description := description, also := 0) ORDER BY doc_id), lambda k, e: struct_pack(
- seq := k.seq, source := CASE WHEN {e} > {k} THEN e.source ELSE k.source END,
- time := CASE WHEN k.time IS NULL THEN e.time WHEN e.time IS NULL THEN k.time ELSE least(k.time, e.time) END,
- description := CASE WHEN {e} > {k} THEN coalesce(e.description, k.description) ELSE coalesce(k.description, e.description) END,
- also := CASE WHEN {e} > {k} THEN 0 ELSE k.also END + CASE WHEN k.source IS DISTINCT FROM e.source THEN 1 ELSE 0 END))"""
-_RICH_OF = "(CASE WHEN {0}.time IS NOT NULL THEN 4 ELSE 0 END + least(coalesce(length({0}.description), 0) / 80, 4.0))"
-
-
 def documents_by_text(spark, sf_dir) -> DataFrame:
     """Documents as listings whose page and day come from the text, so that copies are one page on one day."""
     days = F.coalesce(F.length("title"), F.lit(0)) % 30
@@ -204,13 +196,6 @@ def exact_dedupe_folded(spark, sf_dir):
     return kept.select("seq", "source", "time", F.length("description").cast("long").alias("described"), F.size("also_at").alias("elsewhere"))
 
 
-@register("dedupe_counts_documents", "SELECT count(*) - count(DISTINCT text) AS exact_duplicates FROM documents WHERE text IS NOT NULL")
-def dedupe_counts_documents(spark, sf_dir):
-    """How many records the first pass merges away."""
-    e = documents_by_text(spark, sf_dir)
-    return e.agg(F.count(F.lit(1)).alias("a")).crossJoin(linkage.exact_duplicates(e).agg(F.count(F.lit(1)).alias("b"))).select((F.col("a") - F.col("b")).alias("exact_duplicates"))
-
-
 # --- runs and the page ------------------------------------------------------------------------------------------
 
 

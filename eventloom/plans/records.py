@@ -52,12 +52,6 @@ def survivor_max_by(spark, sf_dir):
     return best
 
 
-@register("fuzzy_dedupe_greedy")
-def fuzzy_dedupe_greedy(spark, sf_dir):
-    kept = linkage.dedupe(documents_as_events(spark, sf_dir))
-    return kept.select("seq", "source", "title", "date", "time", F.size("also_at").alias("elsewhere"))
-
-
 _TOKENS = "list_distinct(list_filter(string_split(regexp_replace(regexp_replace(strip_accents(lower(split_part(text, chr(10), 1))), '[''’]s\\b', '', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND NOT list_contains(['{}'], w)))"
 
 
@@ -71,6 +65,47 @@ def title_token_pairs(spark, sf_dir):
     return p.select(F.least("a.seq", "b.seq").alias("a"), F.greatest("a.seq", "b.seq").alias("b"))
 
 
+_KEEP = """list_reduce(list(struct_pack(seq := doc_id, source := source, time := time, description := description, also := 0) ORDER BY doc_id), lambda k, e: struct_pack(
+ seq := k.seq, source := CASE WHEN {e} > {k} THEN e.source ELSE k.source END,
+ time := CASE WHEN k.time IS NULL THEN e.time WHEN e.time IS NULL THEN k.time ELSE least(k.time, e.time) END,
+ description := CASE WHEN {e} > {k} THEN coalesce(e.description, k.description) ELSE coalesce(k.description, e.description) END,
+ also := CASE WHEN {e} > {k} THEN 0 ELSE k.also END + CASE WHEN k.source IS DISTINCT FROM e.source THEN 1 ELSE 0 END))"""
+_RICH_OF = "(CASE WHEN {0}.time IS NOT NULL THEN 4 ELSE 0 END + least(coalesce(length({0}.description), 0) / 80, 4.0))"
+_TITLE_TOKENS = _TOKENS.replace("split_part(text, chr(10), 1)", "title")
+#: Both passes in order. x is pass 1: the copies of a text on one day, folded. p are the pairs of the same event, in the
+#: order in which one run meets them; s walks them one by one with what each record holds by then.
+_MERGED = f"""WITH RECURSIVE d AS (SELECT doc_id, source, text, doc_id % 30 AS day, CASE WHEN doc_id % 3 > 0 THEN lpad((doc_id % 4 + 17)::VARCHAR, 2, '0') || ':30' END AS time, CASE WHEN doc_id % 2 = 0 THEN text END AS description FROM documents),
+x AS MATERIALIZED (SELECT r.seq AS seq, r.source AS source, r.time AS time, length(r.description) AS said, r.also AS also, day, title FROM (SELECT day, split_part(text, chr(10), 1) AS title, {_KEEP.format(e=_RICH_OF.format("e"), k=_RICH_OF.format("k"))} AS r FROM d WHERE text IS NOT NULL GROUP BY text, day)
+ UNION ALL SELECT doc_id, source, time, NULL, 0, day, NULL FROM d WHERE text IS NULL),
+t AS (SELECT seq, source, day, time, {_TITLE_TOKENS.format("', '".join(text.X.STOPWORDS))} AS w FROM x WHERE title IS NOT NULL),
+c AS (SELECT a.seq AS a, b.seq AS b, a.source IS NOT DISTINCT FROM b.source AS one, len(list_intersect(a.w, b.w)) AS shared, len(a.w) AS na, len(b.w) AS nb FROM t a JOIN t b ON a.day = b.day AND a.seq < b.seq WHERE len(a.w) >= 2 AND len(b.w) >= 2 AND list_has_any(a.w, b.w)),
+p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a, b) AS k, a, b, one FROM c WHERE CASE WHEN least(na, nb) >= 3 THEN greatest(shared / (na + nb - shared), shared / least(na, nb) * 0.9) ELSE shared / (na + nb - shared) END >= CASE WHEN one THEN 0.95 ELSE 0.8 END),
+u AS (SELECT a AS seq FROM p UNION SELECT b FROM p),
+s(k, gone, times, said, also) AS (
+ SELECT 0::BIGINT, CAST([] AS BIGINT[]), coalesce(map_from_entries(list((x.seq, time))), MAP {{}}), coalesce(map_from_entries(list((x.seq, said))), MAP {{}}), coalesce(map_from_entries(list((x.seq, also))), MAP {{}}) FROM x JOIN u ON x.seq = u.seq
+ UNION ALL SELECT k, CASE WHEN ok THEN list_append(gone, lost) ELSE gone END, CASE WHEN ok THEN map_concat(times, MAP {{kept: coalesce(times[kept], times[lost])}}) ELSE times END,
+  CASE WHEN ok THEN map_concat(said, MAP {{kept: coalesce(said[kept], said[lost])}}) ELSE said END, CASE WHEN ok THEN map_concat(also, MAP {{kept: (also[kept] + also[lost] + CASE WHEN one THEN 0 ELSE 1 END)::INTEGER}}) ELSE also END
+ FROM (SELECT next AS k, one, gone, times, said, also, CASE WHEN richer THEN b ELSE a END AS kept, CASE WHEN richer THEN a ELSE b END AS lost, NOT list_contains(gone, a) AND NOT list_contains(gone, b) AND CASE WHEN one THEN times[a] IS NOT DISTINCT FROM times[b]
+   ELSE coalesce(abs((left(times[a], 2)::INT * 60 + right(times[a], 2)::INT) - (left(times[b], 2)::INT * 60 + right(times[b], 2)::INT)) <= 30, true) END AS ok
+  FROM (SELECT gone, times, said, also, p.k AS next, a, b, one, CASE WHEN times[b] IS NULL THEN 0 ELSE 4 END + least(coalesce(said[b], 0) / 80, 4) > CASE WHEN times[a] IS NULL THEN 0 ELSE 4 END + least(coalesce(said[a], 0) / 80, 4) AS richer FROM s JOIN p ON p.k = s.k + 1) q)
+)"""
+_LAST = "(SELECT * FROM s ORDER BY k DESC LIMIT 1)"
+
+
+@register("fuzzy_dedupe_greedy", f"""{_MERGED} SELECT seq, source, title, DATE '2026-10-01' + day::INT AS date, CASE WHEN map_contains(l.times, seq) THEN l.times[seq] ELSE x.time END AS time, CASE WHEN map_contains(l.also, seq) THEN l.also[seq] ELSE x.also END AS elsewhere
+FROM x, {_LAST} l WHERE NOT list_contains(l.gone, seq)""")
+def fuzzy_dedupe_greedy(spark, sf_dir):
+    """Both passes over documents read as listings."""
+    kept = linkage.dedupe(documents_as_events(spark, sf_dir))
+    return kept.select("seq", "source", "title", "date", "time", F.size("also_at").alias("elsewhere"))
+
+
+@register("dedupe_counts_documents", f"""{_MERGED} SELECT (SELECT count(*) FROM d) - (SELECT count(*) FROM x) AS exact_duplicates, len(l.gone) AS cross_source_duplicates, (SELECT count(*) FROM d) - (SELECT count(*) FROM x) + len(l.gone) AS duplicates_removed FROM {_LAST} l""")
+def dedupe_counts_documents(spark, sf_dir):
+    """How many records each pass merges away."""
+    return linkage.dedupe_counts(documents_as_events(spark, sf_dir))
+
+
 @register("lookup_left_enrich", "SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0")
 def lookup_left_enrich(spark, sf_dir):
     o, c, n = (_t(spark, sf_dir, x) for x in ("orders", "customer", "nation"))

@@ -199,6 +199,14 @@ def test_fill_forward_and_order_across_stretches(spark):
         assert {x.position for x in gate.out_of_order(events, stretch).collect()} == late
 
 
+def test_positions_over_buckets(spark):
+    r = random.Random(6)
+    rows = [(i, r.choice([None, 1, 2, 5]), r.randrange(5)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, day int, v int").repartition(4)
+    want = {x[0]: i for i, x in enumerate(sorted(rows, key=lambda x: (-1 if x[1] is None else x[1], x[2], x[0])))}
+    assert {x.id: x.p for x in scans.positions(df, F.col("day"), [F.col("v"), F.col("id")], "p").collect()} == want
+
+
 def test_trigram_search_equals_a_scan(spark):
     rows = [(1, "Élan vital"), (2, "elan"), (3, "a vi"), (4, None), (5, "vitaelan ﬁne"), (6, "el an vital")]
     df = spark.createDataFrame(rows, "id int, t string").withColumn("t", F.coalesce("t", F.lit("")))
