@@ -83,17 +83,6 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
     return "".join([*one, *gone]), "".join(one.values()), several
 
 
-def _several_class() -> str:
-    """A pattern of the characters that become several."""
-    points, ranges = sorted([*map(ord, _decompositions()[2]), *range(_HANGUL, _HANGUL_LAST + 1)]), []
-    for p in points:
-        if ranges and ranges[-1][1] == p - 1:
-            ranges[-1][1] = p
-        else:
-            ranges.append([p, p])
-    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
-
-
 def _syllable(c: Column) -> Column:
     """A Hangul syllable's two or three letters, by arithmetic."""
     s = F.ascii(c) - _HANGUL
@@ -105,15 +94,15 @@ def _syllable(c: Column) -> Column:
 def fold(text: Column) -> Column:
     """Lower case, decomposed for compatibility, without combining accents (U+0300 to U+036F).
 
-    One pass replaces the characters that become one other or none; the few that become several are replaced one
-    distinct character after the other, in texts that have any. Marks beyond U+036F keep the order they stand in."""
+    One pass replaces the characters that become one other or none. Of what is not ASCII then, the characters that
+    become several are replaced one distinct character after the other. Marks beyond U+036F keep the order they stand in."""
     those, by, several = _decompositions()
     known = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
     letters = lambda c: F.when(c.between(chr(_HANGUL), chr(_HANGUL_LAST)), _syllable(c)).otherwise(F.element_at(known, c))
 
     def spelt(bare: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(bare, F.lit(_several_class()), F.lit(0)))
-        return F.when(F.size(found) > 0, F.aggregate(found, bare, lambda out, c: F.replace(out, c, letters(c)))).otherwise(bare)
+        found = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"[^\x00-\x7F]"), F.lit(0)))
+        return F.aggregate(found, bare, lambda out, c: let(letters(c), lambda by: F.when(by.isNull(), out).otherwise(F.replace(out, c, by))))
 
     return let(F.translate(F.lower(text), those, by), spelt)
 

@@ -1,7 +1,7 @@
 """Substring search by an index of trigrams.
 
-The index has a row for each distinct trigram of a folded text and the text's id, in ranges of trigrams, so that a
-search reads the stretches of its own trigrams only. A text that has all trigrams of all terms is a candidate; the
+The index has a row for each distinct trigram of a folded text and the text's id, sorted by trigram in each part, so
+that a search reads the stretches of its own trigrams only. A text that has all trigrams of all terms is a candidate; the
 text itself decides. Terms of fewer than three characters have no trigram: they are looked for in the candidates, or
 in every text if no term has one.
 """
@@ -14,15 +14,20 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, let
 
 
+#: Parts that a very common trigram's texts are dealt over.
+SPREAD = 64
+
+
 def grams(folded: Column) -> Column:
     """The distinct trigrams of a text, in time proportional to its length."""
     return let(F.split(folded, ""), lambda c: F.array_distinct(F.transform(F.slice(c, 1, F.greatest(F.size(c) - 2, F.lit(0))), lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2)))))
 
 
 def index(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(gram, key), in ranges of grams; one gram's many texts may be in several."""
+    """(gram, key), each part sorted by gram, so that a search skips what it doesn't ask for; the texts of one gram are
+    dealt over `SPREAD` parts at most."""
     rows = texts.select(key, F.explode(grams(fold(F.col(text)))).alias("gram"))
-    return rows.repartitionByRange("gram", key).sortWithinPartitions("gram", key).select("gram", key)
+    return rows.repartition("gram", F.pmod(F.xxhash64(key), F.lit(SPREAD))).sortWithinPartitions("gram", key).select("gram", key)
 
 
 def search(texts: DataFrame, postings: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
