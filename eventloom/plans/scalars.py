@@ -130,8 +130,11 @@ def html_links(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", F.posexplode(links).alias("nth", "href")).select("page_id", (F.col("nth") + 1).cast("long").alias("nth"), "href")
 
 
-@register("html_text")
+@register("html_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '(?s)<(script|style|noscript|iframe|svg|button|figure)[^>]*>.*?</(?:script|style|noscript|iframe|svg|button|figure)>', '', 'g'), '</(?:p|div|li|h[1-6]|tr|blockquote|section)>|<br[^>]*>', ' ', 'g'), '</?[a-zA-Z][^>]*>', '', 'g'),
+ '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
 def html_text_(spark, sf_dir):
+    """Every page's text."""
     return _t(spark, sf_dir, "pages").select("page_id", html_text("html").alias("text"))
 
 
