@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +41,7 @@ class _Reader(HTMLParser):
 
 
 def _tidy(text: str) -> str:
-    return re.sub(r"\s+", " ", re.sub("[​-‍﻿]", "", text)).strip()
+    return " ".join((text if text.isascii() else re.sub("[​-‍﻿]", "", text)).split())
 
 
 def text_of(html: str | None) -> str:
@@ -60,14 +60,40 @@ def lines_of(html: str | None) -> list[str]:
     return [t for line in "".join(reader.out).split("\n") if (t := _tidy(line))]
 
 
-@F.pandas_udf(T.StringType())
-def html_text(html: pd.Series) -> pd.Series:
-    return html.map(text_of)
+def each(column: pa.Array, fn, kind: pa.DataType) -> pa.Array:
+    """fn of every value of a batch, called once for each distinct one."""
+    coded = column.dictionary_encode()
+    made = pa.array([*map(fn, coded.dictionary.to_pylist()), fn(None)], kind)
+    return made.take(coded.indices.fill_null(len(coded.dictionary)))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def html_lines(html: pd.Series) -> pd.Series:
-    return html.map(lines_of)
+def _reading(references: tuple[str, ...] | None):
+    """What makes all ampersands of a page text, but for those of the named references, each with its semicolon."""
+    if references is None:
+        return lambda html: html or ""
+    other = re.compile(f"&(?!(?:{'|'.join(references)});)")
+    return lambda html: other.sub("&amp;", html or "")
+
+
+def html_text(html: Column | str, references: tuple[str, ...] | None = None) -> Column:
+    """A page's text. references: the named character references that are read; all that HTML knows if there are none."""
+    read = _reading(references)
+
+    @F.arrow_udf(T.StringType())
+    def run(column: pa.Array) -> pa.Array:
+        return each(column, lambda page: text_of(read(page)), pa.string())
+
+    return run(html)
+
+
+def html_lines(html: Column | str, references: tuple[str, ...] | None = None) -> Column:
+    read = _reading(references)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(column: pa.Array) -> pa.Array:
+        return each(column, lambda page: lines_of(read(page)), pa.list_(pa.string()))
+
+    return run(html)
 
 
 class _Nodes(HTMLParser):
@@ -105,24 +131,35 @@ class _Nodes(HTMLParser):
         return out
 
 
-NODE = "node_id int, parent_id int, depth int, tag string, attrs map<string,string>, own_text string, last_id int"
-
-
-def html_nodes(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """A row for each element of each page: selectors become filters and joins on it. A node's subtree is the interval
-    of ids from its own to last_id."""
-
-    @F.pandas_udf(f"array<struct<{', '.join(f.strip().replace(' ', ': ', 1) for f in re.split(r', (?=[a-z_]+ )', NODE))}>>")
-    def nodes(column: pd.Series) -> pd.Series:
-        def one(page):
-            reader = _Nodes()
-            reader.feed(page or "")
-            reader.close()
-            return [{"node_id": a, "parent_id": b, "depth": c, "tag": d, "attrs": e, "own_text": _tidy("".join(f)), "last_id": z} for (a, b, c, d, e, f), z in zip(reader.rows, reader.last(), strict=True)]
-
-        return column.map(one)
-
-    return pages.select(key, F.explode(nodes(html)).alias("n")).select(key, "n.*")
+_INT, _TEXT = ("int", pa.int32()), ("string", pa.string())
+NODE = {"node_id": _INT, "parent_id": _INT, "depth": _INT, "tag": _TEXT, "attrs": ("map<string,string>", pa.map_(pa.string(), pa.string())), "own_text": _TEXT, "last_id": _INT}
+#: Nodes in a batch, one page's more at most: pages are read one by one, so that memory doesn't grow with a part's pages.
+NODES = 8192
+
+
+def html_nodes(pages: DataFrame, key: str, html: str = "html", fields: tuple[str, ...] = tuple(NODE), references: tuple[str, ...] | None = None) -> DataFrame:
+    """A row for each element of each page, with those fields that are asked for: selectors become filters and joins on
+    it. A node's subtree is the interval of ids from its own to last_id. references: see html_text."""
+    read = _reading(references)
+    make = {"node_id": lambda r, _: r[0], "parent_id": lambda r, _: r[1], "depth": lambda r, _: r[2], "tag": lambda r, _: r[3], "attrs": lambda r, _: list(r[4].items()), "own_text": lambda r, _: _tidy("".join(r[5])), "last_id": lambda r, last: last[r[0]]}
+
+    def run(batches):
+        for batch in batches:
+            keys, at, columns = batch.column(0), [], {f: [] for f in fields}
+            for i, page in enumerate(batch.column(1)):
+                reader = _Nodes()
+                reader.feed(read(page.as_py()))
+                reader.close()
+                last = reader.last() if "last_id" in columns else ()
+                at.extend([i] * len(reader.rows))
+                for f, values in columns.items():
+                    values.extend(make[f](r, last) for r in reader.rows)
+                if len(at) >= NODES or i + 1 == len(keys):
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *(pa.array(columns[f], NODE[f][1]) for f in fields)], names=[key, *fields])
+                    at, columns = [], {f: [] for f in fields}
+
+    schema = ", ".join([f"{key} {pages.schema[key].dataType.simpleString()}", *(f"{f} {NODE[f][0]}" for f in fields)])
+    return pages.select(key, html).mapInArrow(run, schema)
 
 
 def json_ld(pages: DataFrame, key: str, html: str = "html") -> DataFrame:

@@ -18,8 +18,8 @@ def _pages(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def nodes(spark, sf_dir):
-    return html_nodes(_pages(spark, sf_dir), "page_id")
+def nodes(spark, sf_dir, *fields):
+    return html_nodes(_pages(spark, sf_dir), "page_id", fields=fields)
 
 
 def _list(words) -> str:
@@ -44,14 +44,14 @@ _WALK = f"""RECURSIVE tags AS MATERIALIZED (SELECT * FROM {_TAGS}), walk(page_id
 FROM tags t JOIN walk w ON t.page_id = w.page_id AND t.i = w.i WHERE NOT shut AND tag = 'a'""")
 def nearest_block_of_links(spark, sf_dir):
     """For every link of every page, the block that it stands in."""
-    return trees.nearest_ancestor(nodes(spark, sf_dir), "page_id", F.col("tag") == "a", F.col("tag").isin(*_BLOCKS))
+    return trees.nearest_ancestor(nodes(spark, sf_dir, "node_id", "tag", "last_id"), "page_id", F.col("tag") == "a", F.col("tag").isin(*_BLOCKS))
 
 
 @register("descendants_of_articles", f"""WITH {_WALK} SELECT page_id, node_id, tag, count(*) AS n FROM (SELECT t.page_id, tag, unnest(list_filter(ids, lambda x, k: names[k] IN ('article', 'nav', 'ul'))) AS node_id
 FROM tags t JOIN walk w ON t.page_id = w.page_id AND t.i = w.i WHERE NOT shut AND tag IN ('a', 'p')) GROUP BY ALL""")
 def descendants_of_articles(spark, sf_dir):
     """How many links and paragraphs stand below each article, menu and list, at any depth."""
-    n = nodes(spark, sf_dir)
+    n = nodes(spark, sf_dir, "node_id", "tag", "last_id")
     pairs = trees.descendants(n, "page_id", F.col("tag").isin("article", "nav", "ul"), F.col("tag").isin("a", "p"))
     kind = n.select("page_id", F.col("node_id").cast("long").alias("descendant"), "tag")
     return pairs.join(kind, ["page_id", "descendant"]).groupBy("page_id", "node_id", "tag").agg(F.count(F.lit(1)).alias("n"))
@@ -60,7 +60,7 @@ def descendants_of_articles(spark, sf_dir):
 @register("sectioned_paragraphs", f"""SELECT page_id, node AS node_id, heading FROM (SELECT page_id, node, tag, shut, last_value(CASE WHEN NOT shut AND tag IN {_list(_HEADS)} THEN node END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i) AS heading FROM {_TAGS}) WHERE tag = 'p' AND NOT shut""")
 def sectioned_paragraphs(spark, sf_dir):
     """Each paragraph with the heading that it follows, by a scan over each page's nodes in stretches."""
-    rows = nodes(spark, sf_dir).select("page_id", F.col("node_id").cast("long").alias("node_id"), "tag")
+    rows = nodes(spark, sf_dir, "node_id", "tag").select("page_id", F.col("node_id").cast("long").alias("node_id"), "tag")
     heading = F.when(F.col("tag").isin(*_HEADS), F.col("node_id"))
     return scans.fill_forward(rows, ["page_id"], "node_id", heading, "heading", stretch=16).filter("tag = 'p'").select("page_id", "node_id", "heading")
 
@@ -74,7 +74,7 @@ d AS (SELECT key, arg_max(struct_pack(page_id := page_id, node := node), page_id
 SELECT c.page_id, d.last.page_id AS detail_page, d.last.node AS detail_node FROM c LEFT JOIN d ON c.key = d.key""")
 def cards_with_details_by_title(spark, sf_dir):
     """Every page's title looked up among all pages' headings; of headings that read alike, the last counts."""
-    n = nodes(spark, sf_dir)
+    n = nodes(spark, sf_dir, "node_id", "tag", "own_text")
     cards = n.filter("tag = 'title'").groupBy("page_id").agg(F.min_by("own_text", "node_id").alias("title"))
     cards = _pages(spark, sf_dir).select("page_id").join(cards, "page_id", "left")
     details = n.filter("tag = 'h1'").select(F.col("own_text").alias("title"), F.col("page_id").alias("detail_page"), F.col("node_id").cast("long").alias("detail_node"))
