@@ -7,7 +7,7 @@ import re
 import unicodedata
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +57,7 @@ def unshout(text: Column) -> Column:
     return F.when((F.length(letters) < 6) | (letters != F.upper(letters)), text).otherwise(cased)
 
 
+@cache
 def _unaccented(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not 0x300 <= ord(c) <= 0x36F)
 
@@ -190,13 +191,12 @@ def lenient_json(raw: Column) -> Column:
 
 
 def _marked(text: str, terms: list[str]) -> str:
-    folded, at = [], []
-    for i, c in enumerate(text):
-        for f in _unaccented(c):
-            folded.append(f)
-            at.append(i)
-    whole = "".join(folded)
-    spans = sorted((at[m.start()], at[m.end() - 1] + 1) for t in terms if len(t) > 1 for m in re.finditer(re.escape(t), whole))
+    folded = [text.lower()] if text.isascii() else [*map(_unaccented, text)]
+    whole, spans = "".join(folded), []
+    if any(len(t) > 1 and t in whole for t in terms):
+        # which character of the text each of the folded ones is from
+        at = range(len(text)) if text.isascii() else [i for i, f in enumerate(folded) for _ in f]
+        spans = sorted((at[m.start()], at[m.end() - 1] + 1) for t in terms if len(t) > 1 for m in re.finditer(re.escape(t), whole))
     out, done = [], 0
     for a, b in spans:
         if b > done:
@@ -209,8 +209,8 @@ def _marked(text: str, terms: list[str]) -> str:
 def highlight(text: Column, terms: list[str]) -> Column:
     """Escaped text with <mark> around what matches a folded term of two characters or more; accents don't matter."""
 
-    @F.pandas_udf(T.StringType())
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: _marked(x or "", terms))
+    @F.arrow_udf(T.StringType())
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array((_marked(x.as_py() or "", terms) for x in column), pa.string())
 
     return run(text)
