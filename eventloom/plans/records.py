@@ -96,7 +96,7 @@ _LAST = "(SELECT * FROM s ORDER BY k DESC LIMIT 1)"
 FROM x, {_LAST} l WHERE NOT list_contains(l.gone, seq)""")
 def fuzzy_dedupe_greedy(spark, sf_dir):
     """Both passes over documents read as listings."""
-    kept = linkage.dedupe(documents_as_events(spark, sf_dir))
+    kept = linkage.dedupe(documents_as_events(spark, sf_dir), descriptions=False)
     return kept.select("seq", "source", "title", "date", "time", F.size("also_at").alias("elsewhere"))
 
 

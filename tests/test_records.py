@@ -144,3 +144,16 @@ def test_titles_descriptions_and_turns_are_whole(spark, tmp_path):
     e = records.documents_as_events(spark, str(tmp_path)).first()
     assert (e.title, len(e.description)) == (line, len(line) + 501)
     assert [r.word for r in records.explode_sessions(spark, str(tmp_path)).orderBy("nth").collect()] == line.split(" ")
+
+
+def test_passes_move_no_descriptions(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(4).select(
+        F.col("id").cast("string").alias("id"), F.lit("a").alias("source"), F.col("id").alias("seq"), F.lit("Maps of the world").alias("title"), F.lit("https://e.org/x").alias("url"), F.lit("2026-10-01").cast("date").alias("date"), F.lit("18:30").alias("time"),
+        F.lit(None).cast("timestamp").alias("start"), F.lit(None).cast("string").alias("location"), F.when(F.col("id") == 2, "told").alias("description"), F.array().cast("array<string>").alias("speakers"), F.lit(None).cast("boolean").alias("free"),
+        F.lit(None).cast("boolean").alias("online"), F.lit(None).cast("string").alias("price"), F.array().cast("array<struct<source:string,url:string>>").alias("also_at"),
+    )
+    (got,) = linkage.dedupe(docs, descriptions=False).collect()
+    assert "description" not in got.asDict() and (got.described, got.described_by) == (4, 2)
+    assert linkage.dedupe(docs).first().description == "told"
