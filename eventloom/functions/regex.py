@@ -3,8 +3,9 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_W = "A-Za-z0-9_"
-_EDGE = rf"(?:(?<![{_W}])(?=[{_W}])|(?<=[{_W}])(?![{_W}]))"
+# the JVM's \w and \d are ASCII, and one comparison each; a class spelt out is four, at each character of a text
+_EDGE = r"(?:(?=\w)(?<!\w)|(?!\w)(?<=\w))"
+_S = r"\s\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}"
 
 
 def java(pattern: str, ignore_case: bool = True) -> str:
@@ -13,7 +14,7 @@ def java(pattern: str, ignore_case: bool = True) -> str:
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two[0] == "\\" and len(two) == 2:
-            out.append({r"\b": two if inside else _EDGE, r"\w": _W if inside else f"[{_W}]", r"\d": "0-9" if inside else "[0-9]", r"\s": r"\s\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}" if inside else r"[\s\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]"}.get(two, two))
+            out.append({r"\b": two if inside else _EDGE, r"\s": _S if inside else f"[{_S}]"}.get(two, two))
             i += 2
             continue
         c = two[0]

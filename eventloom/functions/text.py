@@ -54,7 +54,7 @@ def unshout(text: Column) -> Column:
     marked = F.regexp_replace(F.lower(text), r"(^|[\s(“\"'‘-])(\p{L})", "$1\u0001$2")
     words = F.split(marked, "\u0001")
     cased = F.array_join(F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))), "")
-    return F.when((F.length(letters) < 6) | (letters != F.upper(letters)), text).otherwise(cased)
+    return F.when((F.length(letters) < 6) | letters.rlike("[a-z]"), text).otherwise(cased)
 
 
 @cache
@@ -126,15 +126,24 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(small == 0, F.lit(0.0)).when(small >= 3, F.greatest(jaccard, shared / small * 0.9)).otherwise(jaccard)
 
 
+#: Every status word has one of these: most titles have none, and are spared the patterns.
+_STATUS_HINT = "(?i)sold|booked|cancel|postponed|waiting|few|new|rescheduled|date|now"
+
+
 def title_status(title: Column) -> Column:
     """struct(title, cancelled): the title without status markers, and whether one of them says cancelled."""
 
     def without(pattern: str):
         return lambda x: F.struct(F.trim(swap(x["t"], pattern, " ")).alias("t"), (x["cancelled"] | matches(part(x["t"], pattern, 0), X.CANCELLED)).alias("cancelled"))
 
-    out = F.struct(clean(title).alias("t"), F.lit(False).alias("cancelled"))
-    for pattern in X.STATUS_MARKERS:
-        out = let(out, without(pattern))
+    def unmarked(t: Column) -> Column:
+        out = F.struct(t.alias("t"), F.lit(False).alias("cancelled"))
+        read = out
+        for pattern in X.STATUS_MARKERS:
+            read = let(read, without(pattern))
+        return F.when(t.rlike(_STATUS_HINT), read).otherwise(out)
+
+    out = let(clean(title), unmarked)
     out = let(out, lambda x: F.struct(unshout(x["t"]).alias("t"), x["cancelled"].alias("cancelled")))
     bare = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+([:,.!?])", "$1"), r"[\s|–—-]+\z", ""))
     return let(out, lambda x: F.struct(bare(strip_wrapping_quotes(x["t"])).alias("title"), x["cancelled"].alias("cancelled")))
