@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..functions import fixed as X
 from ..functions.regex import java
+from ..storage import written
 
 
 def health(normalized: DataFrame, sources: DataFrame, errors: DataFrame) -> DataFrame:
     """A row for each source: status, scraped, kept, dropped by reason, and its first samples of drops.
 
-    normalized has drop_reason and drop_detail; errors(source, error) names the sources that failed.
+    normalized has drop_reason and drop_detail; errors(source, error) names the sources that failed. Counts and samples
+    are read from one copy of what they need, so that the rules run once.
     """
+    normalized = written(normalized.select("source", "seq", "drop_reason", "drop_detail"), "health")
     by_reason = normalized.groupBy("source", "drop_reason").agg(F.count(F.lit(1)).alias("n"))
     dropped = F.map_from_entries(F.collect_list(F.when(F.col("drop_reason").isNotNull(), F.struct("drop_reason", "n"))))
     counts = by_reason.groupBy("source").agg(F.sum("n").alias("scraped"), F.coalesce(F.sum(F.when(F.col("drop_reason").isNull(), F.col("n"))), F.lit(0)).alias("kept"), dropped.alias("dropped"))
