@@ -8,7 +8,7 @@ import unicodedata
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns set that are computed once for each row: neither what names them nor a filter on them is merged with
+    how they came about."""
+    return df.select(*(c for c in df.columns if c not in columns), F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def clean(text: Column) -> Column:
     """No zero-width characters, one space for each run of white space, trimmed; null becomes empty."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x{200B}-\x{200D}\x{FEFF}]", "")

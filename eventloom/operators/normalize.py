@@ -45,12 +45,6 @@ def still_listable(events: DataFrame, now: Column, days: int = X.HORIZON_DAYS) -
     )
 
 
-def _bound(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns set that are computed once for each row: neither what names them nor a filter on them is merged with
-    how they came about."""
-    return df.select(*(c for c in df.columns if c not in columns), F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
-
-
 def _first(rules: list[tuple[Column, str, Column]]) -> Column:
     """struct(reason, detail) of the first rule that holds, else null."""
     failed = F.lit(None).cast("struct<reason:string,detail:string>")
@@ -74,13 +68,13 @@ def normalize(raw: DataFrame, sources: DataFrame, now: Column, days: int = X.HOR
     nothing = F.lit(None).cast("string")
 
     # title, link and days
-    e = _bound(e.withColumn("title_text", html_text("title")), status=text.title_status(F.col("title_text")))
+    e = text.bound(e.withColumn("title_text", html_text("title")), status=text.title_status(F.col("title_text")))
     title, marked_online = text.format_marker(F.col("status.title"))
     wall = F.col("start_instant").isNotNull()
     day = F.when(wall, dates.london_date(F.col("start_instant"))).otherwise(F.when(F.col("start_date").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.col("start_date").try_cast("date")))
     time = dates.none_if_midnight(F.when(wall, dates.london_time(F.col("start_instant"))).otherwise(F.col("start_time")))
-    e = _bound(e, title=title, marked_online=marked_online, link=urls.absolute_url(F.col("url")), date=day, time=time)
-    e = _bound(e, early=_first([
+    e = text.bound(e, title=title, marked_online=marked_online, link=urls.absolute_url(F.col("url")), date=day, time=time)
+    e = text.bound(e, early=_first([
         (F.length("title") < 3, "invalid", F.lit("missing title")),
         (F.col("status.cancelled"), "cancelled", F.col("title")),
         (F.col("link").isNull(), "invalid", quoted("bad url", F.col("title"))),
@@ -94,8 +88,8 @@ def normalize(raw: DataFrame, sources: DataFrame, now: Column, days: int = X.HOR
     e = e.withColumns({"full": html_text(F.when(F.col("early").isNull(), F.col("description"))), "where": html_text(F.when(near, F.col("location")))})
     price = text.none_if_empty(text.clean(swap(F.coalesce("price_text", F.lit("")), r"https?:\/\/[^\s]+", " ")))
     place = text.none_if_empty(text.clean(F.col("where")))
-    e = _bound(e, near=near)
-    e = _bound(
+    e = text.bound(e, near=near)
+    e = text.bound(
         e, place=F.when(F.col("near") & place.isNotNull(), text.truncate(place, X.LOCATION_MAX)), price=F.when(F.col("near") & price.isNotNull(), text.truncate(price, X.PRICE_MAX)),
         hint_texts=F.when(F.col("near"), F.filter(F.transform(F.coalesce("hints", F.array().cast("array<string>")), text.clean), lambda h: h != "")),
     )
@@ -103,7 +97,7 @@ def normalize(raw: DataFrame, sources: DataFrame, now: Column, days: int = X.HOR
     in_title = F.when(matches(F.col("title"), X.ONLINE_IN_TITLE) & ~matches(F.coalesce("place", F.lit("")), r"\b(?:hybrid|in[\s-]person)\b"), True)
     at_home = F.when(F.col("place").isNull() & F.col("default_location").isNotNull(), False)
     is_online = F.coalesce("online", "marked_online", in_title, classify.online_by_location(F.col("place")), classify.online_by_prose(F.concat("hint_texts", F.array("full"))), "default_online", at_home)
-    e = _bound(e, online=F.when(F.col("near"), is_online), location=F.when(F.col("near"), F.coalesce("place", "default_location")))
+    e = text.bound(e, online=F.when(F.col("near"), is_online), location=F.when(F.col("near"), F.coalesce("place", "default_location")))
     late = F.when(F.col("early").isNotNull(), F.col("early")).otherwise(_first([
         (is_members_only(F.col("title"), F.col("full")), "members-only", F.col("title")),
         (F.col("date") >= beyond, "beyond-horizon", nothing),
@@ -111,7 +105,7 @@ def normalize(raw: DataFrame, sources: DataFrame, now: Column, days: int = X.HOR
         (F.col("online").eqNullSafe(True), "online-only", F.col("title")),
         (classify.outside_london(F.col("location")), "outside-london", F.concat_ws(" @ ", "title", "location")),
     ]))
-    e = _bound(e, failed=late)
+    e = text.bound(e, failed=late)
 
     described = F.when((F.col("full") != "") & (F.lower("full") != F.lower("title")), text.truncate(F.col("full"), X.DESCRIPTION_MAX))
     said = F.when(F.col("near"), F.coalesce("speakers", F.array().cast("array<string>")))

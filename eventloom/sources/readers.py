@@ -146,10 +146,12 @@ def rss_items(feeds: DataFrame) -> DataFrame:
 def labelled_pages(pages: DataFrame, source: str, labels: dict[str, str], now_date: Column) -> DataFrame:
     """Pages(url, body) that give an event as lines "Label: value": labels map date, time, venue, price, speaker and
     title to patterns. A page with more than two different dates is a round-up and gives no event."""
-    p = pages.withColumn("lines", html_lines("body")).filter(F.size("lines") > 0)
-    value = {name: text.labelled(F.col("lines"), pattern) for name, pattern in labels.items()}
+    # lines and values are bound: the filters would have each page parsed again, and each value looked for again
+    p = text.bound(pages.withColumn("read", html_lines("body")), lines=F.col("read")).filter(F.size("lines") > 0)
     days = F.array_distinct(F.array_compact(F.transform("lines", lambda line: dates.parse_date(line, now_date))))
-    p = p.filter(F.size(days) <= 2)
+    p = text.bound(p, days=days).filter(F.size("days") <= 2)
+    p = text.bound(p, **{f"value_{name}": text.labelled(F.col("lines"), pattern) for name, pattern in labels.items()})
+    value = {name: F.col(f"value_{name}") for name in labels}
     none = F.lit(None).cast("string")
     return raw_events(
         p, source=F.lit(source), seq=F.monotonically_increasing_id(), title=value.get("title", F.get("lines", F.lit(0))), url=F.col("url"), start_date=dates.parse_date(value.get("date", none), now_date),
