@@ -60,8 +60,8 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS shar
 SELECT a, b FROM p WHERE least(na, nb) >= 2 AND CASE WHEN least(na, nb) >= 3 THEN greatest(shared / (na + nb - shared), shared / least(na, nb) * 0.9) ELSE shared / (na + nb - shared) END >= 0.8""")
 def title_token_pairs(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").filter("source IS NOT NULL AND lang IS NOT NULL")
-    e = d.select(F.col("doc_id").alias("seq"), "source", "lang", text.title_tokens(text.fold(F.split("text", "\n")[0])).alias("tokens")).filter(F.size("tokens") >= 2)
-    p = linkage.sharing_words(e, "source", "lang").filter(text.similarity(F.col("a.tokens"), F.col("b.tokens")) >= 0.8)
+    e = d.select(F.col("doc_id").alias("seq"), "source", "lang", text.title_tokens(text.fold(F.substring_index("text", "\n", 1))).alias("tokens")).filter(F.size("tokens") >= 2)
+    p = linkage.similar_pairs(e, "source", "lang")
     return p.select(F.least("a.seq", "b.seq").alias("a"), F.greatest("a.seq", "b.seq").alias("b"))
 
 

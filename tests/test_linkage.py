@@ -199,6 +199,41 @@ def test_fill_forward_and_order_across_stretches(spark):
         assert {x.position for x in gate.out_of_order(events, stretch).collect()} == late
 
 
+def rows_made(df):
+    """The most rows that a join or an aggregate of a collected plan made."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            yield from walk(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            yield from walk(node.plan())
+        count = node.metrics().get("numOutputRows")
+        if ("Join" in kind or "Aggregate" in kind) and count.isDefined():
+            yield count.get().value()
+        for i in range(node.children().size()):
+            yield from walk(node.children().apply(i))
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+@pytest.mark.parametrize("part", [7, 256])
+def test_equal_titles_are_paired_without_a_join(spark, part):
+    """Copies meet in every word: as pairs they are many, but no join or aggregate makes them."""
+    rows = [(i, "d", ["map", "talk", "old"] if i % 2 else ["old", "map", "talk"]) for i in range(300)] + [(1000 + i, "de"[i % 2], ["old", "map", "talk", "new"]) for i in range(4)] + [(2000, None, ["map", "talk", "old"]), (2001, "d", ["one", "other"])]
+    df = linkage.similar_pairs(spark.createDataFrame(rows, "seq long, day string, tokens array<string>"), "day", part=part)
+    got = df.collect()
+    alike = lambda a, b: text_similarity(set(a), set(b)) >= 0.8
+    want = {(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[1] is not None and a[1] == b[1] and alike(a[2], b[2])}
+    assert len(got) == len(want) and {tuple(sorted((r.a.seq, r.b.seq))) for r in got} == want
+    assert rows_made(df) < 4000 < len(want)
+
+
+def text_similarity(x, y):
+    jaccard = len(x & y) / len(x | y)
+    return max(jaccard, len(x & y) / min(len(x), len(y)) * 0.9) if min(len(x), len(y)) >= 3 else jaccard
+
+
 def test_positions_over_buckets(spark):
     r = random.Random(6)
     rows = [(i, r.choice([None, 1, 2, 5]), r.randrange(5)) for i in range(80)]
