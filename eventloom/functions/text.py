@@ -111,7 +111,8 @@ def fold(text: Column) -> Column:
         found = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"[^\x00-\x7F]"), F.lit(0)))
         return F.aggregate(found, bare, lambda out, c: let(letters(c), lambda by: F.when(by.isNull(), out).otherwise(F.replace(out, c, by))))
 
-    return let(F.translate(F.lower(text), those, by), spelt)
+    # lower case of ASCII alone is all there is to do
+    return let(F.lower(text), lambda low: F.when(F.octet_length(low) == F.length(low), low).otherwise(let(F.translate(low, those, by), spelt)))
 
 
 def title_tokens(folded: Column) -> Column:

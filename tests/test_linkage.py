@@ -251,6 +251,30 @@ def test_trigram_search_equals_a_scan(spark):
         assert {r.id for r in search.search(df, postings, "id", "t", terms).collect()} == want
 
 
+@pytest.mark.parametrize("chars", [3, 50, 1 << 20])
+def test_trigram_index_has_a_row_for_many_texts(spark, chars):
+    """Every text's trigrams, whatever stretches they were listed in; one row for each trigram of a stretch, not of a text."""
+    r = random.Random(7)
+    rows = [(i, "".join(r.choice("abc\U0001f600\ud7ff ") for _ in range(r.choice([0, 1, 2, 3, 4, 40])))) for i in range(300)] + [(300, None), (301, "Ébène À l’eau"), (302, "x" * 120 + "abc")]
+    postings = search.index(spark.createDataFrame(rows, "id int, t string").coalesce(1), "id", "t", chars)
+    got = postings.collect()
+    folded = [(i, text._unaccented(t or "")) for i, t in rows]
+    want = {(t[k : k + 3], i) for i, t in folded for k in range(len(t) - 2)}
+    assert {(p.gram, k) for p in got for k in p["keys"]} == want and all(len(set(p["keys"])) == len(p["keys"]) for p in got)
+    if chars == 1 << 20:
+        assert len(got) == len({g for g, _ in want}) < len(want) / 5
+    long = spark.createDataFrame(rows, "id int, t string").withColumn("t", F.coalesce("t", F.lit("")))
+    assert {x.id for x in search.search(long, postings, "id", "t", ["xxxabc"]).collect()} == {302}
+
+
+def test_trigrams_of_very_many_letters():
+    """Codes of trigrams and texts that don't fit a number together."""
+    texts = ["".join(map(chr, range(0x10000, 0x10000 + 400_000))), *["ab", "", "abcabc"] * 70]
+    grams, starts, of = search._listed(texts)
+    got = {(g, int(i)) for g, a, b in zip(grams, starts, starts[1:]) for i in of[a:b]}
+    assert len(set(grams)) == len(grams) and got == {(t[k : k + 3], i) for i, t in enumerate(texts) for k in range(len(t) - 2)}
+
+
 def test_run_violations(spark):
     totals = spark.createDataFrame([(3, 1, 5)], "sources int, ok int, events int")
     health = spark.createDataFrame([("a",), ("b",)], "id string")
